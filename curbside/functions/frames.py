@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -35,24 +37,33 @@ def dtype_of(df: DataFrame, column: str) -> str:
     return dict(df.dtypes)[column]
 
 
+def shared_folder(spark) -> str:
+    """The folder for intermediate tables: the one the cluster names in `spark.checkpoint.dir`.
+
+    Only a local-mode session without that setting (tests) gets a temporary folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        global _local_folder
+        if _local_folder is None:
+            _local_folder = tempfile.mkdtemp(prefix="curbside-")
+        folder = _local_folder
+    return folder.rstrip("/")
+
+
+_local_folder: str | None = None
+
+
 def stable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names.
+    """Cut lineage: write the frame once to the shared folder and read it back.
 
-    The folder is read from `spark.checkpoint.dir`; it is only set here when the
-    session has none and runs in local mode (tests).
+    The rows survive the loss of any executor, and the next plan starts from a plain scan.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="curbside-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/curbside-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sum_of(columns: Iterable[Column]) -> Column:

@@ -181,7 +181,7 @@ def monthly(spark, sf):
 WITH t AS (SELECT o_orderdate::DATE AS date, o_custkey, CASE WHEN o_totalprice <= 0 THEN 1 ELSE o_totalprice END AS gmv, o_totalprice AS bill,
  o_totalprice * 0.1 AS commission, o_orderkey % 12 > 6 AS long FROM orders)
 SELECT date, count(*) AS orders, count(DISTINCT o_custkey) AS active_drivers, round(sum(gmv), 2) AS gmv, round(sum(commission), 3) AS commission,
-count(*) FILTER (long) AS long_orders, round(avg(bill) FILTER (long), 4) AS avg_price_long, round(avg(bill) FILTER (NOT long), 4) AS avg_price_short,
+count(*) FILTER (long) AS long_orders, round(avg(bill) FILTER (long), 7) AS avg_price_long, round(avg(bill) FILTER (NOT long), 7) AS avg_price_short,
 round(count(*) FILTER (long) / count(*)::DOUBLE, 6) AS share_long, round(sum(commission) / sum(gmv), 6) AS commission_share,
 (isodow(date) >= 6)::INT AS is_weekend FROM t GROUP BY 1""")
 def market(spark, sf):
@@ -191,7 +191,7 @@ def market(spark, sf):
     out = X.market_context(o, "o_orderdate", "o_custkey", "o_totalprice", "km", "commission")
     return out.select(
         "date", "orders", "active_drivers", r("gmv", 2).alias("gmv"), r("commission", 3).alias("commission"), "long_orders",
-        r("avg_price_long", 4).alias("avg_price_long"), r("avg_price_short", 4).alias("avg_price_short"),
+        r("avg_price_long", 7).alias("avg_price_long"), r("avg_price_short", 7).alias("avg_price_short"),
         r("share_long").alias("share_long"), r("commission_share").alias("commission_share"), "is_weekend",
     )
 
