@@ -56,7 +56,8 @@ def plane_cell(x: Column, y: Column, level: int) -> Column:
     fq, fr = (x * (SQRT3 / 3) - y / 3) / size, y * (2.0 / 3) / size
     fs = -fq - fr
     q, r, s = F.rint(fq), F.rint(fr), F.rint(fs)
-    dq, dr, ds = F.abs(q - fq), F.abs(r - fr), F.abs(s - fs)
+    # errors are compared on a 1e-8 grid, so that points on a boundary do not depend on the last bits
+    dq, dr, ds = (F.rint(F.abs(e) * 1e8) for e in (q - fq, r - fr, s - fs))
     # the coordinate with the largest rounding error is rebuilt from the other two
     fix_q = (dq > dr) & (dq > ds)
     fix_r = ~fix_q & (dr > ds)

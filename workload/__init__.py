@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .base import ORACLES, QUERIES
 
-for _name in ("joins", "aggregates", "windows", "projections", "geo"):
+for _name in ("joins", "aggregates", "windows", "projections", "geo", "experiments", "models", "sources"):
     import_module(f"{__name__}.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]

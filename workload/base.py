@@ -47,9 +47,11 @@ def rounded(df: DataFrame, digits: int = 6, skip: tuple[str, ...] = ()) -> DataF
     )
 
 
-# Coordinates derived from ids, the same in both engines.
-LAT = "55.5 + (user_id % 97) / 970.0"
-LON = "37.3 + (event_id % 89) / 890.0"
+# Coordinates derived from ids, the same in both engines (doubles throughout).
+LAT = "55.5D + (user_id % 97) / 970.0D"
+LON = "37.3D + (event_id % 89) / 890.0D"
+LAT_SQL = "55.5::DOUBLE + (user_id % 97) / 970.0::DOUBLE"
+LON_SQL = "37.3::DOUBLE + (event_id % 89) / 890.0::DOUBLE"
 
 # Offers: every event is an offer to user (driver) with action flags; nation = locality.
 OFFERS_SQL = """offers AS (
@@ -70,3 +72,60 @@ def offers(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("event_type") == "error").cast("int").alias("fraud"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
+
+
+# --- statistics in SQL ----------------------------------------------------
+
+def norm_p_sql(z: str, steps: int = 2000) -> str:
+    """Two-sided normal tail by Simpson's rule over [0, |z|]."""
+    h = f"(least(abs({z}), 12) / {steps})"
+    total = (
+        f"list_sum(list_transform(range(0, {steps + 1}), lambda i: (CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+        f" * exp(-pow(i * {h}, 2) / 2)))"
+    )
+    return f"greatest(0, 1 - 2 * {h} / 3 * {total} / sqrt(2 * pi()))"
+
+
+def t_p_sql(t: str, df: str, steps: int = 4000) -> str:
+    """Two-sided Student tail by Simpson's rule over [0, |t|]."""
+    h = f"(least(abs({t}), 60) / {steps})"
+    total = (
+        f"list_sum(list_transform(range(0, {steps + 1}), lambda i: (CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+        f" * pow(1 + pow(i * {h}, 2) / ({df}), -(({df}) + 1) / 2)))"
+    )
+    const = f"exp(lgamma((({df}) + 1) / 2) - lgamma(({df}) / 2)) / sqrt(({df}) * pi())"
+    return f"greatest(0, 1 - 2 * {h} / 3 * {total} * {const})"
+
+
+def draw_sql(seed: int, key: str, rep: str) -> str:
+    """The uniform draw of `functions.hashing.draw`."""
+    p = 2147483647
+    h1 = f"((({key})::BIGINT % {p} * 48271 + ({rep})::BIGINT * 69621 + {(seed % 30000) * 16807 + 12345}) % {p})"
+    h2 = f"(({h1} * {h1} + ({rep})::BIGINT * 40692 + 1) % {p})"
+    return f"((({h2} * {h2} + 69621) % {p})::DOUBLE / {p}.0::DOUBLE)"
+
+
+def poisson_sql(u: str) -> str:
+    from curbside.functions.hashing import POISSON_1_CDF
+
+    return "(" + " + ".join(f"({u} >= {c!r}::DOUBLE)::INT" for c in POISSON_1_CDF) + ")"
+
+
+def ratio_sql(rows: str, keys: str = "metric") -> str:
+    """CTEs st, mo, va, pr: delta-method statistics per pair from a frame (keys, split, x, y, n)."""
+    k = f"{keys}, " if keys else ""
+    using = f"USING ({k}split)"
+    join = f"JOIN va b USING ({keys}) WHERE" if keys else ", va b WHERE"
+    return f"""st AS (SELECT {k}split, count(*) AS b, sum(n)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy FROM {rows} GROUP BY ALL),
+mo AS (SELECT {k}split, any_value(st.b) AS b, any_value(st.n) AS n, any_value(sx) AS sx, any_value(sy) AS sy, sum(pow(x - sx / st.n, 2)) / any_value(st.n) AS vx,
+ sum(pow(y - sy / st.n, 2)) / any_value(st.n) AS vy, sum((x - sx / st.n) * (y - sy / st.n)) / any_value(st.n) AS c FROM {rows} r JOIN st {using} GROUP BY {k}split),
+va AS (SELECT *, (vx / pow(sy / n, 2) + vy * pow(sx / n, 2) / pow(sy / n, 4) - 2 * (sx / n) * c / pow(sy / n, 3)) / n AS q FROM mo),
+pr AS (SELECT {', '.join('a.' + c.strip() for c in keys.split(',')) + ', ' if keys else ''}a.split AS split_0, b.split AS split_1, a.sx / a.sy AS ratio_0, b.sx / b.sy AS ratio_1, b.sx / b.sy - a.sx / a.sy AS delta, sqrt(a.q + b.q) AS se,
+ pow(a.q + b.q, 2) / (pow(a.q, 2) / (a.n - 1) + pow(b.q, 2) / (b.n - 1)) AS df FROM va a {join} a.split < b.split)"""
+
+
+def bh_sql(frame: str, p: str = "pvalue", keys: str = "") -> str:
+    """Subquery: frame plus pvalue_adj."""
+    part = f"PARTITION BY {keys}" if keys else ""
+    return f"""(SELECT * EXCLUDE (q_), least(1, min(q_) OVER ({part} ORDER BY {p} DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS pvalue_adj FROM
+ (SELECT *, {p} * count({p}) OVER ({part}) / count({p}) OVER ({part} ORDER BY {p}) AS q_ FROM {frame}))"""

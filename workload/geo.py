@@ -10,7 +10,7 @@ from curbside.operators import geoclusters as G
 from curbside.operators import polygons as P
 from curbside.plans import geo_pricing as Z
 
-from .base import LAT, LON, query, r, rounded, table, tables
+from .base import LAT, LAT_SQL, LON, LON_SQL, query, r, rounded, table, tables
 
 R0 = H.EARTH_RADIUS
 
@@ -21,7 +21,7 @@ def points(spark, sf):
     )
 
 
-PTS_SQL = f"pts AS (SELECT event_id, user_id, ts, event_type, value, ({LAT})::DOUBLE AS lat, ({LON})::DOUBLE AS lon FROM events)"
+PTS_SQL = f"pts AS (SELECT event_id, user_id, ts, event_type, value, ({LAT_SQL}) AS lat, ({LON_SQL}) AS lon FROM events)"
 
 
 def pts_cells_sql(level=8):
@@ -29,7 +29,7 @@ def pts_cells_sql(level=8):
     s = H.edge_length(level)
     return f"""{PTS_SQL},
 f0 AS (SELECT *, (radians(lon)*{R0!r}*{math.sqrt(3)/3!r} - ln(tan(pi()/4 + radians(lat)/2))*{R0!r}/3)/{s!r} AS fq, ln(tan(pi()/4 + radians(lat)/2))*{R0!r}*{2/3!r}/{s!r} AS fr FROM pts),
-f1 AS (SELECT *, round_even(fq, 0) AS q, round_even(fr, 0) AS r, round_even(-fq-fr, 0) AS s, abs(round_even(fq,0)-fq) AS dq, abs(round_even(fr,0)-fr) AS dr, abs(round_even(-fq-fr,0)-(-fq-fr)) AS ds FROM f0),
+f1 AS (SELECT *, round_even(fq, 0) AS q, round_even(fr, 0) AS r, round_even(-fq-fr, 0) AS s, round_even(abs(round_even(fq,0)-fq)*1e8, 0) AS dq, round_even(abs(round_even(fr,0)-fr)*1e8, 0) AS dr, round_even(abs(round_even(-fq-fr,0)-(-fq-fr))*1e8, 0) AS ds FROM f0),
 cells AS (SELECT event_id, user_id, ts, event_type, value, lat, lon, (CASE WHEN dq > dr AND dq > ds THEN -r-s ELSE q END)::BIGINT AS q,
  (CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -q-s ELSE r END)::BIGINT AS r FROM f1),
 cid AS (SELECT *, {level}::BIGINT * {1 << 56} + (q + {H.HALF}) * {H.SPAN} + (r + {H.HALF}) AS cell FROM cells)"""
@@ -45,7 +45,7 @@ def hex_cells(spark, sf):
 @query("parent_hex_cells", f"""WITH {pts_cells_sql(8)},
 ctr AS (SELECT ({math.sqrt(3)!r}::DOUBLE*q + {math.sqrt(3)/2!r}::DOUBLE*r)*{H.edge_length(8)!r} AS x, r*{1.5*H.edge_length(8)!r} AS y FROM cells),
 g0 AS (SELECT (x*{math.sqrt(3)/3!r}::DOUBLE - y/3)/{H.edge_length(6)!r} AS fq, y*{2/3!r}::DOUBLE/{H.edge_length(6)!r}::DOUBLE AS fr FROM ctr),
-g1 AS (SELECT *, round_even(fq,0) AS q, round_even(fr,0) AS r, round_even(-fq-fr,0) AS s, abs(round_even(fq,0)-fq) AS dq, abs(round_even(fr,0)-fr) AS dr, abs(round_even(-fq-fr,0)-(-fq-fr)) AS ds FROM g0)
+g1 AS (SELECT *, round_even(fq,0) AS q, round_even(fr,0) AS r, round_even(-fq-fr,0) AS s, round_even(abs(round_even(fq,0)-fq)*1e8, 0) AS dq, round_even(abs(round_even(fr,0)-fr)*1e8, 0) AS dr, round_even(abs(round_even(-fq-fr,0)-(-fq-fr))*1e8, 0) AS ds FROM g0)
 SELECT 6::BIGINT * {1 << 56} + ((CASE WHEN dq > dr AND dq > ds THEN -r-s ELSE q END)::BIGINT + {H.HALF}) * {H.SPAN} + ((CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -q-s ELSE r END)::BIGINT + {H.HALF}) AS parent, count(*) AS n FROM g1 GROUP BY 1""")
 def parents(spark, sf):
     cell = H.point_cell(F.col("lat"), F.col("lon"), 8)
