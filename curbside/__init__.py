@@ -1,0 +1,8 @@
+"""Marketplace experiment, incentive and demand analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions used in Arrow UDFs travel with the task, so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

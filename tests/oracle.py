@@ -21,8 +21,6 @@ TABLES = (
 def spark_session(app="curbside-tests", cpus="8"):
     from pyspark.sql import SparkSession
 
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (root, os.environ.get("PYTHONPATH", "")) if p)
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName(app)
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")

@@ -127,7 +127,8 @@ def collection(spark, sf):
 
 
 def _event_stream(spark, sf):
-    return spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))  # event time must be a zoned timestamp
 
 
 @query("streamed_view_funnel", """
