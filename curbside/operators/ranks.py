@@ -9,12 +9,12 @@ group, however many rows or distinct values one key has.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import null_safe_join, sum_of
+from ..functions.frames import null_safe_join, stable_checkpoint, sum_of
 
 COARSE_PER_UNIT = 64      # coarse bins per unit of signed log(1 + |v|)
 FINE_PER_COARSE = 65536
@@ -73,29 +73,80 @@ def cumulative_counts(
     )
 
 
+def values_at_ranks(
+    df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]]
+) -> DataFrame:
+    """Per key and name: the value at a 0-based rank, and `<name>_before` = rows strictly below it.
+
+    A rank is a function of the key's row count. The first pass only counts rows per bin, so the
+    shuffle carries bins; the second pass keeps the rows of the few bins that hold a wanted rank.
+    The wanted bins are written out, which tells the optimizer their size before it picks the join.
+    """
+    keys = list(keys)
+    v = F.col(value).cast("double")
+    coarse, fine = _bins(v)
+    base = df.filter(v.isNotNull() & ~F.isnan(v)).select(
+        *keys, v.alias("__v"), coarse.alias("__coarse"), fine.alias("__fine")
+    )
+    bins = base.groupBy(*keys, "__coarse", "__fine").agg(F.count(F.lit(1)).alias("__n"))
+    blocks = bins.groupBy(*keys, "__coarse").agg(F.sum("__n").alias("__bn"))
+    by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    blocks = blocks.withColumns(
+        {
+            "__b0": F.coalesce(F.sum("__bn").over(by_key.orderBy("__coarse").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "__total": F.sum("__bn").over(by_key),
+        }
+    )
+    wanted = F.explode(
+        F.array(*[F.struct(F.lit(n).alias("name"), fn(F.col("__total")).cast("bigint").alias("rank")) for n, fn in ranks.items()])
+    )
+    hit = blocks.withColumn("__w", wanted).filter(
+        (F.col("__b0") <= F.col("__w.rank")) & (F.col("__w.rank") < F.col("__b0") + F.col("__bn"))
+    ).select(*keys, "__coarse", "__b0", "__total", "__w")
+    inner = Window.partitionBy(*keys, "__coarse").orderBy("__fine").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("__f0", F.coalesce(F.sum("__n").over(inner), F.lit(0)))
+    joined = null_safe_join(bins, hit, [*keys, "__coarse"])
+    start = F.col("__b0") + F.col("__f0")
+    targets = joined.filter((start <= F.col("__w.rank")) & (F.col("__w.rank") < start + F.col("__n"))).select(
+        *keys, "__coarse", "__fine", F.col("__w.name").alias("__name"), F.col("__w.rank").alias("__rank"), start.alias("__start"), "__total"
+    )
+    targets = stable_checkpoint(targets)
+    at = [*keys, "__coarse", "__fine"]
+    values = (
+        null_safe_join(base, targets.select(*at).distinct(), at)
+        .groupBy(*at, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    )
+    inside = Window.partitionBy(*at).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("__v0", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    below = F.col("__start") + F.col("__v0")
+    found = null_safe_join(values, targets, at).filter((below <= F.col("__rank")) & (F.col("__rank") < below + F.col("__n")))
+    aggs = []
+    for n in ranks:
+        mine = F.col("__name") == n
+        aggs += [F.max(F.when(mine, F.col("__v"))).alias(n), F.max(F.when(mine, below)).alias(f"{n}_before")]
+    return found.groupBy(*keys).agg(*aggs, F.max("__total").alias("rows"))
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]
 ) -> DataFrame:
     """Exact quantiles per key with linear interpolation, one column per name."""
     keys = list(keys)
-    ranked = cumulative_counts(df, keys, value, {"__n": F.count(F.lit(1))})
-    totals = ranked.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    ranked = null_safe_join(ranked, totals, keys)
-    aggs = []
+
+    def position(q):
+        return lambda total: F.lit(float(q)) * (total - 1)
+
+    ranks = {}
     for name, q in quantiles.items():
-        pos = F.lit(float(q)) * (F.col("__total") - 1)
-        for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (F.col("__n_before") <= rank) & (rank < F.col("__n_before") + F.col("__n"))
-            aggs.append(F.max(F.when(hit, F.col(value))).alias(f"__{side}_{name}"))
-        aggs.append(F.max(pos - F.floor(pos)).alias(f"__w_{name}"))
-    out = ranked.groupBy(*keys).agg(*aggs)
-    return out.select(
-        *keys,
-        *[
-            (F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__w_{n}")).alias(n)
-            for n in quantiles
-        ],
-    )
+        ranks[f"__lo_{name}"] = lambda total, p=position(q): F.floor(p(total))
+        ranks[f"__hi_{name}"] = lambda total, p=position(q): F.ceil(p(total))
+    out = values_at_ranks(df, keys, value, ranks)
+    columns = []
+    for name, q in quantiles.items():
+        pos = position(q)(F.col("rows"))
+        lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+        columns.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+    return out.select(*keys, *columns)
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import pvalues as P
 from ..functions.frames import dtype_of, null_safe_join, spread
 from ..functions.hashing import draw, key_number, poisson_weight, with_draw
-from .ranks import cumulative_counts
+from .ranks import cumulative_counts, values_at_ranks
 from .tests import chi2_test, pair_up, proportion_test, ratio_stats, ratio_t_test, ratio_z_test, value_stats, welch_test
 
 
@@ -151,18 +151,14 @@ def exact_sample(
 ) -> DataFrame:
     """Sample of exact size without replacement per key: the rows with the smallest draws.
 
-    The cut-off draw is found by running counts, so no key is sorted in one task.
+    The cut-off draw is found by counting bins of draws, so no key is sorted in one task.
     `unit` identifies a row.
     """
     keys = list(keys)
-    sizes = sample_size_rows(df, keys, share, cap)
+    size = lambda total: F.least(F.lit(cap), F.floor(total * share)).cast("bigint")
     tagged = df.withColumn("__u", draw(seed, _unit_number(df, unit), F.lit(0)))
-    runs = cumulative_counts(tagged, keys, "__u", {"__n": F.count(F.lit(1))})
-    cut = (
-        null_safe_join(runs, sizes, keys)
-        .filter((F.col("__n_before") < F.col("__k")) & (F.col("__k") <= F.col("__n_before") + F.col("__n")))
-        .select(*keys, F.col("__u").alias("__cut"), (F.col("__k") - F.col("__n_before")).alias("__need"))
-    )
+    found = values_at_ranks(tagged, keys, "__u", {"__cut": lambda total: size(total) - 1})
+    cut = found.select(*keys, "__cut", (size(F.col("rows")) - F.col("__cut_before")).alias("__need"))
     joined = null_safe_join(tagged, cut, keys)
     inside = joined.filter(F.col("__u") < F.col("__cut"))
     tie = Window.partitionBy(*keys, "__u").orderBy(unit) if keys else Window.partitionBy("__u").orderBy(unit)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import null_safe_join
+from ..functions.frames import null_safe_join, stable_checkpoint
 from ..functions.scalars import flag, lift, max_part
 from ..operators.correction import benjamini_hochberg
 from ..operators.metrics import ExperimentSpec, bucket_rows, metric_rows, pairs_with_lift, totals
@@ -28,16 +28,18 @@ def evaluate(
 ) -> DataFrame:
     """All metrics x all split pairs of every experiment in `keys`.
 
-    One pass makes totals, one makes the bucketed metric rows; tests, correction, lifts and
-    detectable effects are arithmetic on those results. `unit` replaces the hash bucket (e.g. one row per user).
+    One pass makes totals, one makes the bucketed metric rows. Both are small (splits; buckets x
+    metrics) and are written out, so the facts are read exactly twice; tests, correction, lifts
+    and detectable effects are arithmetic on those results. `unit` replaces the hash bucket (e.g. one row per user).
     """
     keys = list(keys)
-    total = totals(facts, spec, keys)
+    total = stable_checkpoint(totals(facts, spec, keys))
     lifts = pairs_with_lift(total, keys)
     if unit is None:
         rows = bucket_rows(facts, spec, n_buckets, keys)
     else:
         rows = metric_rows(facts.filter(F.col(spec.split_col).isNotNull()), spec.split_col, unit, spec.metrics, keys)
+    rows = stable_checkpoint(rows)
     on = [*keys, "split_pair", "metric"]
     tests = None
     for estimator in dict.fromkeys(m.estimator for m in spec.metrics):

@@ -204,7 +204,7 @@ REPS = 100
 def boot_sql(mod, reps, seed, value="x", over="y"):
     w = poisson_sql("u")
     return f"""{user_sql(mod)}, d AS (SELECT m.*, rep, {draw_sql(seed, 'unit', 'rep')} AS u FROM m, (SELECT unnest(range(1, {reps + 1})) AS rep)),
-w AS (SELECT split, rep, sum({value} * {w}) / sum({over} * {w}) AS v FROM d GROUP BY 1, 2),
+w AS (SELECT split, rep, sum({value} * {w}) / nullif(sum({over} * {w}), 0) AS v FROM d GROUP BY 1, 2),
 dl AS (SELECT a.split AS split_0, b.split AS split_1, rep, b.v - a.v AS d FROM w a JOIN w b USING (rep) WHERE a.split < b.split),
 sm AS (SELECT split_0, split_1, count(d) AS reps, avg(d) AS delta, stddev_pop(d) AS sd, quantile_cont(d, 0.005) AS lb, quantile_cont(d, 0.995) AS ub, count(*) FILTER (d < 0) AS negative FROM dl GROUP BY 1, 2)"""
 
