@@ -23,17 +23,12 @@ def with_centres(df: DataFrame, cell: str = "cell", level: int = 8) -> DataFrame
     return df.withColumns({"lat": lat, "lon": lon})
 
 
-def hot_cells(df: DataFrame, keys: Sequence[str], q_views: float, q_d2v: float | None = None, q_column: str | None = None) -> DataFrame:
-    """Cells with views at or above and d2v at or below their quantiles per key.
-
-    q_column names a column that holds the d2v quantile (several candidates at once).
-    """
+def hot_cells(df: DataFrame, keys: Sequence[str], q_views: float, q_d2v: float) -> DataFrame:
+    """Cells with views at or above and d2v at or below their quantiles per key."""
     views = exact_quantiles(df, keys, "views", {"__views": q_views})
     out = null_safe_join(df, views, keys).filter(F.col("views") >= F.col("__views")).drop("__views")
-    if q_column is None:
-        d2v = exact_quantiles(df, keys, "d2v", {"__d2v": q_d2v})
-        return null_safe_join(out, d2v, keys).filter(F.col("d2v") <= F.col("__d2v")).drop("__d2v")
-    raise ValueError("use hot_cells_for for candidate quantiles")
+    d2v = exact_quantiles(df, keys, "d2v", {"__d2v": q_d2v})
+    return null_safe_join(out, d2v, keys).filter(F.col("d2v") <= F.col("__d2v")).drop("__d2v")
 
 
 def hot_cells_for(df: DataFrame, keys: Sequence[str], q_views: float, candidates: Sequence[float]) -> DataFrame:
@@ -82,22 +77,25 @@ def connected_components(nodes: DataFrame, links: DataFrame, keys: Sequence[str]
     keys = list(keys)
     labels = stable_checkpoint(nodes.select(*keys, "cell").distinct().withColumn("component", F.col("cell")))
     links = stable_checkpoint(links.select(*keys, "cell", "other"))
-    for _ in range(max_rounds):
-        other = labels.select(*keys, F.col("cell").alias("other"), F.col("component").alias("__c"))
+
+    def spread_labels(current):
+        other = current.select(*keys, F.col("cell").alias("other"), F.col("component").alias("__c"))
         best = links.join(other, [*keys, "other"]).groupBy(*keys, "cell").agg(F.min("__c").alias("__b"))
-        step = labels.join(best, [*keys, "cell"], "left").withColumn(
+        step = current.join(best, [*keys, "cell"], "left").withColumn(
             "__new", F.least(F.col("component"), F.coalesce("__b", F.col("component")))
         )
         # pointer jump: follow the label of the label
         target = step.select(*keys, F.col("cell").alias("__new"), F.col("__new").alias("__jump"))
-        jumped = step.join(target, [*keys, "__new"], "left").select(
+        return step.join(target, [*keys, "__new"], "left").select(
             *keys, "cell", F.col("component").alias("__old"), F.least("__new", F.coalesce("__jump", "__new")).alias("component")
         )
-        jumped = stable_checkpoint(jumped)  # one table per round; labels shrink to a component in O(log n) rounds
-        changed = not jumped.filter(F.col("__old") != F.col("component")).isEmpty()
-        labels = jumped.drop("__old")
-        if not changed:
-            return labels
+
+    for _ in range(max_rounds):
+        # two exchanges per written table; a round of pointer jumps halves the distance to the smallest label
+        labels = stable_checkpoint(spread_labels(spread_labels(labels).drop("__old")))
+        if labels.filter(F.col("__old") != F.col("component")).isEmpty():
+            return labels.drop("__old")
+        labels = labels.drop("__old")
     raise RuntimeError("components did not settle; raise max_rounds")
 
 
@@ -227,7 +225,7 @@ def split_clusters(
     for i in range(rounds):
         nearest = F.array_min(F.transform("__centres", lambda p: F.struct(squared(F.col("z"), p["m"]).alias("d"), p["c"].alias("c"))))
         moved = points.select(*fit, "cell", "z").join(centres(assigned), fit).withColumn("c", nearest["c"]).drop("__centres")
-        assigned = stable_checkpoint(moved) if i % 2 else moved
+        assigned = stable_checkpoint(moved) if i % 5 == 4 else moved
 
     # mean squared distance from a point to a part follows from the part's size, mean and mean square
     norm = F.aggregate("z", F.lit(0.0), lambda s, v: s + v * v)

@@ -290,6 +290,6 @@ def budget(spark, sf):
     """Bisection on the d2v quantile against a spend limit derived from the data, then the zones' totals."""
     cells = stable_checkpoint(hex_cells_frame(spark, sf))
     limits = Z.CityLimits(limit=1500.0, views_quantile=0.5, d2v_min=0.5, d2v_default=0.7, d2v_max=0.95)
-    q, spend = Z.find_d2v_quantile(lambda qs: Z.spend_by_quantile(cells, limits, qs), limits, rounds=4)
+    q, spend = Z.find_d2v_quantile(lambda qs: Z.spend_by_quantile(cells, limits, qs), limits, rounds=3, depth=2)
     result = Z.setup_summary(Z.suggest_prices(cells, limits, q))
     return rounded(result.withColumns({"q_d2v": F.lit(q), "search_spend": F.lit(spend or 0.0)}), 4)
