@@ -75,10 +75,15 @@ def one_hot(df: DataFrame, column: str, values: Sequence) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, keys: Sequence[str], measure: str, within: Sequence[str] = ()) -> DataFrame:
-    """Sum of a measure per key and its share of the total (per `within`)."""
+    """Sum of a measure per key and its share of the total (per `within`).
+
+    Totals are an aggregate joined back, not a window, so a large group is not gathered in one task.
+    """
     grouped = df.groupBy(*keys).agg(F.sum(measure).alias(measure))
-    w = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    return grouped.withColumn("share", F.try_divide(F.col(measure).cast("double"), F.sum(measure).over(w).cast("double")))
+    totals = df.groupBy(*within).agg(F.sum(measure).alias("__total"))
+    joined = null_safe_join(grouped, totals, within) if within else grouped.withColumn("__total", totals.select("__total").scalar())
+    share = F.try_divide(F.col(measure).cast("double"), F.col("__total").cast("double"))
+    return joined.withColumn("share", share).drop("__total")
 
 
 def main_category(df: DataFrame, keys: Sequence[str], category: str) -> DataFrame:

@@ -109,28 +109,40 @@ def breakdown_evaluation(
 ) -> DataFrame:
     """Post-test table: metric x pair x breakdown value with p, BH-adjusted p, sizes and enough flag.
 
-    `frames` hold the rows with a `split` column; `sources` maps a metric to its frame. Every metric's
-    breakdowns are stacked as keys, so a metric costs one aggregate and one test for all values.
+    `frames` hold the rows with a `split` column (and `unit`, a row id, for continuous metrics); `sources`
+    maps a metric to its frame. Metrics of one kind, frame and breakdown set are stacked as keys and
+    evaluated together: one pass for sizes and one for the test, however many metrics and values.
     """
     confidence = 1 - alpha
+    batches: dict[tuple, list[str]] = {}
+    for name, (kind, _, _, by) in metrics.items():
+        columns = tuple(b for b in by if b != "Total" and b in frames[sources[name]].columns)
+        batches.setdefault((kind, sources[name], columns), []).append(name)
     out = None
-    for name, (kind, x, y, by) in metrics.items():
-        source = frames[sources[name]]
-        columns = [b for b in by if b != "Total" and b in source.columns]
-        rows = breakdown_rows(source, columns).filter(F.col("split").isNotNull())
-        if y == "drivers":
-            rows = rows.withColumn("drivers", F.lit(1))
-        grp = [*keys, "breakdown", "breakdown_value"]
-        sizes = verdict_rows(rows, "continuous" if kind == "continuous_median" else kind, x, user, y, grp, alpha, power)
+    for (kind, source, columns), names in batches.items():
+        entries = []
+        for name in names:
+            _, x, y, _ = metrics[name]
+            over = F.lit(1.0) if y in (None, "drivers") else F.col(y).cast("double")
+            entries.append(F.struct(F.lit(name).alias("metric"), F.col(x).cast("double").alias("x"), over.alias("y")))
+        frame = frames[source]
+        base = list(dict.fromkeys([*keys, "split", user, *(["unit"] if "unit" in frame.columns else []), *columns]))
+        narrow = frame.filter(F.col("split").isNotNull()).select(*base, F.array(*entries).alias("__m"))
+        rows = breakdown_rows(narrow, columns).withColumn("__m", F.explode("__m"))
+        rows = rows.select(*[c for c in rows.columns if c != "__m"], "__m.*")
+        grp = [*keys, "metric", "breakdown", "breakdown_value"]
+        sizes = verdict_rows(
+            rows, "continuous" if kind == "continuous_median" else kind, "x", user, "y" if kind == "ratio" else None, grp, alpha, power
+        )
         if kind == "binomial":
-            test = chi2_test(pair_up(value_stats(rows, x, grp), grp))
+            test = chi2_test(pair_up(value_stats(rows, "x", grp), grp))
         elif kind == "ratio":
-            test = bootstrap_ratio(rows.select(*grp, "split", user, F.col(x).cast("double").alias("bx"), F.col(y).cast("double").alias("by")), "bx", "by", user, grp, reps, seed, confidence)
+            test = bootstrap_ratio(rows, "x", "y", user, grp, reps, seed, confidence)
         else:
             boot = bootstrap_median if kind == "continuous_median" else bootstrap_mean
-            test = boot(rows, x, grp, "unit", reps, seed, confidence)
+            test = boot(rows, "x", grp, "unit", reps, seed, confidence)
         test = test.select(*grp, "split_0", "split_1", "pvalue")
-        label = F.when(F.col("breakdown") == "Total", F.lit(name)).otherwise(F.concat(F.lit(f"{name}_"), F.col("breakdown_value")))
+        label = F.when(F.col("breakdown") == "Total", F.col("metric")).otherwise(F.concat_ws("_", "metric", "breakdown_value"))
         part = null_safe_join(sizes, test, [*grp, "split_0", "split_1"], "left").withColumn("metric", label)
         part = part.withColumns({"split_0": F.col("split_0").cast("string"), "split_1": F.col("split_1").cast("string")})
         out = part if out is None else out.unionByName(part)

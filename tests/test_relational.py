@@ -219,3 +219,15 @@ def test_ladder_outcome_arithmetic(spark):
     # step 2: 3 drivers raw, step 4: 1 raw; rescaled to 8 drivers: 6 and 2
     assert (r.drivers, r.rides) == (8.0, 20.0) and r.gmv == 6 * 300 + 2 * 600 and r.fee == 300.0
     assert r.contribution == pytest.approx(3000 * 0.2 - 300 - 10) and r.di_gmv == pytest.approx(-0.1)
+
+
+def test_append_results_projects_columns(spark, tmp_path):
+    spark.sql(f"create database if not exists curbside_results location '{tmp_path}/db'")
+    stats = spark.createDataFrame([("a", 1.0, "x")], "metric string, lift double, extra string")
+    for _ in range(2):
+        tables.append_results({"stats": stats}, {"stats": ["metric", "lift"]}, "curbside_results")
+    back = spark.table("curbside_results.stats")
+    assert back.columns == ["metric", "lift"] and back.count() == 2
+    spark.sql("drop database curbside_results cascade")
+    files.export_summary(stats, str(tmp_path / "summary"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "summary")).count() == 1
