@@ -46,9 +46,9 @@ def step_deltas(full: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def scenario_rows(ladders: DataFrame, keys: Sequence[str], context: DataFrame, steps: tuple[int, int] = (1, 60)) -> DataFrame:
-    """Scenario frame: every ladder step with its deltas, attached to each context row (one day's market figures)."""
+    """Scenario frame: every ladder step with its deltas and the figures of one context row (one day's market)."""
     rows = step_deltas(filled_ladder(ladders, keys, steps[1] + 1), keys).filter(F.col("step").between(*steps))
-    return rows.withColumn("__one", F.lit(1)).join(context.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    return rows.withColumns({c: context.select(c).scalar() for c in context.columns})
 
 
 def ladder_outcome(scored: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -297,14 +297,14 @@ def aa_half(spark, sf):
 # --- power ----------------------------------------------------------------
 
 @query("sample_size_for_mean_lift", """
-SELECT event_type, lift, round(avg(value) / stddev_samp(value) * lift, 8) AS effect FROM events, (VALUES (0.05), (0.1)) l(lift) GROUP BY 1, 2""")
+SELECT event_type, lift, round(avg(value) / stddev_samp(value) * lift, 8) AS effect FROM events, (VALUES (0.05::DOUBLE), (0.1::DOUBLE)) l(lift) GROUP BY 1, 2""")
 def size_mean(spark, sf):
     out = W.mean_sample_size(table(spark, sf, "events"), "value", [0.05, 0.1], 0.01, 0.9, ["event_type"])
     return out.filter("nobs_needed > 0").select("event_type", "lift", r("effect", 8).alias("effect"))
 
 
 @query("sample_size_for_ratio_lift", f"""WITH {user_sql(2)}
-SELECT lift, round(sum(x) / sum(y) / stddev_samp(x / y) * lift, 8) AS effect FROM m, (VALUES (0.02), (0.1)) l(lift) GROUP BY 1""")
+SELECT lift, round(sum(x) / sum(y) / stddev_samp(x / y) * lift, 8) AS effect FROM m, (VALUES (0.02::DOUBLE), (0.1::DOUBLE)) l(lift) GROUP BY 1""")
 def size_ratio(spark, sf):
     out = W.ratio_sample_size(user_rows(spark, sf), "x", "y", [0.02, 0.1], 0.01, 0.9)
     return out.filter("nobs_needed > 0").select("lift", r("effect", 8).alias("effect"))
