@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -69,6 +70,12 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def settle(self) -> None:
+        """Lets Spark delete shuffle files of steps whose results are written; it does so for plans nobody holds any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """One record batch out for each one in; tasks never hold more than a batch."""
 

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .base import ORACLES, QUERIES
 
-for _name in ("html_extraction", "pii", "license_scan", "language_id", "decontamination", "packing", "jaccard_join", "quality_rules"):
+for _name in ("html_extraction", "pii", "license_scan", "substring_dedup", "language_id", "decontamination", "packing", "jaccard_join", "quality_rules"):
     import_module(f"{__package__}.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]
