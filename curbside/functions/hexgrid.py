@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 EARTH_RADIUS = 6378137.0
 EDGE_LEVEL_8 = 461.354684  # metres on the Mercator plane at level 8
+MAX_LEVEL = 15
 HALF = 1 << 27
 SPAN = 1 << 28
 SQRT3 = math.sqrt(3.0)
@@ -68,20 +69,30 @@ def point_cell(lat: Column, lon: Column, level: int = 8) -> Column:
     return plane_cell(*mercator(lat, lon), level)
 
 
-def plane_centre(cell: Column, level: int) -> tuple[Column, Column]:
+def cell_level(cell: Column) -> Column:
+    """The level that the id holds."""
+    return F.shiftright(cell, 56).cast("int")
+
+
+def cell_edge(cell: Column) -> Column:
+    """Edge length in metres on the plane, by the level in the id."""
+    return F.element_at(F.array(*[F.lit(edge_length(k)) for k in range(MAX_LEVEL + 1)]), cell_level(cell) + 1)
+
+
+def plane_centre(cell: Column) -> tuple[Column, Column]:
     q, r = cell_parts(cell)
-    size = edge_length(level)
-    return (q * SQRT3 + r * (SQRT3 / 2)) * size, r * (1.5 * size)
+    size = cell_edge(cell)
+    return (q * SQRT3 + r * (SQRT3 / 2)) * size, r * (size * 1.5)
 
 
-def cell_centre(cell: Column, level: int = 8) -> tuple[Column, Column]:
+def cell_centre(cell: Column) -> tuple[Column, Column]:
     """(lat, lon) of the cell's centre."""
-    return unmercator(*plane_centre(cell, level))
+    return unmercator(*plane_centre(cell))
 
 
-def cell_parent(cell: Column, level: int, parent_level: int) -> Column:
+def cell_parent(cell: Column, parent_level: int) -> Column:
     """The coarser cell that holds the cell's centre."""
-    return plane_cell(*plane_centre(cell, level), parent_level)
+    return plane_cell(*plane_centre(cell), parent_level)
 
 
 def _shift(dq: int, dr: int) -> int:
@@ -101,10 +112,10 @@ def cell_neighbours(cell: Column, max_ring: int = 1) -> Column:
     return F.array(*[cell + F.lit(_shift(q, r)).cast("bigint") for q, r in offsets])
 
 
-def cell_corners(cell: Column, level: int = 8) -> Column:
+def cell_corners(cell: Column) -> Column:
     """Array of 6 (lat, lon) corner structs."""
-    x, y = plane_centre(cell, level)
-    size = edge_length(level)
+    x, y = plane_centre(cell)
+    size = cell_edge(cell)
     corners = []
     for i in range(6):
         angle = math.radians(60 * i - 30)
@@ -133,8 +144,7 @@ def cell_edges(cell: Column) -> Column:
     return F.array(*structs)
 
 
-def corner_point(q3: Column, r3: Column, level: int = 8) -> tuple[Column, Column]:
-    """(lat, lon) of a corner key: the mean of its three cell centres."""
+def corner_point(q3: Column, r3: Column, size: Column) -> tuple[Column, Column]:
+    """(lat, lon) of a corner key, for cells of the given edge length: the mean of its three cell centres."""
     q, r = q3 / 3.0, r3 / 3.0
-    size = edge_length(level)
     return unmercator((q * SQRT3 + r * (SQRT3 / 2)) * size, r * (1.5 * size))

@@ -6,20 +6,21 @@ over tasks freely. Iterations cut lineage with reliable checkpoints.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import null_safe_join, stable_checkpoint
-from ..functions.hexgrid import cell_centre, cell_neighbours
+from ..functions.hexgrid import EARTH_RADIUS, cell_centre, cell_edge, cell_neighbours
 from .ranks import exact_quantiles
 
-MAX_RING = 3  # degree-distance neighbours reach at most ring 3 below 73 degrees of latitude
+KMEANS_ROUNDS = 300  # a fit that has not settled by then is an error
 
 
-def with_centres(df: DataFrame, cell: str = "cell", level: int = 8) -> DataFrame:
-    lat, lon = cell_centre(F.col(cell), level)
+def with_centres(df: DataFrame, cell: str = "cell") -> DataFrame:
+    lat, lon = cell_centre(F.col(cell))
     return df.withColumns({"lat": lat, "lon": lon})
 
 
@@ -59,12 +60,12 @@ def neighbour_links(df: DataFrame, slot: Sequence[str], max_ring: int = 1, carry
     return df.select(*slot, "cell").join(near, [*slot, "cell"])
 
 
-def cluster_radius(df: DataFrame, slot: Sequence[str], level: int = 8) -> DataFrame:
+def cluster_radius(df: DataFrame, slot: Sequence[str]) -> DataFrame:
     """Per slot: 0.2 * mean + 0.8 * max of the widest centre distance to a ring-1 neighbour, in degrees."""
-    lat, lon = cell_centre(F.col("cell"), level)
+    lat, lon = cell_centre(F.col("cell"))
 
     def distance(n):
-        la, lo = cell_centre(n, level)
+        la, lo = cell_centre(n)
         return F.sqrt((la - lat) * (la - lat) + (lo - lon) * (lo - lon))
 
     widest = F.array_max(F.transform(cell_neighbours(F.col("cell")), distance))
@@ -99,16 +100,26 @@ def connected_components(nodes: DataFrame, links: DataFrame, keys: Sequence[str]
     raise RuntimeError("components did not settle; raise max_rounds")
 
 
-def geo_clusters(df: DataFrame, slot: Sequence[str], min_samples: int = 2, level: int = 8) -> DataFrame:
+def ring_reach(cells: DataFrame, eps: DataFrame) -> int:
+    """Hex steps within which every cell at most eps degrees away lies.
+
+    A step covers least going straight north or south, where it is 1.5 edges on the plane, shrunk by the cosine of the latitude.
+    """
+    step = F.degrees(cell_edge(F.col("cell")) * 1.5 / EARTH_RADIUS) * F.cos(F.radians("lat"))
+    least, widest = cells.agg(F.min(step)).first()[0], eps.agg(F.max("eps")).first()[0]
+    return max(1, math.ceil(widest / least)) if least else 1
+
+
+def geo_clusters(df: DataFrame, slot: Sequence[str], min_samples: int = 2) -> DataFrame:
     """Density clusters of cells within the slot's radius; adds `geo_cluster` (0 = noise).
 
     A cell is a core when it and its neighbours within the radius number min_samples or more.
     Clusters are the components of the core graph; other cells join a neighbouring core's cluster.
     """
     slot = list(slot)
-    cells = stable_checkpoint(with_centres(df.select(*slot, "cell").distinct(), level=level))
-    eps = cluster_radius(cells, slot, level)
-    links = neighbour_links(cells, slot, MAX_RING, carry=["lat", "lon"])
+    cells = stable_checkpoint(with_centres(df.select(*slot, "cell").distinct()))
+    eps = stable_checkpoint(cluster_radius(cells, slot))
+    links = neighbour_links(cells, slot, ring_reach(cells, eps), carry=["lat", "lon"])
     links = null_safe_join(links.join(cells, [*slot, "cell"]), eps, slot)
     gap = F.sqrt(F.pow(F.col("lat") - F.col("other_lat"), 2) + F.pow(F.col("lon") - F.col("other_lon"), 2))
     links = stable_checkpoint(links.filter(gap <= F.col("eps")).select(*slot, "cell", "other"))
@@ -183,7 +194,7 @@ def slots_with(df: DataFrame, slot: Sequence[str], at_least: int = 3) -> DataFra
 
 def split_clusters(
     df: DataFrame, slot: Sequence[str], features: Sequence[str] = ("lat", "lon", "bill"), big: int = 9, per_part: int = 7,
-    max_k: int = 8, rounds: int = 10,
+    max_k: int = 8,
 ) -> DataFrame:
     """Splits clusters of at least `big` cells by k-means on standardised features; adds `part` (0 when not split).
 
@@ -222,10 +233,17 @@ def split_clusters(
     def squared(a, b):
         return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
-    for i in range(rounds):
+    for i in range(1, KMEANS_ROUNDS + 1):  # until no point changes its part; looked at every fifth round
         nearest = F.array_min(F.transform("__centres", lambda p: F.struct(squared(F.col("z"), p["m"]).alias("d"), p["c"].alias("c"))))
-        moved = points.select(*fit, "cell", "z").join(centres(assigned), fit).withColumn("c", nearest["c"]).drop("__centres")
-        assigned = stable_checkpoint(moved) if i % 5 == 4 else moved
+        moved = assigned.select(*fit, "cell", "z", F.col("c").alias("__old")).join(centres(assigned), fit)
+        assigned = moved.withColumn("c", nearest["c"]).drop("__centres")
+        if i % 5 == 0:
+            assigned = stable_checkpoint(assigned)
+            if assigned.filter(F.col("c") != F.col("__old")).isEmpty():
+                break
+    else:
+        raise RuntimeError(f"parts did not settle in {KMEANS_ROUNDS} rounds")
+    assigned = assigned.drop("__old")
 
     # mean squared distance from a point to a part follows from the part's size, mean and mean square
     norm = F.aggregate("z", F.lit(0.0), lambda s, v: s + v * v)

@@ -130,6 +130,12 @@ def geojson(ring: Column) -> Column:
     return F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(coords).alias("coordinates")))
 
 
+def geojson_shapes(rings: Column) -> Column:
+    """GeoJSON MultiPolygon text of an array of outer rings."""
+    coords = F.transform(rings, lambda ring: F.array(F.transform(F.concat(ring, F.slice(ring, 1, 1)), lambda p: F.array(p["lon"], p["lat"]))))
+    return F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), coords.alias("coordinates")))
+
+
 def feature(ring: Column, properties: Column) -> Column:
     closed = F.concat(ring, F.slice(ring, 1, 1))
     coords = F.transform(closed, lambda p: F.array(p["lon"], p["lat"]))
@@ -169,7 +175,7 @@ def polygon_cells(polygons: DataFrame, keys: Sequence[str], ring: str = "ring",
         "__q", F.explode(F.sequence(F.floor(q_of(F.col("__xl"))) - 1, F.ceil(q_of(F.col("__xh"))) + 1))
     )
     df = df.withColumn("cell", cell_id(F.col("__q"), F.col("__r"), level))
-    lat, lon = cell_centre(F.col("cell"), level)
+    lat, lon = cell_centre(F.col("cell"))
     return df.filter(point_in_ring(lat, lon, F.col(ring))).select(*keys, "cell").distinct()
 
 

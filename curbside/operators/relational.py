@@ -10,14 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.frames import null_safe_join
 from .ranks import exact_quantiles
 
-BROADCAST_ROWS = 200_000
-
-
-def ship_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting at most max_rows + 1 rows; larger sides stay a shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def any_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Left join with at most one match per left row: the right side keeps its first row by `order`."""
     others = [c for c in right.columns if c not in keys]

@@ -46,12 +46,11 @@ def value_stats(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFr
 
 def pair_up(stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One row per pair of splits: columns of the lower split end in _0, of the higher in _1."""
-    cols = [c for c in stats.columns if c not in (*keys, "split")]
-    a = stats.select(*keys, F.col("split").alias("split_0"), *[F.col(c).alias(f"{c}_0") for c in cols])
-    b = stats.select(*keys, F.col("split").alias("split_1"), *[F.col(c).alias(f"{c}_1") for c in cols])
-    b = b.filter(F.col("split_1").isNotNull())
-    joined = null_safe_join(a, b, list(keys)) if keys else a.join(b, F.col("split_0") < F.col("split_1"))
-    return joined.filter(F.col("split_0") < F.col("split_1"))
+    cols = ["split", *[c for c in stats.columns if c not in (*keys, "split")]]
+    arms = stats.filter(F.col("split").isNotNull()).groupBy(*keys).agg(F.collect_list(F.struct(*cols)).alias("__arms"))  # one entry for each arm
+    pairs = arms.select(*keys, F.explode("__arms").alias("__a"), "__arms")
+    pairs = pairs.select(*keys, "__a", F.explode(F.filter("__arms", lambda b: b["split"] > F.col("__a.split"))).alias("__b"))
+    return pairs.select(*keys, *[F.col(f"__{s}.{c}").alias(f"{c}_{i}") for i, s in enumerate("ab") for c in cols])
 
 
 def _delta_variance(s: str, mode: str) -> tuple[Column, Column]:

@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import require_columns, require_rows, stable_checkpoint
-from ..functions.hexgrid import cell_edges, corner_point
+from ..functions.frames import null_safe_join, require_columns, require_rows, stable_checkpoint
+from ..functions.hexgrid import cell_edge, cell_edges, corner_point
 from ..functions.scalars import to_fives
 from ..operators import geoclusters as G
-from ..operators.polygons import geojson, smoothed_ring
+from ..operators.polygons import geojson_shapes, smoothed_ring
 
 SLOT = ("locality", "weekday", "hour")
 
@@ -87,24 +87,26 @@ def cluster_costs(clustered: DataFrame, multiplier: float, slot: Sequence[str] =
 
 
 def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Longest closed walk over directed outline edges of one cluster."""
-    step = {(a, b): (c, d) for a, b, c, d in pdf[["q0", "r0", "q1", "r1"]].itertuples(index=False)}
-    best: list = []
+    """Closed walks over the directed outline edges of one cluster, one `part_no` each; clockwise ones bound holes and are left out."""
+    step: dict[tuple, list[tuple]] = {}
+    for a, b, c, d in pdf[["q0", "r0", "q1", "r1"]].itertuples(index=False):
+        step.setdefault((a, b), []).append((c, d))
+    rings: list[list[tuple]] = []
     while step:
-        start = min(step)
-        ring, at = [], start
+        at, ring = min(step), []
         while at in step:
             ring.append(at)
-            at = step.pop(at)
-        if len(ring) > len(best):
-            best = ring
+            following = step[at].pop()
+            if not step[at]:
+                del step[at]
+            at = following
+        twice_area = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1]))
+        if twice_area > 0:
+            rings.append(ring)
+    rows = [(i, k, *p) for i, ring in enumerate(rings) for k, p in enumerate(ring)]
     head = pdf.iloc[0]
-    return pd.DataFrame(
-        {
-            **{c: [head[c]] * len(best) for c in pdf.columns if c not in ("q0", "r0", "q1", "r1")},
-            "seq": range(len(best)), "q3": [p[0] for p in best], "r3": [p[1] for p in best],
-        }
-    )
+    keys = [c for c in pdf.columns if c not in ("q0", "r0", "q1", "r1")]
+    return pd.DataFrame({**{c: [head[c]] * len(rows) for c in keys}, **{n: [r[j] for r in rows] for j, n in enumerate(("part_no", "seq", "q3", "r3"))}})
 
 
 def outline_edges(clustered: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -119,27 +121,31 @@ def outline_edges(clustered: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def outlines(clustered: DataFrame, keys: Sequence[str], level: int = 8) -> DataFrame:
-    """(keys, ring): outer outline of each cluster. A group holds only the cluster's outline, as its result row does."""
+def outlines(clustered: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, rings): the outer outlines of each cluster, one for each separate piece. A group holds only the cluster's
+    outline, as its result row does."""
     edges = outline_edges(clustered, keys)
     kinds = dict(edges.dtypes)
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["seq int", "q3 bigint", "r3 bigint"])
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["part_no int, seq int, q3 bigint, r3 bigint"])
     walked = edges.groupBy(*keys).applyInPandas(_walk, schema)
-    lat, lon = corner_point(F.col("q3"), F.col("r3"), level)
+    size = clustered.groupBy(*keys).agg(F.first(cell_edge(F.col("cell"))).alias("__edge"))  # cells of one cluster share a level
+    lat, lon = corner_point(F.col("q3"), F.col("r3"), F.col("__edge"))
     point = F.struct("seq", lat.alias("lat"), lon.alias("lon"))
     ring = F.transform(F.sort_array(F.collect_list(point)), lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
-    return walked.groupBy(*keys).agg(ring.alias("ring"))
+    parts = null_safe_join(walked, size, keys).groupBy(*keys, "part_no").agg(ring.alias("ring"))
+    rings = F.transform(F.sort_array(F.collect_list(F.struct("part_no", "ring"))), lambda p: p["ring"])
+    return parts.groupBy(*keys).agg(rings.alias("rings"))
 
 
 def result_dataset(costs: DataFrame, rings: DataFrame, slot: Sequence[str] = SLOT) -> DataFrame:
-    """Result columns with the smoothed outline as GeoJSON; only positive prices."""
+    """Result columns with the smoothed outlines as GeoJSON; only positive prices."""
     keys = [*slot, "geo_cluster", "part"]
     labels = F.concat_ws("_", F.col("geo_cluster").cast("string"), F.col("part").cast("string"))
     return (
         costs.filter(F.col("price") > 0).join(rings, keys)
         .select(
             *slot, labels.alias("labels"), "price", "predict_rides", "predict_total_geominimals", "cnt_gexagons",
-            geojson(smoothed_ring(F.col("ring"))).alias("polygon"),
+            geojson_shapes(F.transform("rings", lambda ring: smoothed_ring(ring))).alias("polygon"),
         )
     )
 

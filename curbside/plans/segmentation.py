@@ -36,6 +36,9 @@ SEGMENT_CODES = {
 }
 
 
+MAX_ROUNDS = 300  # of k-means; a fit that has not settled by then is an error
+
+
 def code_table(spark) -> DataFrame:
     rows = [(c, a, b) for c, (a, b) in SEGMENT_CODES.items()]
     return spark.createDataFrame(rows, "code string, segment_3 int, segment_5 int")
@@ -69,8 +72,8 @@ def fitted_transform(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _best_lambda(near, keys, fine)
 
 
-def one_dim_clusters(hist: DataFrame, keys: Sequence[str], k: int = 4, rounds: int = 20) -> DataFrame:
-    """(keys, centres): Lloyd's algorithm on (keys, z, n) counts from evenly spaced seeds; centres ascend.
+def one_dim_clusters(hist: DataFrame, keys: Sequence[str], k: int = 4) -> DataFrame:
+    """(keys, centres): Lloyd's algorithm on (keys, z, n) counts from evenly spaced seeds, until no centre moves; centres ascend.
 
     An empty cluster keeps its centre.
     """
@@ -78,7 +81,7 @@ def one_dim_clusters(hist: DataFrame, keys: Sequence[str], k: int = 4, rounds: i
     centres = span.select(
         *keys, F.array(*[F.col("lo") + (F.col("hi") - F.col("lo")) * ((i + 0.5) / k) for i in range(k)]).alias("centres")
     )
-    for step in range(1, rounds + 1):
+    for step in range(1, MAX_ROUNDS + 1):
         near = null_safe_join(hist, centres, keys).withColumn("c", nearest_centre(F.col("z"), F.col("centres")))
         means = [
             F.coalesce(
@@ -87,10 +90,14 @@ def one_dim_clusters(hist: DataFrame, keys: Sequence[str], k: int = 4, rounds: i
             )
             for i in range(k)
         ]
-        centres = near.groupBy(*keys).agg(F.array(*means).alias("centres"))
+        moved = F.exists(F.arrays_zip(F.array(*means).alias("a"), F.array(*[F.max(F.col("centres")[i]) for i in range(k)]).alias("b")), lambda p: F.abs(p["a"] - p["b"]) > 1e-9)
+        centres = near.groupBy(*keys).agg(F.array(*means).alias("centres"), moved.alias("__moved"))
         if step % 5 == 0:
             centres = stable_checkpoint(centres)
-    return centres
+            if centres.filter("__moved").isEmpty():
+                return centres.drop("__moved")
+        centres = centres.drop("__moved")
+    raise RuntimeError(f"centres did not settle in {MAX_ROUNDS} rounds")
 
 
 def nearest_centre(z: Column, centres: Column) -> Column:

@@ -46,12 +46,12 @@ def save_file(df: DataFrame, path: str, fmt: str | None = None, mode: str = "err
 
 def export_summary(df: DataFrame, path: str) -> None:
     """One CSV file with a header, for result-sized summaries."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def copy_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
     """Copies a table in slices (e.g. day x locality), replacing only the slices present in the frame."""
-    rows = df.repartition(*partition_by, F.pmod(F.xxhash64(*df.columns), F.lit(16)))  # large slices are split over 16 tasks
+    rows = df.hint("rebalance", *partition_by)  # slices stay together, large ones are split by size at run time
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 

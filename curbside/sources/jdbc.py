@@ -61,6 +61,6 @@ def insertable(df: DataFrame, fields: Sequence[str] | None = None, drop_fraction
 
 def insert_frame(df: DataFrame, target: JdbcTarget, table: str, fields: Sequence[str] | None = None, batch: int = 1000, writers: int = 8) -> None:
     """Appends a frame in batches over a bounded number of connections."""
-    insertable(df, fields).coalesce(writers).write.format("jdbc").options(
+    insertable(df, fields).repartition(writers).write.format("jdbc").options(
         **target.options(), dbtable=table, batchsize=str(batch)
     ).mode("append").save()

@@ -25,11 +25,11 @@ def test_cell_round_trip_and_neighbours(spark):
     rng = random.Random(1)
     pts = spark.createDataFrame([(rng.uniform(45, 60), rng.uniform(30, 60)) for _ in range(500)], "lat double, lon double")
     df = pts.select(H.point_cell(F.col("lat"), F.col("lon"), 8).alias("cell")).distinct()
-    lat, lon = H.cell_centre(F.col("cell"), 8)
+    lat, lon = H.cell_centre(F.col("cell"))
     assert df.filter(H.point_cell(lat, lon, 8) != F.col("cell")).count() == 0
     near = df.select("cell", F.explode(H.cell_neighbours(F.col("cell"))).alias("n"))
-    x, y = H.plane_centre(F.col("cell"), 8)
-    nx, ny = H.plane_centre(F.col("n"), 8)
+    x, y = H.plane_centre(F.col("cell"))
+    nx, ny = H.plane_centre(F.col("n"))
     d = near.select(F.hypot(x - nx, y - ny).alias("d")).agg(F.min("d"), F.max("d"), F.count("*")).first()
     want = H.edge_length(8) * math.sqrt(3)
     assert d[0] == pytest.approx(want) and d[1] == pytest.approx(want) and d[2] == 6 * df.count()
@@ -49,9 +49,9 @@ def test_outline_of_a_flower(spark):
     cells = spark.range(1).select(F.explode(F.concat(F.array(c), H.cell_neighbours(c))).alias("cell")).withColumn("g", F.lit(1))
     edges = Z.outline_edges(cells, ["g"])
     assert edges.count() == 18
-    shape = Z.outlines(cells, ["g"]).first().ring
+    [shape] = Z.outlines(cells, ["g"]).first().rings
     assert len(shape) == 18
-    area = Z.outlines(cells, ["g"]).select(P.ring_area(F.col("ring"))).first()[0]
+    area = Z.outlines(cells, ["g"]).select(P.ring_area(F.col("rings")[0])).first()[0]
     single = cells.limit(1).select(P.ring_area(H.cell_corners(F.col("cell")))).first()[0]
     assert area == pytest.approx(7 * single, rel=1e-3)
 
@@ -178,3 +178,28 @@ def test_overlap_share(spark):
     b = axial(spark, [(1, 0), (2, 0), (9, 9)])
     r = P.overlap_share(a, b, ["slot"]).first()
     assert (r.active_cells, r.suggested_cells, r.shared_cells, r.share) == (4, 3, 2, 0.5)
+
+
+@pytest.mark.parametrize("level", [7, 8])
+def test_zone_outlines_lie_where_the_cells_are(spark, level):
+    c = H.point_cell(F.lit(55.5), F.lit(37.3), level)
+    far = H.point_cell(F.lit(55.9), F.lit(37.3), level)
+    both = F.concat(F.array(c), H.cell_neighbours(c), F.array(far))
+    cells = spark.range(1).select(F.explode(both).alias("cell")).withColumn("g", F.lit(1))
+    rings = Z.outlines(cells, ["g"]).first().rings
+    assert sorted(len(r) for r in rings) == [6, 18]  # both pieces
+    assert all(55.3 < p.lat < 56.1 and 37.1 < p.lon < 37.5 for r in rings for p in r)
+    assert one(spark, H.cell_level(c).alias("a")).a == level
+
+
+def test_hole_is_not_an_outline(spark):
+    c = H.point_cell(F.lit(55.5), F.lit(37.3), 8)
+    cells = spark.range(1).select(F.explode(H.cell_neighbours(c)).alias("cell")).withColumn("g", F.lit(1))
+    [ring_] = Z.outlines(cells, ["g"]).first().rings
+    assert len(ring_) == 18
+
+
+def test_ring_reach_grows_with_latitude(spark):
+    for lat, want in ((0.5, 2), (55.5, 3), (80.0, 7)):
+        cells = G.with_centres(spark.range(1).select(H.point_cell(F.lit(lat), F.lit(37.3), 8).alias("cell"), F.lit(1).alias("s")))
+        assert G.ring_reach(cells, G.cluster_radius(cells, ["s"])) == want

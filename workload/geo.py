@@ -49,7 +49,7 @@ g1 AS (SELECT *, round_even(fq,0) AS q, round_even(fr,0) AS r, round_even(-fq-fr
 SELECT 6::BIGINT * {1 << 56} + ((CASE WHEN dq > dr AND dq > ds THEN -r-s ELSE q END)::BIGINT + {H.HALF}) * {H.SPAN} + ((CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -q-s ELSE r END)::BIGINT + {H.HALF}) AS parent, count(*) AS n FROM g1 GROUP BY 1""")
 def parents(spark, sf):
     cell = H.point_cell(F.col("lat"), F.col("lon"), 8)
-    return points(spark, sf).groupBy(H.cell_parent(cell, 8, 6).alias("parent")).agg(F.count("*").alias("n"))
+    return points(spark, sf).groupBy(H.cell_parent(cell, 6).alias("parent")).agg(F.count("*").alias("n"))
 
 
 @query("hex_cell_centres", f"""WITH {pts_cells_sql(8)}, d AS (SELECT DISTINCT cell, ({math.sqrt(3)!r}::DOUBLE*q + {math.sqrt(3)/2!r}::DOUBLE*r)*{H.edge_length(8)!r} AS x, r*{1.5*H.edge_length(8)!r} AS y FROM cid)
@@ -274,7 +274,7 @@ def gate(spark, sf):
 
     ev = table(spark, sf, "events")
     fresh = sources_fresh([(ev, "ts"), (ev.filter("event_type = 'purchase'"), "ts")], "2024-01-02", "2024-01-29")
-    cells = G.with_centres(hex_cells_frame(spark, sf), level=7)
+    cells = G.with_centres(hex_cells_frame(spark, sf))
     return rounded(Z.quality_gate(cells, fresh))
 
 

@@ -194,7 +194,7 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""")
 def shipped_right(spark, sf):
     s, n = tables(spark, sf, "supplier", "nation")
     return (
-        s.join(R.ship_if_small(n), s.s_nationkey == n.n_nationkey)
+        s.join(n, s.s_nationkey == n.n_nationkey)
         .groupBy("n_name").agg(F.count("*").alias("suppliers"), r(F.avg("s_acctbal"), 4).alias("avg_balance"))
     )
 
