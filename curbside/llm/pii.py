@@ -9,8 +9,9 @@ output character, the source range it came from:
     spelled digits  runs of three or more digit words ("five five five") -> digits; "plus" before a digit -> +
     at / dot        "(at)", " [dot] ", " AT ... DOT " -> "@" and "."
 
-The same detectors run on the rewritten text and their spans are carried back. A found span that meets no base
-span of its kind is added; base spans stay as they are.
+The same detectors run on the rewritten text and their spans are carried back. A found span is added when it meets no
+base span of its kind or reaches beyond those it meets ("jоhn@x.org" with a Cyrillic o holds the base span
+"hn@x.org"); base spans stay as they are.
 
 Offsets are code points, end exclusive. Null and empty texts have no spans; repeated rows are handled one by one.
 Work is linear in the text, also for very long words or digit runs.
@@ -252,7 +253,8 @@ def personal_data(text: str | None) -> tuple[list[Span], list[Span]]:
     added = []
     for kind, a, b in detect(tape.text):
         lo, hi = tape.start[a], tape.end[b - 1]
-        if not any(s < hi and lo < e for _, s, e in taken[kind]):
+        met = [(s, e) for _, s, e in taken[kind] if s < hi and lo < e]
+        if all(lo <= s and e <= hi and (lo, hi) != (s, e) for s, e in met):
             added.append((kind, lo, hi))
             taken[kind].append((kind, lo, hi))
     return base, ordered(base + added)
