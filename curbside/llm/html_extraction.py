@@ -315,9 +315,10 @@ def mark_content(root: Node) -> Node:
         regions = [node]
     for region in regions:
         rest = any(n.varies() and n.chars for n in _visible(region, True))
-        for n in _visible(region, True):
-            tag = _words(n.label)[0]
-            n.keep = n.varies() or not rest or tag in ("h1", "h2") or n is region
+        for block in _blocks(region):
+            keep = any(n.varies() for n in block) or not rest or block[0] is region or _words(block[0].label)[0] in ("h1", "h2")
+            for n in block:
+                n.keep = keep
     return root
 
 
@@ -328,6 +329,23 @@ def _visible(node: Node, inside: bool = False) -> Iterator[Node]:
             yield from _visible(child, inside)
 
 
+def _blocks(region: Node) -> list[list[Node]]:
+    """The visible nodes of a region, each block element with the inline elements in it."""
+    out: list[list[Node]] = []
+
+    def visit(node: Node, block: list[Node]) -> None:
+        if _words(node.label)[0] in BLOCK or node is region:
+            block = []
+            out.append(block)
+        block.append(node)
+        for child in node.children:
+            if not is_boilerplate(child.label, True):
+                visit(child, block)
+
+    visit(region, [])
+    return out
+
+
 def induce(trees: list[Node]) -> Node:
     """One wrapper of all the trees, those of most pages first."""
     trees = sorted(trees, key=lambda t: (-t.pages, dump(t)))
