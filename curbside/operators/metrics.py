@@ -157,12 +157,25 @@ def _distinct_pass(df, keys, distinct, plain):
     return entity.groupBy(*keys).agg(*stage2)
 
 
-def bucket_limit(df: DataFrame, cap: int, small_cap: int, small_rows: int) -> Column:
+def _limit(rows: Column, cap: int, small_cap: int, small_rows: int) -> Column:
     """min(rows // 2, cap), with the smaller cap under the row threshold; at least one bucket."""
+    half = F.floor(rows / 2)
+    limit = F.when(rows < small_rows, F.least(half, F.lit(small_cap))).otherwise(F.least(half, F.lit(cap)))
+    return F.greatest(limit, F.lit(1)).cast("bigint")
+
+
+def bucket_limit(df: DataFrame, cap: int, small_cap: int, small_rows: int) -> Column:
+    """The bucket count of a whole frame."""
     n = df.agg(F.count(F.lit(1)).alias("n"))
-    half = F.floor(F.col("n") / 2)
-    limit = F.when(F.col("n") < small_rows, F.least(half, F.lit(small_cap))).otherwise(F.least(half, F.lit(cap)))
-    return n.select(F.greatest(limit, F.lit(1)).cast("bigint")).scalar()
+    return n.select(_limit(F.col("n"), cap, small_cap, small_rows)).scalar()
+
+
+def with_bucket_limit(df: DataFrame, cap: int, small_cap: int, small_rows: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds `__limit`, the bucket count of the row's own key (experiment)."""
+    if not keys:
+        return df.withColumn("__limit", bucket_limit(df, cap, small_cap, small_rows))
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return null_safe_join(df, n.select(*keys, _limit(F.col("__n"), cap, small_cap, small_rows).alias("__limit")), keys)
 
 
 def metric_rows(
@@ -191,9 +204,9 @@ def metric_rows(
 
 def bucket_rows(df: DataFrame, spec: ExperimentSpec, n_buckets=None, keys: Sequence[str] = ()) -> DataFrame:
     """Metric rows per user bucket; users are spread over buckets by hash."""
-    limit = n_buckets if n_buckets is not None else bucket_limit(
-        df, spec.buckets, spec.small_buckets, spec.small_rows
-    )
+    if n_buckets is None:
+        df = with_bucket_limit(df, spec.buckets, spec.small_buckets, spec.small_rows, keys)
+    limit = F.col("__limit") if n_buckets is None else n_buckets
     out = None
     for split_col in dict.fromkeys(m.split_col or spec.split_col for m in spec.metrics):
         chosen = [m for m in spec.metrics if (m.split_col or spec.split_col) == split_col]

@@ -14,7 +14,7 @@ from ..operators.metrics import ExperimentSpec, bucket_rows, metric_rows, pairs_
 from ..operators.power import detectable_effect, verdict_rows
 from ..operators.resample import bootstrap_mean, bootstrap_median, bootstrap_ratio, simulated_rate
 from ..operators.temporal import latest_per_key, sequence_number
-from ..operators.tests import chi2_test, mann_whitney, pair_up, stat_inference, value_stats
+from ..operators.tests import ESTIMATORS, chi2_test, mann_whitney, pair_up, stat_inference, value_stats
 from .presets import GOAL_ALPHA, GOAL_POWER
 
 
@@ -44,10 +44,11 @@ def evaluate(
     tests = None
     for estimator in dict.fromkeys(m.estimator for m in spec.metrics):
         names = [m.name for m in spec.metrics if m.estimator == estimator]
-        part = stat_inference(rows.filter(F.col("metric").isin(names)), estimator, [*keys, "metric"], confidence=spec.confidence)
+        value = None if ESTIMATORS.get(estimator) in ("ratio_t", "ratio_z") else "x"  # other tests look at x of each unit
+        part = stat_inference(rows.filter(F.col("metric").isin(names)), estimator, [*keys, "metric"], value, confidence=spec.confidence)
         if power_sims:
             power = simulated_rate(
-                rows.filter(F.col("metric").isin(names)), estimator, "unit", power_sims, keys=[*keys, "metric"], confidence=spec.confidence
+                rows.filter(F.col("metric").isin(names)), estimator, "unit", power_sims, keys=[*keys, "metric"], value=value, confidence=spec.confidence
             )
             power = power.select(*keys, "metric", _pair(power).alias("split_pair"), F.col("rate").alias("power"))
             part = null_safe_join(part.drop("power"), power, on, "left").select(*part.columns)

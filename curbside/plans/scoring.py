@@ -134,22 +134,28 @@ def impurity_importances(spark, features: Sequence[str], model) -> DataFrame:
 
 
 def permutation_importances(model, df: DataFrame, features: Sequence[str], label: str, unit: str, seed: int = 1) -> DataFrame:
-    """Rise of the mean squared error when one feature is shuffled: values move to the row next in a seeded hash order.
+    """Rise of the mean squared error when one feature is shuffled: values move to the row next in a seeded hash order
+    of the whole table.
 
-    Rows move inside hash buckets of about 10,000 rows, so no task sorts more than a bucket.
+    Tasks sort buckets of that order; the last row of a bucket takes the first one of the next, so the result does not
+    depend on the number of buckets.
     """
     from pyspark.sql import Window
 
     num = key_number(F.col(unit), dtype_of(df, unit))
-    buckets = max(1, df.count() // 10_000)
-    base = df.withColumn("__bucket", F.floor(draw(seed, num, F.lit(1)) * buckets).cast("int"))
-    base = base.withColumn("__u", draw(seed, num, F.lit(2)))
-    w = Window.partitionBy("__bucket").orderBy("__u", unit)
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = df.withColumn("__u", draw(seed, num, F.lit(1))).withColumn("__bucket", F.floor(F.col("__u") * buckets).cast("int"))
+    values = F.struct(*features)
+    firsts = base.groupBy("__bucket").agg(F.min_by(values, F.struct("__u", unit)).alias("__first"))
+    order = Window.orderBy("__bucket")  # one row for each bucket
+    first_of_all = F.first("__first").over(order)
+    firsts = firsts.select("__bucket", F.coalesce(F.lead("__first").over(order), first_of_all).alias("__wrap"))
+    base = base.withColumn("__next", F.lead(values).over(Window.partitionBy("__bucket").orderBy("__u", unit)))
+    base = base.join(firsts, "__bucket").withColumn("__next", F.coalesce("__next", "__wrap")).drop("__wrap")
     mse = lambda d: d.agg(F.avg(F.pow(F.col("prediction") - F.col(label), 2)).alias("mse"))
     out = mse(model.transform(df)).withColumn("feature", F.lit("__base"))
     for f in features:
-        first = F.first(f).over(Window.partitionBy("__bucket").orderBy("__u", unit).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        moved = base.withColumn(f, F.coalesce(F.lead(f).over(w), first))
+        moved = base.withColumn(f, F.col(f"__next.{f}"))
         out = out.unionByName(mse(model.transform(moved)).withColumn("feature", F.lit(f)))
     ref = out.filter(F.col("feature") == "__base").select("mse").scalar()
     return out.filter(F.col("feature") != "__base").select("feature", (F.col("mse") - ref).alias("importance"))

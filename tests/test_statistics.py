@@ -186,3 +186,19 @@ def test_false_positive_rate_is_near_alpha(spark):
 def test_bucket_limit(spark):
     limit = lambda n: spark.range(1).select(M.bucket_limit(spark.range(n), 1000, 500, 1000).alias("b")).first().b
     assert [limit(n) for n in (0, 1, 3, 900, 1500, 5000)] == [1, 1, 1, 450, 750, 1000]
+
+
+def test_bucket_limit_is_per_experiment(spark):
+    df = spark.range(10_300).selectExpr("IF(id < 300, 'small', 'large') AS k", "id")
+    got = {r.k: r.l for r in M.with_bucket_limit(df, 1000, 500, 1000, ["k"]).groupBy("k").agg(F.first("__limit").alias("l")).collect()}
+    assert got == {"small": 150, "large": 1000}
+
+
+@pytest.mark.parametrize("estimator", ["t_test", "mann_whitney_test"])
+def test_evaluate_with_value_estimators(spark, estimator):
+    from curbside.plans.experiments import evaluate
+
+    df = spark.range(4000).selectExpr("id % 2 AS split", "id AS user", "id % 7 + (id % 2) AS v")
+    spec = M.ExperimentSpec("split", "user", (M.Metric("v", M.Agg("v", "sum"), M.Agg("user", "nunique"), M.Agg("user", "nunique"), estimator=estimator),), {"drivers": M.Agg("user", "nunique")})
+    row = evaluate(df, spec).filter("metric = 'v'").first()
+    assert row.pvalue is not None and row.pvalue < 0.05
