@@ -225,8 +225,9 @@ def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = S
             continue
         nodes -= 1
         times = min(left[n] // items.count(n) for n in set(items))
-        if waste + times * (capacity - sum(items)) > slack:
-            times = (slack - waste) // (capacity - sum(items))  # the counts allow it more often than the waste does
+        free = capacity - sum(items)
+        if waste + times * free > slack:
+            times = (slack - waste) // free if free else 0  # the counts allow it more often than the waste does
             if times <= 0:
                 continue
         for n in items:

@@ -197,3 +197,16 @@ def test_scores_of_nothing(spark):
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = S.score(spark.createDataFrame([(only, "a b")], "doc_id long, text string")).first()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (True, 3, 0, 0, 0.0, 0.0)
+
+
+def test_search_on_many_sizes_and_multiplicities():
+    rng = random.Random(21)
+    for trial in range(12):
+        capacity = rng.choice([64, 256, 1024])
+        counts = Counter(min(capacity, max(1, int(rng.lognormvariate(math.log(capacity / 3), 0.9)))) for _ in range(rng.choice([200, 1500])))
+        counts = {n: c * rng.choice([1, 7]) for n, c in counts.items()}
+        got = Counter()
+        for items, n in K.pack_counts(counts, capacity, nodes=1500):
+            assert sum(items) <= capacity and n > 0
+            got.update({x: k * n for x, k in Counter(items).items()})
+        assert got == counts
