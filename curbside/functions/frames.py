@@ -44,7 +44,7 @@ def shared_folder(spark) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":  # local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         global _local_folder
         if _local_folder is None:

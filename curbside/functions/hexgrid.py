@@ -90,9 +90,15 @@ def cell_centre(cell: Column) -> tuple[Column, Column]:
     return unmercator(*plane_centre(cell))
 
 
+def _bound(value: Column, fn) -> Column:
+    """fn(value) with the value computed once: a column used many times in one expression is otherwise repeated in the plan."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def cell_parent(cell: Column, parent_level: int) -> Column:
     """The coarser cell that holds the cell's centre."""
-    return plane_cell(*plane_centre(cell), parent_level)
+    centre = _bound(cell, lambda c: F.struct(*[v.alias(n) for v, n in zip(plane_centre(c), "xy")]))
+    return _bound(centre, lambda p: plane_cell(p["x"], p["y"], parent_level))
 
 
 def _shift(dq: int, dr: int) -> int:
