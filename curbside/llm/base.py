@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +53,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not spark.sparkContext.master.startswith("local["):
+            if spark.sparkContext.master.split("[")[0] != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
             Scratch._own = Scratch._own or tempfile.mkdtemp(prefix="corpus-")
             folder = Scratch._own
@@ -72,8 +74,22 @@ class Scratch:
 
     def settle(self) -> None:
         """Lets Spark delete shuffle files of steps whose results are written; it does so for plans nobody holds any more."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # the first round may come before Spark's own listeners have let go
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.0 if self.spark.sparkContext.master.split("[")[0] == "local" else 1.0)
+
+
+@contextmanager
+def rows_per_batch(spark: SparkSession, n: int) -> Iterator[None]:
+    """For actions inside: record batches of n rows, where a row holds much data."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

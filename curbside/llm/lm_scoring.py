@@ -32,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import Scratch, clean_ids, map_batches, partitions, query, table
+from .base import Scratch, clean_ids, partitions, query, rows_per_batch, table
 from .shingles import grouped, mix, word_hashes
 
 KAPPA = 20.0
 SPREAD = 1_000_000
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 900_000  # so few words that two bytes number them
 SHARD_PAIRS = 1_500_000
 FINGERPRINT = 40
 LEVELS = 255  # quantised probabilities, evenly spaced in logarithm
@@ -125,7 +125,7 @@ class Trie:
             parts.append(np.frombuffer(buffer, kind, int(size) // np.dtype(kind).itemsize, at))
             at += -(-int(size) // 8) * 8
         self.contexts, self.pointers, self.successors = (EliasFano(*parts[k : k + 3]) for k in (0, 3, 6))
-        self.codes, self.book = parts[9], parts[10]
+        self.codes, (self.low, self.step) = parts[9], parts[10]
 
     @staticmethod
     def build(context: np.ndarray, successor: np.ndarray, p: np.ndarray) -> bytes:
@@ -134,11 +134,11 @@ class Trie:
         logs = np.log10(p)
         low, high = (logs.min(), logs.max()) if len(p) else (0.0, 0.0)
         step = max((high - low) / (LEVELS - 1), 1e-12)
-        code, book = np.rint((logs - low) / step), 10.0 ** (low + step * np.arange(LEVELS))
+        code = np.rint((logs - low) / step)
         place = np.repeat(np.arange(len(names), dtype=np.uint64), np.diff(np.append(start, len(context))))
         parts = [
             *EliasFano.encode(names, 64), *EliasFano.encode(np.append(start, len(context)), max(1, int(len(context)).bit_length())),
-            *EliasFano.encode((place << _U(FINGERPRINT)) | successor, FINGERPRINT + max(1, int(len(names)).bit_length())), code.astype(np.uint8), book,
+            *EliasFano.encode((place << _U(FINGERPRINT)) | successor, FINGERPRINT + max(1, int(len(names)).bit_length())), code.astype(np.uint8), np.array([low, step]),
         ]
         raw = [np.ascontiguousarray(x).tobytes() for x in parts]
         return np.array([len(r) for r in raw], np.int64).tobytes() + b"".join(r + b"\0" * (-len(r) % 8) for r in raw)
@@ -166,7 +166,7 @@ def _pack(x: np.ndarray) -> bytes:
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    """batch, doc_ids, held, ends (token counts up to each text's end), ids (int32), words (uint64, sorted)."""
+    """batch, doc_ids, held, ends (token counts up to each text's end), ids (two or four bytes each), words (uint64, sorted)."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def batches(source) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,7 @@ def tokenised(docs: DataFrame) -> DataFrame:
                 return pa.RecordBatch.from_pydict(
                     {"batch": pa.array([(task << 32) + number], pa.int64()), "doc_ids": pa.ListArray.from_arrays(pa.array([0, stop - first], pa.int32()), own.column(0)),
                      "held": pa.ListArray.from_arrays(pa.array([0, stop - first], pa.int32()), own.column(2)), "ends": pa.array([_pack(np.cumsum(sizes).astype(np.int64))], pa.binary()),
-                     "ids": pa.array([_pack(ids.astype(np.int32))], pa.binary()), "words": pa.array([_pack(words)], pa.binary())}
+                     "ids": pa.array([_pack(ids.astype(np.uint16 if len(words) <= 1 << 16 else np.int32))], pa.binary()), "words": pa.array([_pack(words)], pa.binary())}
                 )
 
             done = 0
@@ -207,7 +207,8 @@ def tokenised(docs: DataFrame) -> DataFrame:
 
 def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ends, ids, words, training flag of each token, context id of each token); the end token's id is the first context."""
-    ends, ids, words = np.frombuffer(row["ends"], np.int64), np.frombuffer(row["ids"], np.int32).astype(np.int64), np.frombuffer(row["words"], np.uint64)
+    ends, words = np.frombuffer(row["ends"], np.int64), np.frombuffer(row["words"], np.uint64)
+    ids = np.frombuffer(row["ids"], np.uint16 if len(words) <= 1 << 16 else np.int32).astype(np.int64)
     sizes = np.diff(np.concatenate([[0], ends]))
     learn = np.repeat(~np.array(row["held"], bool), sizes)
     before = np.concatenate([[0], ids[:-1]])
@@ -284,7 +285,7 @@ def answer(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.add.reduceat(n, new) if len(h) else n
     trie = Trie(Trie.build(h[new], f[new], total / (c[new] + KAPPA)))
     codes = [_pack(trie.find(o[0], o[1])) for o in opened]
-    return pd.DataFrame({"batch": pdf["batch"], "shard": pdf["shard"], "codes": codes, "book": [_pack(trie.book)] * len(pdf)})
+    return pd.DataFrame({"batch": pdf["batch"], "shard": pdf["shard"], "codes": codes, "low": trie.low, "step": trie.step})
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -294,36 +295,38 @@ def score(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     batches = scratch.write(tokenised(docs), "batches")
     words = word_rows(batches)
-    counts = scratch.write(words.groupBy("h").agg(F.sum("n").alias("c")), "counts")
+    with rows_per_batch(spark, 1):
+        counts = scratch.write(words.groupBy("h").agg(F.sum("n").alias("c")), "counts")
     scratch.settle()
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n_train, n_words = int(size.n), int(size.v)
     by_batch = words.join(counts, "h").groupBy("batch").agg(F.collect_list(F.struct("word", "c")).alias("found"))  # one for each word of the batch
-    by_batch = scratch.write(by_batch, "by_batch")
-    scratch.drop("counts")
-    scratch.settle()
 
-    def with_counts(source):
+    def dense(source):
         for b in source:
             out = []
-            for found in b.column(b.schema.get_field_index("found")):
+            for found in b.column(1):
                 word, c = found.values.field(0).to_numpy(), found.values.field(1).to_numpy()
                 flat = np.zeros(len(word), np.int64)
                 flat[word] = c
                 out.append(_pack(flat))
-            names = [x for x in b.schema.names if x != "found"]
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(x)) for x in names], pa.array(out, pa.binary())], [*names, "counts"])
+            yield pa.RecordBatch.from_pydict({"batch": b.column(0), "counts": pa.array(out, pa.binary())})
 
-    fields = f"batch long, doc_ids array<{kind}>, held array<boolean>, ends binary, ids binary, words binary"
-    counted = scratch.write(batches.join(by_batch, "batch").mapInArrow(with_counts, f"{fields}, counts binary"), "counted")
+    with rows_per_batch(spark, 1):
+        by_batch = scratch.write(by_batch.mapInArrow(dense, "batch long, counts binary"), "by_batch")
+    scratch.drop("counts")
+    scratch.settle()
+    counted = scratch.write(batches.join(by_batch.hint("merge"), "batch"), "counted")
     scratch.drop("batches", "by_batch")
     scratch.settle()
 
     tokens = counted.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    shards = max(partitions(spark), -(-int(tokens) // 4 // SHARD_PAIRS))
-    answers = scratch.write(pair_blobs(counted, shards).groupBy("shard").applyInPandas(answer, "batch long, shard long, codes binary, book binary"), "answers")
+    shards = max(partitions(spark), -(-int(tokens) // 2 // SHARD_PAIRS))
+    blobs = pair_blobs(counted, shards).groupBy("shard").applyInPandas(answer, "batch long, shard long, codes binary, low double, step double")
+    with rows_per_batch(spark, 1):
+        answers = scratch.write(blobs, "answers")
     scratch.settle()
-    told = answers.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("shard", "codes", "book"))).alias("told"))  # at most one for each shard
+    told = answers.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("shard", "codes", "low", "step"))).alias("told"))  # at most one for each shard
 
     def add_up(source):
         bottom = n_train + n_words + 1
@@ -331,7 +334,7 @@ def score(docs: DataFrame) -> DataFrame:
             for row in b.to_pylist():
                 p = Pairs(row, shards)
                 base = np.log10((p.counts + 1) / bottom)
-                r = np.concatenate([np.concatenate([[0.0], np.frombuffer(t["book"], np.float64)])[np.frombuffer(t["codes"], np.uint8)] for t in row["told"]])
+                r = np.concatenate([np.concatenate([[0.0], 10.0 ** (t["low"] + t["step"] * np.arange(LEVELS))])[np.frombuffer(t["codes"], np.uint8)] for t in row["told"]])
                 pair = np.empty(len(r))
                 pair[p.order] = r
                 before = np.empty(len(r), np.int64)
@@ -344,7 +347,11 @@ def score(docs: DataFrame) -> DataFrame:
                      "base_score": pa.array(np.add.reduceat(base[p.ids], start)), "score": pa.array(np.add.reduceat(np.log10(prob), start))}
                 )
 
-    return counted.join(told, "batch").mapInArrow(add_up, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    with rows_per_batch(spark, 1):
+        scores = scratch.write(counted.join(told, "batch").mapInArrow(add_up, result), "scores")
+    scratch.drop("counted", "answers")
+    return scores
 
 
 @query("op7_lm_scoring")
