@@ -9,7 +9,7 @@ score adds one to every count. The model interpolates the word pair with that:
    it. Word counts are summed over all batches (a word travels once a batch) and return to the batches.
 2. A batch sends each distinct word pair, with its training count, to the shard of its context. A context with more than
    SPREAD occurrences is divided over several shards by its successors, so no shard grows with one word.
-3. A shard builds its trie from all batches' training pairs: sorted context hashes, monotone pointers to their
+3. A shard builds its trie from all batches' training pairs: sorted context hashes (48 bits), monotone pointers to their
    successors, and successor fingerprints (40 bits) in order, each level Elias-Fano coded; beside them one byte a
    successor for the smoothed c(v w) / (c(v) + KAPPA), quantised evenly in
    logarithm. The levels lie in one buffer and are read
@@ -38,8 +38,9 @@ from .shingles import grouped, mix, word_hashes
 KAPPA = 20.0
 SPREAD = 1_000_000
 BATCH_BYTES = 900_000  # so few words that two bytes number them
-SHARD_PAIRS = 1_500_000
+SHARD_PAIRS = 1_000_000
 FINGERPRINT = 40
+CONTEXT = 48  # bits of a context's hash; a shard holds some 10^5 contexts at any corpus size
 LEVELS = 255  # quantised probabilities, evenly spaced in logarithm
 END = np.uint64(0xE4D0_F7E7_7E57_0001)
 _U = np.uint64
@@ -137,7 +138,7 @@ class Trie:
         code = np.rint((logs - low) / step)
         place = np.repeat(np.arange(len(names), dtype=np.uint64), np.diff(np.append(start, len(context))))
         parts = [
-            *EliasFano.encode(names, 64), *EliasFano.encode(np.append(start, len(context)), max(1, int(len(context)).bit_length())),
+            *EliasFano.encode(names, CONTEXT), *EliasFano.encode(np.append(start, len(context)), max(1, int(len(context)).bit_length())),
             *EliasFano.encode((place << _U(FINGERPRINT)) | successor, FINGERPRINT + max(1, int(len(names)).bit_length())), code.astype(np.uint8), np.array([low, step]),
         ]
         raw = [np.ascontiguousarray(x).tobytes() for x in parts]
@@ -243,7 +244,7 @@ class Pairs:
         h, w = self.words[context], self.words[word]
         shard = (mix(h + (mix(w) % spread) * _U(0x9E3779B97F4A7C15)) % _U(shards)).astype(np.int64)
         self.order = np.lexsort((w, h, shard))
-        self.shard, self.h, self.c = shard[self.order], h[self.order], self.counts[context][self.order]
+        self.shard, self.h, self.c = shard[self.order], h[self.order] >> _U(64 - CONTEXT), self.counts[context][self.order]
         self.fingerprint = w[self.order] >> _U(64 - FINGERPRINT)
         self.n = np.bincount(self.of[learn], minlength=len(key))[self.order]
 
@@ -256,18 +257,18 @@ def pair_blobs(batches: DataFrame, shards: int) -> DataFrame:
             for row in b.to_pylist():
                 p = Pairs(row, shards)
                 cut = np.concatenate([[0], np.flatnonzero(np.diff(p.shard)) + 1, [len(p.shard)]])
-                rows: dict[str, list] = {k: [] for k in ("shard", "batch", "contexts", "totals", "sizes", "low", "high", "n")}
+                rows: dict[str, list] = {k: [] for k in ("shard", "batch", "contexts", "tops", "totals", "sizes", "low", "high", "n")}
                 for a, z in zip(cut[:-1], cut[1:]):
                     h = p.h[a:z]
                     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
                     f = p.fingerprint[a:z]
-                    values = (int(p.shard[a]), row["batch"], _pack(h[start]), _pack(p.c[a:z][start]), _pack(np.diff(np.append(start, z - a)).astype(np.int32)),
+                    values = (int(p.shard[a]), row["batch"], _pack(h[start].astype(np.uint32)), _pack((h[start] >> _U(32)).astype(np.uint16)), _pack(p.c[a:z][start].astype(np.float32)), _pack(np.diff(np.append(start, z - a)).astype(np.int32)),
                               _pack(f.astype(np.uint32)), _pack((f >> _U(32)).astype(np.uint8)), _pack(p.n[a:z].astype(np.int32)))
                     for k, v in zip(rows, values):
                         rows[k].append(v)
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k in ("shard", "batch") else pa.binary()) for k, v in rows.items()})
 
-    return batches.mapInArrow(run, "shard long, batch long, contexts binary, totals binary, sizes binary, low binary, high binary, n binary")
+    return batches.mapInArrow(run, "shard long, batch long, contexts binary, tops binary, totals binary, sizes binary, low binary, high binary, n binary")
 
 
 def answer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -276,14 +277,15 @@ def answer(pdf: pd.DataFrame) -> pd.DataFrame:
     for r in pdf.itertuples(index=False):
         size = np.frombuffer(r.sizes, np.int32)
         f = np.frombuffer(r.low, np.uint32).astype(np.uint64) | (np.frombuffer(r.high, np.uint8).astype(np.uint64) << _U(32))
-        opened.append((np.repeat(np.frombuffer(r.contexts, np.uint64), size), f, np.repeat(np.frombuffer(r.totals, np.int64), size), np.frombuffer(r.n, np.int32)))
+        h = np.frombuffer(r.contexts, np.uint32).astype(np.uint64) | (np.frombuffer(r.tops, np.uint16).astype(np.uint64) << _U(32))
+        opened.append((np.repeat(h, size), f, np.repeat(np.frombuffer(r.totals, np.float32), size), np.frombuffer(r.n, np.int32)))
     learned = [tuple(x[o[3] > 0] for x in o) for o in opened]
     h, f, c, n = (np.concatenate(x) for x in zip(*learned))
     order = np.lexsort((f, h))
     h, f, c, n = h[order], f[order], c[order], n[order].astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (f[1:] != f[:-1])])) if len(h) else np.zeros(0, np.int64)
     total = np.add.reduceat(n, new) if len(h) else n
-    trie = Trie(Trie.build(h[new], f[new], total / (c[new] + KAPPA)))
+    trie = Trie(Trie.build(h[new], f[new], total / (c[new].astype(float) + KAPPA)))
     codes = [_pack(trie.find(o[0], o[1])) for o in opened]
     return pd.DataFrame({"batch": pdf["batch"], "shard": pdf["shard"], "codes": codes, "low": trie.low, "step": trie.step})
 
