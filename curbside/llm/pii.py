@@ -123,14 +123,17 @@ _ITEM = re.compile(rf"plus[\x20-]+|{_WORD}|[0-9]|[\x20,.-]+", re.IGNORECASE)
 _BRACKET_AT = r"[\x20]?[\(\[\{<][\x20]?(?:at|@)[\x20]?[\)\]\}>][\x20]?"
 _BRACKET_DOT = r"[\x20]?[\(\[\{<][\x20]?(?:dot|\.)[\x20]?[\)\]\}>][\x20]?"
 _WORD_DOT = r"\x20(?:dot|punkt|point|punto)\x20"
-_DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|{_BRACKET_DOT}|{_WORD_DOT})[A-Za-z0-9_%+-]+){{0,3}}"
-    rf"(?:{_BRACKET_AT}|\x20at\x20|@)"
-    rf"[A-Za-z0-9-]+(?:(?:\.|{_BRACKET_DOT}|{_WORD_DOT})[A-Za-z0-9-]+)+",
-    re.IGNORECASE,
+_SEPARATOR = rf"(?:\.|{_BRACKET_DOT}|{_WORD_DOT})"
+_DISGUISED_DOMAIN = re.compile(rf"[A-Za-z0-9-]++(?:{_SEPARATOR}[A-Za-z0-9-]++)+", re.IGNORECASE | re.ASCII)
+# The local part read backwards from the at-sign, over reversed text.
+_LOCAL_BACK = re.compile(
+    r"[A-Za-z0-9_%+-]++(?:(?:\.|[\x20]?[\)\]\}>][\x20]?(?:tod|\.)[\x20]?[\(\[\{<][\x20]?|\x20(?:tod|tknup|tniop|otnup)\x20)[A-Za-z0-9_%+-]++)*+",
+    re.IGNORECASE | re.ASCII,
 )
+_AT_SIGN = re.compile(rf"{_BRACKET_AT}|\x20at\x20|@", re.IGNORECASE)
+_TOP_LEVEL = re.compile(r"(?:[A-Za-z]{2,}|xn--[A-Za-z0-9-]+)\Z", re.IGNORECASE | re.ASCII)
+_BARE_AT_HINT = re.compile(r"\x20at\x20[a-z0-9-]++\.[a-z0-9-]", re.ASCII)  # on lower-case text; other dots have hints of their own
 _DISGUISE_HINTS = (" dot ", " punkt ", " point ", " punto ", *(f"{b}{s}{w}" for b in "([{<" for s in ("", " ") for w in ("at", "dot", "@", ".")))
-_AT = re.compile(rf"{_BRACKET_AT}|\x20at\x20", re.IGNORECASE)
 _DOT = re.compile(rf"{_BRACKET_DOT}|{_WORD_DOT}", re.IGNORECASE)
 _WIDE = re.compile(r"[^\x00-\x9f\xa1-\xac\xae-\xff]")
 
@@ -193,15 +196,26 @@ def _spelled_digits(tape: Tape) -> Tape:
 
 
 def _at_and_dot(tape: Tape) -> Tape:
-    edits = []
-    for m in _DISGUISED.finditer(tape.text):
-        at = _AT.search(m.group())
-        if at is None and "@" not in m.group():
+    """Outward from each at-sign, plain or disguised: the domain after it, then the whole local part before it.
+
+    A bare " at " counts if the domain ends in a name ("at example.com", not "at 3.15"), whatever else the text holds.
+    """
+    text, edits, floor, pos = tape.text, [], 0, 0
+    back, size = text[::-1], len(text)
+    while at := _AT_SIGN.search(text, pos):
+        pos = at.start() + 1
+        local = at.start() > floor and text[at.start() - 1] in _LOCAL
+        domain = _DISGUISED_DOMAIN.match(text, at.end()) if local else None
+        if domain is None or (at.group().lower() == " at " and not _TOP_LEVEL.match(_DOT.sub(".", domain.group()).rpartition(".")[2])):
+            continue
+        local = _LOCAL_BACK.match(back, size - at.start(), size - floor)
+        if local is None:
             continue
-        found = [(d.start(), d.end(), ".") for d in _DOT.finditer(m.group())]
-        if at is not None:
-            found.append((at.start(), at.end(), "@"))
-        edits += [(m.start() + a, m.start() + b, put) for a, b, put in sorted(found)]
+        edits += [(d.start(), d.end(), ".") for d in _DOT.finditer(text, size - local.end(), at.start())]
+        if at.group() != "@":
+            edits.append((at.start(), at.end(), "@"))
+        edits += [(d.start(), d.end(), ".") for d in _DOT.finditer(text, at.end(), domain.end())]
+        floor = pos = domain.end()
     return tape.rewrite(edits)
 
 
@@ -234,7 +248,7 @@ def normalise(text: str) -> Tape | None:
     if tape is not None:
         tape = _homoglyphs(tape)
     lowered = (tape.text if tape else text).lower()
-    spelled, disguised = _has_spelled(lowered), any(h in lowered for h in _DISGUISE_HINTS)
+    spelled, disguised = _has_spelled(lowered), any(h in lowered for h in _DISGUISE_HINTS) or _BARE_AT_HINT.search(lowered) is not None
     if spelled or disguised:
         tape = tape or Tape(text)
         tape = _spelled_digits(tape) if spelled else tape

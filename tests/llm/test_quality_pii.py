@@ -97,6 +97,17 @@ def test_disguises_map_back_to_source_offsets():
         assert all(s in spans for s in base)
 
 
+def test_at_disguises_need_no_other_hint_and_any_number_of_pieces():
+    for part in ("jane.doe at example.com", "a.b.c.d.e (at) x.org", "a dot b dot c dot d dot e dot f at x.org", "Dot at x dot org"):
+        text = f"mail: {part}, please"
+        assert P.personal_data(text)[1] == [("email", 6, 6 + len(part))], text
+        assert P.masked(text) == "mail: [email], please"
+    for extra in ("", " They met on a dot here."):
+        assert P.personal_data(f"It arrived at 3.15 and sold at 2.5.{extra}")[1] == []
+    for text in ("a dot " * 20_000, "a at " * 20_000, "a.b@" * 20_000, "a" * 50_000 + " at x.org"):
+        P.personal_data(text)
+
+
 def test_clean_prose_has_no_spans():
     for text in ("We met at noon. One or two of them left, three stayed at home.", "Il y a sept ou huit maisons.", "See chapter 12.3 and 4, at point A."):
         assert P.personal_data(text) == ([], [])
