@@ -8,8 +8,9 @@ compared one by one, which settles the matter.
 
 An item is leaked into a document when some window of WINDOW aligned tokens (the whole item if it is shorter)
 has at most ALLOWED differing tokens, scaled down for shorter items. The masks find every such window: any two
-positions of 13, or one of 9 to 12, leave a mask placement untouched (see the tests). Items of fewer than MIN_ITEM
-tokens are too short to tell a leak from chance and never match.
+positions of 13, or one of 9 to 12, leave a mask placement untouched (see the tests). In the op6 query items of fewer
+than MIN_ITEM tokens never match, as its SQL says. `clean_documents` goes on: it also counts letters of scripts without
+spaces as single tokens, and finds items below MIN_ITEM by their whole token sequence.
 
 The seed table of the benchmark is counted first. Up to BROADCAST_SEEDS rows (24 bytes each) it is shipped to the
 executors; beyond that the hashes meet in a shuffled join. Null and empty texts match nothing. Rows that share a
@@ -29,6 +30,7 @@ MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 3, 4, 5, 6), (0, 1, 2, 3, 7, 8))
 WINDOW, ALLOWED, MIN_ITEM = 13, 2, 9
 BROADCAST_SEEDS = 1_000_000
 SPLIT = r"[^\p{L}\p{N}]+"
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsMyanmar}\p{IsKhmer}]"
 
 
 def _tokens(text: Column) -> Column:
@@ -98,10 +100,38 @@ def leaks(
     return pairs.groupBy("doc_id", "item_id").agg(F.max("n_equal").cast("long").alias("n_equal"), F.max("n_best").cast("long").alias("n_best"))
 
 
+def _spaced(df: DataFrame) -> DataFrame:
+    """Letters of scripts without spaces become tokens of their own."""
+    return df.withColumn("text", F.regexp_replace("text", UNSPACED, " $0 "))
+
+
+def short_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+    """doc_id, item_id: documents that hold all tokens of an item of fewer than MIN_ITEM, in order and side by side."""
+    docs, benchmark = _spaced(clean_ids(docs, "doc_id", "text")), _spaced(clean_ids(benchmark, "item_id", "text"))
+    items = benchmark.select("item_id", _hashes(F.col("text")).alias("h")).where(F.size("h").between(1, MIN_ITEM - 1))
+    items = items.select("item_id", F.size("h").alias("n"), F.xxhash64(F.size("h"), "h").alias("seed")).distinct()
+    items = Scratch(docs.sparkSession, "short").write(items, "items")
+    lengths = [r.n for r in items.select("n").distinct().collect()]  # MIN_ITEM - 1 at most
+    if not lengths:
+        return docs.join(items, F.lit(False)).select("doc_id", "item_id")
+
+    def windows(n: int) -> Column:
+        last = F.size("h") - F.lit(n)
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(n), F.slice("h", i + 1, n)))).otherwise(F.array().cast("array<bigint>"))
+
+    seeds = docs.select("doc_id", _hashes(F.col("text")).alias("h")).select("doc_id", F.explode(F.array_distinct(F.concat(*[windows(n) for n in lengths]))).alias("seed"))
+    own = items.select("item_id", "seed")
+    return seeds.join(F.broadcast(own) if items.count() <= broadcast_seeds else own, "seed").select("doc_id", "item_id").distinct()
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents into which no benchmark item has leaked."""
-    docs = clean_ids(docs, *DOCUMENT_COLUMNS)
-    leaked = Scratch(docs.sparkSession, "leaked").write(leaks(docs, benchmark).select(F.col("doc_id").alias("d")).distinct(), "ids")
+    """The documents into which no benchmark item has leaked, however short it is."""
+    docs, scratch = clean_ids(docs, *DOCUMENT_COLUMNS), Scratch(docs.sparkSession, "leaked")
+    found = leaks(docs, benchmark).select("doc_id").unionByName(short_leaks(docs, benchmark).select("doc_id"))
+    unspaced = clean_ids(benchmark, "item_id", "text").where(F.col("text").rlike(UNSPACED))
+    if not unspaced.isEmpty():
+        found = found.unionByName(leaks(_spaced(docs), _spaced(unspaced)).select("doc_id"))
+    leaked = scratch.write(found.select(F.col("doc_id").alias("d")).distinct(), "ids")
     return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["d"]), "left_anti")
 
 

@@ -93,3 +93,13 @@ def test_clean_documents_keeps_the_rest(spark):
     bench = spark.createDataFrame([(0, item), (1, None), (2, "")], "item_id long, text string")
     assert sorted(r.doc_id for r in D.clean_documents(df, bench).collect()) == [1, 2, 3]
     assert D.leaks(df.limit(0), bench).count() == 0 and D.leaks(df, bench.limit(0)).count() == 0
+
+
+def test_clean_documents_finds_short_items_and_scripts_without_spaces(spark):
+    long_item = "春眠不觉晓处处闻啼鸟夜来风雨声花落知多少"
+    bench = spark.createDataFrame([(0, "name the largest moon of saturn"), (1, "你好,世界"), (2, long_item), (3, "")], "item_id long, text string")
+    texts = [
+        "q: Name the largest moon of Saturn! a: titan", "name the largest moon of a planet", "name largest the moon of saturn",
+        "他说你好世界了", "你好 新世界", "前文" + long_item + "后文", "前文" + long_item.replace("觉", "知") + "后文", "前文" + long_item[::-1], None,
+    ]
+    assert sorted(r.doc_id for r in D.clean_documents(frame(spark, texts), bench).collect()) == [1, 2, 4, 7, 8]
