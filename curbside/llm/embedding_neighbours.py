@@ -284,7 +284,7 @@ def linked(vectors: DataFrame, id_column: str, vector_column: str, threshold: fl
 SQL = f"""
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
