@@ -1,9 +1,10 @@
 """Resampling: Poisson bootstrap, exact subsamples, simulated false-positive rate and power.
 
-Replicates are made where the rows are: each unit row is expanded to its
+Bootstrap replicates are made where the rows are: each unit row is expanded to its
 replicate draws and folded back to (split, replicate) sums by the map-side
-combine, so the shuffle carries splits x replicates rows per task. Draws are
-a function of (seed, unit, replicate).
+combine, so the shuffle carries splits x replicates rows per task. Simulated
+samples are drawn as ranks (see `sampling`). Draws are a function of (seed,
+unit, replicate) or (seed, group, sample, number of the draw).
 """
 
 from __future__ import annotations
@@ -14,14 +15,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pvalues as P
-from ..functions.frames import dtype_of, null_safe_join, spread
-from ..functions.hashing import draw, key_number, poisson_weight, with_draw
-from .ranks import cumulative_counts, values_at_ranks
-from .tests import chi2_test, pair_up, proportion_test, ratio_stats, ratio_t_test, ratio_z_test, value_stats, welch_test
+from ..functions.frames import dtype_of, null_safe_join, spread, stable_checkpoint
+from ..functions.hashing import draw, draw_key, poisson_weight
+from .ranks import values_at_ranks
+from .sampling import half_sums, sample_sums
+from .tests import chi2_test, pair_up, proportion_test, ratio_t_test, ratio_z_test, welch_test
+from .weighted_medians import replicate_medians
 
 
-def _unit_number(rows: DataFrame, unit: str) -> Column:
-    return key_number(F.col(unit), dtype_of(rows, unit))
+def _draw(rows: DataFrame, seed: int, unit: str, rep: Column) -> Column:
+    return draw(seed, draw_key(F.col(unit), dtype_of(rows, unit)), rep)
 
 
 def replicate_sums(
@@ -35,7 +38,7 @@ def replicate_sums(
         F.count(F.lit(1)).alias("__rows"), *[F.sum(F.col(c).cast("double")).alias(c) for c in columns]
     )
     expanded = spread(per_unit, unit).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    drawn = with_draw(expanded, "__u", seed, _unit_number(rows, unit), F.col("rep"))
+    drawn = expanded.withColumn("__u", _draw(rows, seed, unit, F.col("rep")))
     return (
         drawn.withColumn("__w", poisson_weight(F.col("__u")))
         .groupBy(*keys, "split", "rep")
@@ -92,22 +95,9 @@ def bootstrap_median(
     rows: DataFrame, value: str, keys: Sequence[str] = (), unit: str = "unit", reps: int = 1000, seed: int = 1,
     confidence: float = 0.99, zero_rule: bool = True,
 ) -> DataFrame:
-    """Bootstrap of the difference of medians, by weighted running counts per replicate."""
-    expanded = spread(
-        rows.filter(F.col(value).isNotNull()).select(*keys, "split", unit, value), unit
-    ).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    drawn = with_draw(expanded, "__u", seed, _unit_number(rows, unit), F.col("rep")).withColumn(
-        "__w", poisson_weight(F.col("__u"))
-    )
-    grp = [*keys, "split", "rep"]
-    runs = cumulative_counts(drawn, grp, value, {"w": F.sum("__w")})
-    total = runs.groupBy(*grp).agg(F.sum("w").alias("__t"))
-    runs = null_safe_join(runs, total, grp)
-    hits = [
-        F.max(F.when((F.col("w_before") <= r) & (r < F.col("w_before") + F.col("w")), F.col(value)))
-        for r in (F.floor((F.col("__t") - 1) / 2), F.ceil((F.col("__t") - 1) / 2))
-    ]
-    stat = runs.groupBy(*grp).agg(((hits[0] + hits[1]) / 2).alias("v"))
+    """Bootstrap of the difference of medians: weighted medians of all replicates (see `weighted_medians`)."""
+    known = rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    stat = replicate_medians(known, value, unit, [*keys, "split"], reps, seed)
     return summarise_replicates(_replicate_deltas(stat, keys), keys, confidence, zero_rule)
 
 
@@ -138,14 +128,6 @@ def poisson_bootstrap(
 
 # --- subsamples -----------------------------------------------------------
 
-def sample_size_rows(df: DataFrame, keys: Sequence[str], share: float, cap: int) -> DataFrame:
-    """min(cap, floor(rows * share)) per key."""
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__rows"),
-        F.least(F.lit(cap), F.floor(F.count(F.lit(1)) * share)).cast("bigint").alias("__k"),
-    )
-
-
 def exact_sample(
     df: DataFrame, keys: Sequence[str], unit: str, share: float, cap: int, seed: int = 1
 ) -> DataFrame:
@@ -156,7 +138,7 @@ def exact_sample(
     """
     keys = list(keys)
     size = lambda total: F.least(F.lit(cap), F.floor(total * share)).cast("bigint")
-    tagged = df.withColumn("__u", draw(seed, _unit_number(df, unit), F.lit(0)))
+    tagged = df.withColumn("__u", _draw(df, seed, unit, F.lit(0)))
     found = values_at_ranks(tagged, keys, "__u", {"__cut": lambda total: size(total) - 1})
     cut = found.select(*keys, "__cut", (size(F.col("rows")) - F.col("__cut_before")).alias("__need"))
     joined = null_safe_join(tagged, cut, keys)
@@ -171,49 +153,51 @@ def exact_sample(
     return inside.unionByName(edge).drop("__u", "__cut", "__need")
 
 
-def simulated_samples(
-    rows: DataFrame, unit: str, sims: int, share: float, cap: int, keys: Sequence[str] = (), seed: int = 1
-) -> DataFrame:
-    """`sims` subsamples of exact size min(cap, share * rows) per (keys, split), in column `sim`.
+def _moments(n: str, c: str) -> tuple[Column, Column]:
+    """Mean and summed squares about it, from sums about the group's mean."""
+    return F.col(f"{c}_mean") + F.try_divide(F.col(c), F.col(n)), F.greatest(F.lit(0.0), F.col(f"{c}_{c}") - F.try_divide(F.col(c) * F.col(c), F.col(n)))
 
-    A draw threshold a little above size/rows thins the rows in the map stage (eight
-    standard deviations of slack); the exact cut is made on the few that pass. A
-    sample that would come out short fails the job instead of passing unnoticed.
-    """
-    keys = list(keys)
-    grp = [*keys, "split"]
-    sizes = sample_size_rows(rows, grp, share, cap)
-    k, n = F.col("__k").cast("double"), F.col("__rows")
-    sized = null_safe_join(rows, sizes, grp).withColumn(
-        "__limit", F.least(F.lit(1.0), (k + 8 * F.sqrt(k) + 16) / n)
-    )
-    drawn = (
-        sized.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(sims))))
-        .withColumn("__u", draw(seed, _unit_number(rows, unit), F.col("sim")))
-        .filter(F.col("__u") <= F.col("__limit"))
-    )
-    part = Window.partitionBy(*grp, "sim")
-    ranked = drawn.withColumns(
-        {"__rn": F.row_number().over(part.orderBy("__u", unit)), "__got": F.count(F.lit(1)).over(part)}
+
+def _ratio_moments(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The columns of `ratio_stats` for each (keys, sim, split), from sums of x, y about their means and of n."""
+    b = F.col("rows").cast("double")
+    (ax, mx), (ay, my) = (_moments("rows", c) for c in "xy")
+    return sums.select(
+        *keys, "sim", "split", F.col("rows").alias("b"), "n", (ax * b).alias("sx"), (ay * b).alias("sy"), ax.alias("ax"), ay.alias("ay"), (mx / b).alias("vx"), (my / b).alias("vy"),
+        ((F.col("x_y") - F.col("x") * F.col("y") / b) / b).alias("cxy"),
     )
-    short = F.when(F.col("__got") < F.col("__k"), F.raise_error(F.lit("subsample came out short"))).otherwise(F.lit(True))
-    return ranked.filter((F.col("__rn") <= F.col("__k")) & short.cast("boolean")).drop(
-        "__rn", "__got", "__rows", "__k", "__limit", "__u"
+
+
+def _sampled_ratio_stats(rows: DataFrame, unit: str, keys: Sequence[str], sims: int, size: Column, seed: int) -> DataFrame:
+    """What `ratio_stats` gives, for every sample. Rows with a null x or y are not sampled."""
+    whole = rows.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    out = sample_sums(whole, unit, {c: F.col(c) for c in ("n", "x", "y")}, [("x", "x"), ("y", "y"), ("x", "y")], [*keys, "split"], sims, size, seed, ["x", "y"])
+    return _ratio_moments(out, keys)
+
+
+def _sampled_value_stats(rows: DataFrame, value: str, unit: str, keys: Sequence[str], sims: int, size: Column, seed: int) -> DataFrame:
+    """What `value_stats` gives, for every sample. Null and NaN values are sampled and then skipped."""
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    columns = {"known": v.isNotNull().cast("int"), "hits": F.coalesce((v > 0).cast("int"), F.lit(0)), "v": v}
+    out = sample_sums(rows, unit, columns, [("v", "v")], [*keys, "split"], sims, size, seed, ["v"])
+    n = F.col("known")
+    mean, squares = _moments("known", "v")
+    return out.select(
+        *keys, "sim", "split", n.cast("bigint").alias("n"), mean.alias("mean"), F.when(n > 1, squares / (n - 1)).alias("var"), (mean * n).alias("total"), F.col("hits").cast("bigint").alias("successes"),
     )
 
 
-def _simulated_pvalues(sample: DataFrame, estimator: str, grp: Sequence[str], value: str | None, mode: str) -> DataFrame:
+def _simulated_tests(rows: DataFrame, estimator: str, unit: str, keys: Sequence[str], value: str | None, sims: int, size: Column, seed: int, mode: str) -> DataFrame:
+    grp = [*keys, "sim"]
     if estimator in ("t_test_ratio", "ttest_ratio"):
-        pairs = pair_up(ratio_stats(sample, grp), grp)
+        pairs = pair_up(_sampled_ratio_stats(rows, unit, keys, sims, size, seed), grp)
         return ratio_t_test(pairs, mode=mode) if estimator == "t_test_ratio" else ratio_z_test(pairs, mode)
-    pairs = pair_up(value_stats(sample, value, grp), grp)
+    if estimator not in ("t_test", "t_test_ci", "chi2", "prop_test", "proportions_ztest"):
+        raise ValueError(f"no simulation for estimator: {estimator}")
+    pairs = pair_up(_sampled_value_stats(rows, value, unit, keys, sims, size, seed), grp)
     if estimator in ("t_test", "t_test_ci"):
         return welch_test(pairs)
-    if estimator == "chi2":
-        return chi2_test(pairs)
-    if estimator in ("prop_test", "proportions_ztest"):
-        return proportion_test(pairs, pooled=estimator == "proportions_ztest")
-    raise ValueError(f"no simulation for estimator: {estimator}")
+    return chi2_test(pairs) if estimator == "chi2" else proportion_test(pairs, pooled=estimator == "proportions_ztest")
 
 
 def simulated_rate(
@@ -222,10 +206,13 @@ def simulated_rate(
     mode: str = "reference",
 ) -> DataFrame:
     """Share of simulated p-values at or below alpha per (keys, pair): false positives on an
-    A/A frame, power on an A/B frame. The denominator is the number of non-null p-values."""
+    A/A frame, power on an A/B frame. The denominator is the number of non-null p-values.
+
+    A sample of a split has min(cap, floor(share * rows)) rows, without replacement.
+    """
     keys = list(keys)
-    sample = simulated_samples(rows, unit, sims, share, cap, keys, seed)
-    tests = _simulated_pvalues(sample, estimator, [*keys, "sim"], value, mode)
+    size = F.least(F.lit(cap), F.floor(F.col("__n") * share))
+    tests = _simulated_tests(rows, estimator, unit, keys, value, sims, size, seed, mode)
     return tests.groupBy(*keys, "split_0", "split_1").agg(
         F.count("pvalue").alias("sims"),
         F.try_divide(
@@ -240,16 +227,12 @@ def half_split_rate(
     drop_zero_denominator: bool = False, mode: str = "bucket",
 ) -> DataFrame:
     """A/A check of the ratio t-test: each simulation halves the units at random and tests the halves."""
-    base = rows.filter(F.col("y") != 0) if drop_zero_denominator else rows
-    halves = (
-        base.drop("split")
-        .withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(sims))))
-        .withColumn(
-            "split", F.when(draw(seed, _unit_number(rows, unit), F.col("sim")) < 0.5, F.lit("A")).otherwise(F.lit("B"))
-        )
-    )
-    grp = [*keys, "sim"]
-    tests = ratio_t_test(pair_up(ratio_stats(halves, grp), grp), confidence, mode)
+    base = rows.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & ((F.col("y") != 0) | F.lit(not drop_zero_denominator)))
+    means = stable_checkpoint(base.groupBy(*keys).agg(F.avg("x").alias("x_mean"), F.avg("y").alias("y_mean")))
+    centred = null_safe_join(base.drop("split"), means, keys).withColumns({c: F.col(c) - F.col(f"{c}_mean") for c in "xy"})
+    halves = half_sums(centred, unit, ["n", "x", "y"], [("x", "x"), ("y", "y"), ("x", "y")], keys, sims, seed)
+    halves = null_safe_join(halves, means, keys)
+    tests = ratio_t_test(pair_up(_ratio_moments(halves, keys), [*keys, "sim"]), confidence, mode)
     return tests.groupBy(*keys).agg(
         F.count("pvalue").alias("sims"),
         F.avg((F.col("pvalue") <= 1 - confidence).cast("int")).alias("rate"),

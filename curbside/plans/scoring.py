@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import dtype_of, stable_checkpoint
-from ..functions.hashing import draw, key_number
+from ..functions.hashing import draw, draw_key
 from ..functions.scalars import days_since, flag
 from ..operators.ranks import auc, best_precision, exact_quantiles, optimal_threshold
 from ..operators.resample import exact_sample
@@ -54,7 +54,7 @@ def undersampled(df: DataFrame, label: str, unit: str, ratio: float = 0.5, seed:
 
 def train_test(df: DataFrame, unit: str, train: float = 0.7, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """Split by a draw on the row id: the same rows on every run, whatever the partitioning."""
-    u = draw(seed, key_number(F.col(unit), dtype_of(df, unit)), F.lit(17))
+    u = draw(seed, draw_key(F.col(unit), dtype_of(df, unit)), F.lit(17))
     return df.filter(u < train), df.filter(u >= train)
 
 
@@ -62,7 +62,7 @@ def calibrated_forest(
     df: DataFrame, features: Sequence[str], label: str, unit: str, folds: int = 5, trees: int = 50, depth: int = 6, seed: int = 1
 ):
     """Random forest with isotonic calibration by folds: one (forest, isotonic) pair per fold."""
-    fold = F.floor(draw(seed, key_number(F.col(unit), dtype_of(df, unit)), F.lit(29)) * folds).cast("int")
+    fold = F.floor(draw(seed, draw_key(F.col(unit), dtype_of(df, unit)), F.lit(29)) * folds).cast("int")
     data = stable_checkpoint(df.select(unit, *[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("label"), fold.alias("fold")))
     pairs = []
     for i in range(folds):
@@ -142,7 +142,7 @@ def permutation_importances(model, df: DataFrame, features: Sequence[str], label
     """
     from pyspark.sql import Window
 
-    num = key_number(F.col(unit), dtype_of(df, unit))
+    num = draw_key(F.col(unit), dtype_of(df, unit))
     buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = df.withColumn("__u", draw(seed, num, F.lit(1))).withColumn("__bucket", F.floor(F.col("__u") * buckets).cast("int"))
     values = F.struct(*features)

@@ -202,3 +202,101 @@ def test_evaluate_with_value_estimators(spark, estimator):
     spec = M.ExperimentSpec("split", "user", (M.Metric("v", M.Agg("v", "sum"), M.Agg("user", "nunique"), M.Agg("user", "nunique"), estimator=estimator),), {"drivers": M.Agg("user", "nunique")})
     row = evaluate(df, spec).filter("metric = 'v'").first()
     assert row.pvalue is not None and row.pvalue < 0.05
+
+
+def test_draws_use_all_bits_of_any_key_and_equal_numpy(spark):
+    from curbside.functions.hashing import continued, draw_bits, draw_key, uniforms
+
+    ids = [0, 1, 2**31 - 1, 2**31, 2 * (2**31 - 1), -5, 2**62]  # the third and fifth are equal modulo a Mersenne prime
+    rows = spark.createDataFrame([(i, str(i)) for i in ids], "id long, s string")
+    got = rows.select("id", draw_bits(4, F.col("id")).alias("a"), draw_bits(4, F.col("id"), F.lit(9).cast("bigint")).alias("b"), draw(4, F.col("id"), F.lit(9)).alias("u"),
+                      draw(4, draw_key(F.col("s"), "string"), F.lit(9)).alias("t")).collect()
+    assert len({r.u for r in got}) == len(ids) == len({r.t for r in got})
+    first = np.array([r.a for r in got], np.int64).view(np.uint64)
+    assert continued(9, first).tolist() == [r.b % 2**64 for r in got]
+    assert uniforms(continued(9, first)).tolist() == [r.u for r in got]
+    # CRC-32 of these texts is the same
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+    pair = spark.createDataFrame([("plumless",), ("buckeroo",)], "s string").select(draw(1, F.col("s"), F.lit(1)).alias("u")).collect()
+    assert pair[0].u != pair[1].u
+
+
+def test_rank_samples_are_uniform_and_exact():
+    from curbside.operators.sampling import distinct_ranks
+
+    for n, k in ((10, 3), (10, 5), (10, 8), (10, 10), (10, 12), (1, 1), (7, 0), (0, 0)):
+        seen = np.zeros(max(n, 1))
+        for sim in range(3000):
+            ranks = distinct_ranks(12345, sim, n, k)
+            assert len(ranks) == min(n, k) == len(set(ranks.tolist())) and all(0 <= r < n for r in ranks)
+            seen[ranks] += 1
+        if 0 < k < n:  # every rank equally often: five standard deviations
+            p = k / n
+            assert np.abs(seen / 3000 - p).max() < 5 * math.sqrt(p * (1 - p) / 3000)
+
+
+@pytest.mark.parametrize(("bucket", "draws", "part"), [(65_536, 1_000_000, 4_000_000), (16, 90, 50)])
+def test_sample_sums_against_numpy(spark, monkeypatch, bucket, draws, part):
+    """Sums of the very rows that the ranks name, whatever the buckets, tasks and parts; null keys are a group."""
+    from curbside.operators import sampling as S
+
+    for name, v in (("BUCKET", bucket), ("DRAWS", draws), ("PART", part)):
+        monkeypatch.setattr(S, name, v)
+    data = [("a", i, float(i % 7)) for i in range(101)] + [(None, i, float(i)) for i in range(40)] + [("b", 5, 2.0)]
+    rows = spark.createDataFrame([(g, u, v if u % 9 else None) for g, u, v in data], "g string, unit long, v double").repartition(5)
+    got = S.sample_sums(rows, "unit", {"v": F.col("v"), "one": F.lit(1)}, [("v", "v")], ["g"], 12, F.floor(F.col("__n") * 0.4), 3, ["v"]).collect()
+    plain = {(r.g, r.sim): r for r in got}
+    assert set(plain) == {(g, s) for g in ("a", None) for s in range(1, 13)}  # 0.4 of one row is none
+    bits = {r.g: r.h for r in rows.select("g", F.xxhash64(F.lit(3).cast("bigint"), "g").alias("h")).distinct().collect()}
+    for g in ("a", None):
+        own = [(u, v) for k, u, v in data if k == g]
+        mean = np.mean([v for u, v in own if u % 9])
+        buckets = -(-len(own) // bucket)
+        place = {r.u: r.b for r in spark.createDataFrame([(u,) for u, _ in own], "u long").select("u", F.pmod(F.xxhash64("u"), F.lit(buckets)).alias("b")).collect()}
+        own.sort(key=lambda x: (place[x[0]], x[0]))
+        for sim in range(1, 13):
+            chosen = [own[i] for i in S.distinct_ranks(bits[g] % 2**64, sim, len(own), int(len(own) * 0.4))]
+            v = np.array([v - mean if u % 9 else 0.0 for u, v in chosen])
+            r = plain[g, sim]
+            assert (r.rows, r.one) == (len(chosen), len(chosen)) and r.v == pytest.approx(v.sum()) and r.v_v == pytest.approx((v * v).sum()) and r.v_mean == pytest.approx(mean)
+
+
+def test_half_sums_against_numpy(spark, monkeypatch):
+    from curbside.functions.hashing import continued, uniforms
+    from curbside.operators import sampling as S
+
+    monkeypatch.setattr(S, "STEP", 5)
+    monkeypatch.setattr(S, "GROUPS", 1)
+    rows = spark.range(90).selectExpr("CAST(id % 3 AS string) AS k", "id AS unit", "CAST(id AS double) AS v", "1.0D AS n").repartition(4)
+    bits = {r.unit: r.h for r in rows.select("unit", F.xxhash64(F.lit(2).cast("bigint"), "unit").alias("h")).collect()}
+    got = {(r.k, r.sim, r.split): r for r in S.half_sums(rows, "unit", ["v", "n"], [("v", "v")], ["k"], 13, 2).collect()}
+    for k in range(3):
+        for sim in range(1, 14):
+            a = [u for u in range(90) if u % 3 == k and float(uniforms(continued(sim, np.uint64(bits[u] % 2**64)))) < 0.5]
+            b = [u for u in range(90) if u % 3 == k and u not in a]
+            for half, units in (("A", a), ("B", b)):
+                r = got[str(k), sim, half]
+                assert (r.rows, r.n, r.v, r.v_v) == (len(units), len(units), sum(units), sum(u * u for u in units))
+
+
+@pytest.mark.parametrize(("leaf", "bins"), [(20_000, 64), (5, 4)])
+def test_replicate_medians_against_numpy(spark, monkeypatch, leaf, bins):
+    """Ties, one heavy value, a unit with several rows, a null key; bins are cut again until a leaf is small."""
+    from curbside.operators import weighted_medians as Wm
+
+    monkeypatch.setattr(Wm, "LEAF", leaf)
+    monkeypatch.setattr(Wm, "BINS", bins)
+    monkeypatch.setattr(Wm, "STEP", 7)
+    monkeypatch.setattr(Wm, "OPEN", 1)
+    rng = random.Random(leaf)
+    data = [("a", rng.randrange(60), rng.choice([0.0, 1.0, rng.gauss(0, 5)])) for _ in range(200)] + [(None, u, 3.0) for u in range(20)] + [("c", 1, 2.0), ("c", 2, 8.0)]
+    rows = spark.createDataFrame(data, "k string, unit long, v double").repartition(3)
+    bits = {r.unit: r.h for r in rows.select("unit", F.xxhash64(F.lit(6).cast("bigint"), "unit").alias("h")).distinct().collect()}
+    got = {(r.k, r.rep): r.v for r in Wm.replicate_medians(rows, "v", "unit", ["k"], 25, 6).collect()}
+    w = {u: Wm.weights(np.array([h], np.int64).view(np.uint64), 25)[0] for u, h in bits.items()}
+    for k in ("a", None, "c"):
+        for rep in range(1, 26):
+            values = [v for g, u, v in data if g == k for _ in range(int(w[u][rep - 1]))]
+            assert got.pop((k, rep), None) == (pytest.approx(float(np.median(values))) if values else None)
+    assert not got
+    assert Wm.replicate_medians(rows.limit(0), "v", "unit", ["k"], 5, 6).collect() == []

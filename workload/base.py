@@ -97,12 +97,28 @@ def t_p_sql(t: str, df: str, steps: int = 4000) -> str:
     return f"greatest(0, 1 - 2 * {h} / 3 * {total} * {const})"
 
 
-def draw_sql(seed: int, key: str, rep: str) -> str:
-    """The uniform draw of `functions.hashing.draw`."""
-    p = 2147483647
-    h1 = f"((({key})::BIGINT % {p} * 48271 + ({rep})::BIGINT * 69621 + {(seed % 30000) * 16807 + 12345}) % {p})"
-    h2 = f"(({h1} * {h1} + ({rep})::BIGINT * 40692 + 1) % {p})"
-    return f"((({h2} * {h2} + 69621) % {p})::DOUBLE / {p}.0::DOUBLE)"
+def hash_sql(seed: int, *keys: str) -> str:
+    """The 64 bits of `functions.hashing.draw_bits` for bigint keys, as UHUGEINT."""
+    from curbside.functions.hashing import _P1, _P2, _P3, _P4, _P5
+
+    top = 2**64 - 1
+    u = lambda n: f"{n}::UHUGEINT"
+    let = lambda a, body: f"list_transform([{a}], lambda h: {body})[1]"
+    times = lambda a, c: f"((({a}) * {u(c)}) & {u(top)})"
+    turned = lambda a, k: let(f"({a}) * {u(1 << k)}", f"(h & {u(top)}) | (h >> 64)")
+    mixed = lambda a, k: let(a, f"xor(h, h >> {k})")
+    out = u(42)  # the hash begins here
+    for key in (f"{seed}::BIGINT", *keys):
+        value = f"(({key})::HUGEINT & {top}::HUGEINT)::UHUGEINT"
+        h = f"xor((({out}) + {u((_P5 + 8) % 2**64)}) & {u(top)}, {times(turned(times(value, _P2), 31), _P1)})"
+        h = f"(({times(turned(h, 27), _P1)} + {u(_P4)}) & {u(top)})"
+        out = mixed(times(mixed(times(mixed(h, 33), _P2), 29), _P3), 32)
+    return out
+
+
+def draw_sql(seed: int, *keys: str) -> str:
+    """The uniform draw of `functions.hashing.draw` for bigint keys."""
+    return f"(({hash_sql(seed, *keys)} >> 11)::DOUBLE / 9007199254740992.0::DOUBLE)"
 
 
 def poisson_sql(u: str) -> str:

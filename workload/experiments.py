@@ -198,7 +198,7 @@ def bh(spark, sf):
 
 # --- resampling -----------------------------------------------------------
 
-REPS = 100
+REPS = 1000
 
 
 def boot_sql(mod, reps, seed, value="x", over="y"):
@@ -233,12 +233,12 @@ def boot_sign(spark, sf):
     return test_columns(B.poisson_bootstrap(user_rows(spark, sf), "x", "y", "unit", reps=REPS, seed=4), "negative", "pvalue")
 
 
-@query("bootstrap_difference_of_medians", f"""WITH {user_sql(2)}, d AS (SELECT split, rep, x, {poisson_sql(draw_sql(5, 'unit', 'rep'))} AS w FROM m, (SELECT unnest(range(1, 31)) AS rep)),
+@query("bootstrap_difference_of_medians", f"""WITH {user_sql(2)}, u AS MATERIALIZED (SELECT split, rep, x, {draw_sql(5, 'unit', 'rep')} AS u FROM m, (SELECT unnest(range(1, {REPS + 1})) AS rep)), d AS (SELECT split, rep, x, {poisson_sql('u')} AS w FROM u),
 e AS (SELECT split, rep, x FROM d, (SELECT unnest(range(1, 11)) AS k) WHERE k <= w), q AS (SELECT split, rep, median(x) AS v FROM e GROUP BY 1, 2),
 dl AS (SELECT b.v - a.v AS d FROM q a JOIN q b USING (rep) WHERE a.split = 0 AND b.split = 1)
 SELECT 0::BIGINT AS split_0, 1::BIGINT AS split_1, round(avg(d), 6) AS delta, round(quantile_cont(d, 0.005), 6) AS lb, round(quantile_cont(d, 0.995), 6) AS ub FROM dl""")
 def boot_median(spark, sf):
-    return test_columns(B.bootstrap_median(user_rows(spark, sf), "x", reps=30, seed=5), "delta", "lb", "ub")
+    return test_columns(B.bootstrap_median(user_rows(spark, sf), "x", reps=REPS, seed=5), "delta", "lb", "ub")
 
 
 @query("exact_subsample_without_replacement", f"""WITH {OFFERS_SQL}, d AS (SELECT event_id, split, row_number() OVER (PARTITION BY split ORDER BY {draw_sql(7, 'event_id', '0')}, event_id) AS rn, count(*) OVER (PARTITION BY split) AS n FROM offers)
@@ -247,31 +247,34 @@ def subsample(spark, sf):
     return B.exact_sample(offers(spark, sf).select("event_id", "split"), ["split"], "event_id", 0.5, 1000, 7)
 
 
-_SIMS = 100
+_SIMS = 10_000
 
 
-def sim_sql(mod, share, cap, seed, key="unit"):
-    return f"""sz AS (SELECT split, count(*) AS c FROM m GROUP BY 1),
-s AS (SELECT m.*, sim, row_number() OVER (PARTITION BY m.split, sim ORDER BY {draw_sql(seed, key, 'sim')}, {key}) AS rn, c FROM m JOIN sz USING (split), (SELECT unnest(range(1, {_SIMS + 1})) AS sim)),
-k AS (SELECT * FROM s WHERE rn <= least({cap}, floor(c * {share})))"""
+def sim_sql(share, cap, seed, keys="split", frame="m"):
+    """CTE k: the sampled rows of `frame` (keys, unit, ...) in column sim, drawn by rank as `operators.sampling` does for groups of one bucket."""
+    drawn = draw_sql(seed, *keys.split(", "), "sim", "j")
+    return f"""nb AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY unit) - 1 AS rank FROM {frame}),
+sz AS (SELECT {keys}, count(*) AS c, least({cap}, floor(count(*) * {share}))::BIGINT AS k FROM {frame} GROUP BY ALL),
+dr AS MATERIALIZED (SELECT {keys}, sim, j, k, least(floor({drawn} * c)::BIGINT, c - 1) AS rank FROM sz, (SELECT unnest(range(1, {_SIMS + 1})) AS sim), (SELECT unnest(range(0, 2 * {cap} + 64)) AS j) WHERE j < 2 * k + 64),
+fi AS (SELECT {keys}, sim, rank, min(j) AS j, any_value(k) AS k FROM dr GROUP BY {keys}, sim, rank QUALIFY row_number() OVER (PARTITION BY {keys}, sim ORDER BY min(j)) <= any_value(k)),
+k AS (SELECT nb.* EXCLUDE (rank), sim FROM fi JOIN nb USING ({keys}, rank))"""
 
 
-@query("simulated_false_positive_rate", f"""WITH {user_sql(2)}, {sim_sql(2, 0.5, 1000, 11)}, {ratio_sql('k', 'sim')}
+@query("simulated_false_positive_rate", f"""WITH {user_sql(2)}, {sim_sql(0.5, 1000, 11)}, {ratio_sql('k', 'sim')}
 SELECT split_0, split_1, count(*) AS sims, round(avg(({t_p_sql('delta / se', 'df', 400)} <= 0.05)::INT), 6) AS rate, round(avg(delta / se), 6) AS mean_statistic FROM pr GROUP BY 1, 2""")
 def fpr(spark, sf):
     return test_columns(B.simulated_rate(user_rows(spark, sf), "t_test_ratio", "unit", _SIMS, keys=[], seed=11), "sims", "rate", "mean_statistic")
 
 
 @query("false_positive_rate_by_group", f"""WITH {OFFERS_SQL}, m AS (SELECT user_id % 3 AS grp, user_id % 2 AS split, user_id AS unit, sum(value * trip) AS x, sum(trip)::DOUBLE AS y, 1.0::DOUBLE AS n FROM offers GROUP BY 1, 2, 3),
-sz AS (SELECT grp, split, count(*) AS c FROM m GROUP BY 1, 2), s AS (SELECT m.*, sim, row_number() OVER (PARTITION BY m.grp, m.split, sim ORDER BY {draw_sql(12, 'unit', 'sim')}, unit) AS rn, c FROM m JOIN sz USING (grp, split), (SELECT unnest(range(1, 51)) AS sim)),
-k AS (SELECT * FROM s WHERE rn <= least(1000, floor(c * 0.5))), {ratio_sql('k', 'grp, sim')}
+{sim_sql(0.5, 1000, 12, 'grp, split')}, {ratio_sql('k', 'grp, sim')}
 SELECT grp, split_0, split_1, count(*) AS sims, round(avg(({norm_p_sql('delta / se', 400)} <= 0.05)::INT), 6) AS rate FROM pr GROUP BY 1, 2, 3""")
 def fpr_group(spark, sf):
     rows = user_rows(spark, sf).withColumn("grp", F.col("unit") % 3)
-    return rounded(B.simulated_rate(rows, "ttest_ratio", "unit", 50, keys=["grp"], seed=12).select("grp", "split_0", "split_1", "sims", "rate"))
+    return rounded(B.simulated_rate(rows, "ttest_ratio", "unit", _SIMS, keys=["grp"], seed=12).select("grp", "split_0", "split_1", "sims", "rate"))
 
 
-@query("aa_study_binomial", f"""WITH {OFFERS_SQL}, m AS (SELECT split, event_id AS unit, accept FROM offers), {sim_sql(2, 0.1, 500, 13)},
+@query("aa_study_binomial", f"""WITH {OFFERS_SQL}, m AS (SELECT split, event_id AS unit, accept FROM offers), {sim_sql(0.1, 500, 13)},
 g AS (SELECT sim, split, count(*)::DOUBLE AS n, sum(accept)::DOUBLE AS k FROM k GROUP BY 1, 2), p AS (SELECT a.n AS n0, b.n AS n1, a.k AS k0, b.k AS k1 FROM g a JOIN g b USING (sim) WHERE a.split = 0 AND b.split = 1),
 t AS (SELECT {_CHI} AS x FROM p)
 SELECT 0::BIGINT AS split_0, 1::BIGINT AS split_1, count(*) AS sims, round(avg((x >= 3.841458820694124)::INT), 6) AS rate, round(avg(x), 6) AS mean_statistic FROM t""")
