@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hexgrid import EARTH_RADIUS, cell_centre, cell_id, edge_length, mercator
+from ..functions.scalars import minute_of_day
+from .temporal import schedule_slots, week_slot
 
 SCHEDULE_JSON = "array<struct<id:int,name:string,price:double,coords:array<array<string>>>>"
 
@@ -41,37 +43,123 @@ def _tile(v: Column, tile: float) -> Column:
     return F.floor(v / tile).cast("bigint")
 
 
+FINE = 8  # fine tiles along each side of a tile
+
+
+def _edge_meets(ring: Column, lat_lo: Column, lat_hi: Column, lon_lo: Column, lon_hi: Column) -> Column:
+    """Whether an edge of the ring meets the rectangle: boxes overlap and the corners are not all on one side of it."""
+
+    def meets(e):
+        a, b = e["a"], e["b"]
+        overlap = (F.least(a["lat"], b["lat"]) <= lat_hi) & (F.greatest(a["lat"], b["lat"]) >= lat_lo) & (F.least(a["lon"], b["lon"]) <= lon_hi) & (F.greatest(a["lon"], b["lon"]) >= lon_lo)
+        side = [(b["lon"] - a["lon"]) * (y - a["lat"]) - (b["lat"] - a["lat"]) * (x - a["lon"]) for y in (lat_lo, lat_hi) for x in (lon_lo, lon_hi)]
+        return overlap & (F.least(*side) <= 0) & (F.greatest(*side) >= 0)
+
+    edges = F.zip_with(ring, rotated(ring), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.exists(edges, meets)
+
+
+def tile_cover(polygons: DataFrame, ring: str = "ring", tile: float = 0.05) -> DataFrame:
+    """A row for each (polygon, tile it touches): `__tx`, `__ty`, `__whole` (the tile lies inside), `__inner` and `__edge`.
+
+    A tile that an edge meets is cut into FINE x FINE fine tiles; `__inner` numbers those inside, `__edge` those that
+    an edge meets. Only points of the latter need ray casting. Rectangles are widened a little for rounding.
+    """
+    box = {f"__{n}": c for n, c in bounding_box(F.col(ring)).items()}
+    out = polygons.withColumns(box).withColumn("__tx", F.explode(F.sequence(_tile(F.col("__lat_lo"), tile), _tile(F.col("__lat_hi"), tile))))
+    out = out.withColumn("__ty", F.explode(F.sequence(_tile(F.col("__lon_lo"), tile), _tile(F.col("__lon_hi"), tile)))).drop(*box)
+    eps, fine = tile * 1e-9, tile / FINE
+    met = lambda lat, lon, size: _edge_meets(F.col(ring), lat - eps, lat + size + eps, lon - eps, lon + size + eps)
+    inside = lambda lat, lon, size: point_in_ring(lat + size / 2, lon + size / 2, F.col(ring))
+    lat, lon = F.col("__tx") * tile, F.col("__ty") * tile
+    out = out.withColumns({"__met": met(lat, lon, tile), "__whole": inside(lat, lon, tile)}).filter("__met OR __whole")
+    corner = lambda k: (lat + F.floor(k / FINE) * fine, lon + (k % FINE) * fine)
+    numbers = F.sequence(F.lit(0), F.lit(FINE * FINE - 1))
+    out = out.withColumn("__edge", F.when(F.col("__met"), F.filter(numbers, lambda k: met(*corner(k), fine))).otherwise(F.array().cast("array<int>")))
+    inner = F.filter(F.array_except(numbers, F.col("__edge")), lambda k: inside(*corner(k), fine))
+    out = out.withColumn("__inner", F.when(F.col("__met"), inner).otherwise(F.array().cast("array<int>")))
+    return out.withColumn("__whole", ~F.col("__met")).drop("__met").filter("__whole OR size(__edge) + size(__inner) > 0")
+
+
+def _with_tiles(points: DataFrame, lat: str, lon: str, tile: float) -> DataFrame:
+    """Adds the point's tile (`__px`, `__py`) and its fine tile's number in it (`__pf`)."""
+    la, lo = F.col(lat), F.col(lon)
+    points = points.withColumns({"__px": _tile(la, tile), "__py": _tile(lo, tile)})
+    at = lambda v, t: F.greatest(F.lit(0), F.least(F.lit(FINE - 1), F.floor((v - F.col(t) * tile) / (tile / FINE))))
+    return points.withColumn("__pf", (at(la, "__px") * FINE + at(lo, "__py")).cast("int"))
+
+
 def polygon_join(
     points: DataFrame, polygons: DataFrame, lat: str = "lat", lon: str = "lon", ring: str = "ring",
     tile: float = 0.05, keys: Sequence[str] = (), how: str = "inner",
 ) -> DataFrame:
-    """Point-in-polygon join: equi join on (keys, grid tile), then box test, then ray casting.
+    """Point-in-polygon join: equi join on (keys, tile) with the polygons' tile cover; ray casting near outlines only.
 
-    Polygons are expanded to the tiles of their bounding box; a point lies in one tile. A row
-    comes out per (point, polygon that holds it).
+    A point lies in one tile, so no row is multiplied before the join. A row comes out per (point, polygon that holds it).
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"unsupported join type: {how}")
-    polys = polygons.withColumns({f"__{n}": c for n, c in bounding_box(F.col(ring)).items()})
-    polys = polys.withColumn(
-        "__tx", F.explode(F.sequence(_tile(F.col("__lat_lo"), tile), _tile(F.col("__lat_hi"), tile)))
-    ).withColumn("__ty", F.explode(F.sequence(_tile(F.col("__lon_lo"), tile), _tile(F.col("__lon_hi"), tile))))
-    polys = polys.withColumnsRenamed({k: f"__k_{k}" for k in keys})
-    la, lo = F.col(lat), F.col(lon)
-    pts = points.withColumns({"__px": _tile(la, tile), "__py": _tile(lo, tile)})
+    return _cover_join(points, tile_cover(polygons, ring, tile), lat, lon, ring, tile, keys, how)
+
+
+def _cover_join(points: DataFrame, cover: DataFrame, lat: str, lon: str, ring: str, tile: float, keys: Sequence[str], how: str) -> DataFrame:
+    cover = cover.withColumnsRenamed({k: f"__k_{k}" for k in keys})
     cond = (F.col("__px") == F.col("__tx")) & (F.col("__py") == F.col("__ty"))
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"__k_{k}"))
-    box = la.between(F.col("__lat_lo"), F.col("__lat_hi")) & lo.between(F.col("__lon_lo"), F.col("__lon_hi"))
-    joined = pts.join(polys, cond & box & point_in_ring(la, lo, F.col(ring)), how)
+    cast = F.array_contains("__edge", F.col("__pf")) & point_in_ring(F.col(lat), F.col(lon), F.col(ring))
+    joined = _with_tiles(points, lat, lon, tile).join(cover, cond & (F.col("__whole") | F.array_contains("__inner", F.col("__pf")) | cast), how)
     return joined.drop(*[c for c in joined.columns if c.startswith("__")])
 
 
-def in_any_polygon(points: DataFrame, polygons: DataFrame, point_id: str, name: str = "is_in", **kw) -> DataFrame:
-    """Adds a flag: the point lies in at least one polygon."""
-    hits = polygon_join(points.select(point_id, kw.get("lat", "lat"), kw.get("lon", "lon")), polygons, **kw)
-    hits = hits.select(point_id).distinct().withColumn(name, F.lit(True))
-    return points.join(hits, point_id, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+def in_any_polygon(
+    points: DataFrame, polygons: DataFrame, name: str = "is_in", lat: str = "lat", lon: str = "lon", ring: str = "ring", tile: float = 0.05, keys: Sequence[str] = (),
+) -> DataFrame:
+    """Adds a flag: the point lies in at least one polygon. One join: a tile's row holds all polygons that touch it.
+
+    Null coordinates give false. A tile's row grows with the outlines that cross the tile; choose `tile` to keep them few.
+    """
+    keys = list(keys)
+    cover = tile_cover(polygons.select(*keys, ring), ring, tile)
+    outline = F.when(F.size("__edge") > 0, F.struct(F.col("__edge").alias("edge"), F.col(ring).alias("ring")))
+    tiles = cover.groupBy(*keys, "__tx", "__ty").agg(F.bool_or("__whole").alias("__whole"), F.array_distinct(F.flatten(F.collect_list("__inner"))).alias("__inner"), F.collect_list(outline).alias("__outlines"))
+    tiles = tiles.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    cond = (F.col("__px") == F.col("__tx")) & (F.col("__py") == F.col("__ty"))
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"__k_{k}"))
+    joined = _with_tiles(points, lat, lon, tile).join(tiles, cond, "left")
+    cast = F.exists("__outlines", lambda o: F.array_contains(o["edge"], F.col("__pf")) & point_in_ring(F.col(lat), F.col(lon), o["ring"]))
+    flag = F.coalesce(F.col("__whole") | F.array_contains("__inner", F.col("__pf")) | cast, F.lit(False))
+    return joined.withColumn(name, flag).select(*points.columns, name)
+
+
+def scheduled_polygon_join(
+    points: DataFrame, schedule: DataFrame, ts: str = "ts", keys: Sequence[str] = (), metres: float = 0.0, lat: str = "lat", lon: str = "lon", tile: float = 0.05,
+) -> DataFrame:
+    """Points inside the area and time of schedule rows (see `parse_schedule`): a row per (point, schedule row).
+
+    One equi join on (keys, weekday and half hour, tile): the cover of each polygon is made once and handed to every
+    half hour of its schedule; the exact times are tested on what meets. Adds `in_polygon` and, with `metres`,
+    `in_buffer`: outside the polygon but within that distance of it.
+    """
+    area = schedule.withColumn("__area", widened_box(F.col("ring"), metres) if metres else F.col("ring"))
+    slots = schedule_slots(tile_cover(area, "__area", tile))
+    timed = points.withColumn("__slot", week_slot(ts))
+    joined = _cover_join(timed, slots.withColumnsRenamed({"__from": "from_", "__until": "until_", "__area": "area_"}), lat, lon, "area_", tile, [*keys, "__slot"], "inner")
+    joined = joined.filter((minute_of_day(ts) >= F.col("from_")) & (minute_of_day(ts) < F.col("until_"))).drop("from_", "until_", "area_")
+    core = point_in_ring(F.col(lat), F.col(lon), F.col("ring"))
+    joined = joined.withColumn("in_polygon", core if metres else F.lit(True))
+    if not metres:
+        return joined
+    return joined.withColumn("in_buffer", in_surrounding_area(F.col(lat), F.col(lon), F.col("ring"), metres)).filter("in_polygon OR in_buffer")
+
+
+def widened_box(ring: Column, metres: float) -> Column:
+    """The bounding box of all points within `metres` of the ring (on the Mercator plane), as a ring."""
+    box = bounding_box(ring)
+    pad = math.degrees(metres / EARTH_RADIUS) * 1.01  # a degree of latitude is shorter on the plane than at the equator
+    lo_a, hi_a, lo_o, hi_o = box["lat_lo"] - pad, box["lat_hi"] + pad, box["lon_lo"] - pad, box["lon_hi"] + pad
+    return F.array(*[F.struct(a.alias("lat"), b.alias("lon")) for a, b in ((lo_a, lo_o), (hi_a, lo_o), (hi_a, hi_o), (lo_a, hi_o))])
 
 
 def ring_distance(lat: Column, lon: Column, ring: Column) -> Column:

@@ -108,22 +108,39 @@ def validity_join(
     return facts.join(d, cond, how).drop(*[f"__k_{k}" for k in keys])
 
 
-def schedule_join(facts: DataFrame, schedule: DataFrame, ts: str, how: str = "inner") -> DataFrame:
-    """Facts inside a weekly schedule: equal ISO weekday, from <= time of day < until.
+SLOT = 30  # minutes of a schedule slot
 
-    The schedule has week_day, from_hour, from_minute, until_hour, until_minute; hour 24 is midnight.
+
+def week_slot(ts: str) -> Column:
+    """Number of the half hour in the week, from Monday 00:00."""
+    return ((iso_weekday(ts) - 1) * (1440 // SLOT) + F.floor(minute_of_day(ts) / SLOT)).cast("int")
+
+
+def schedule_slots(schedule: DataFrame) -> DataFrame:
+    """A row for each half hour that a schedule row touches: `__slot`, with the row's exact `__from` and `__until` minutes.
+
+    The schedule has week_day, from_hour, from_minute, until_hour, until_minute; hour 24 is midnight. Rows without a
+    weekday, or that end before they begin, have no slot.
     """
-    sched = schedule.withColumns(
-        {
-            "__from": F.col("from_hour") * 60 + F.col("from_minute"),
-            "__until": F.col("until_hour") * 60 + F.col("until_minute"),
-        }
-    )
-    f = facts.withColumns({"__wd": iso_weekday(ts), "__m": minute_of_day(ts)})
-    cond = (
-        (F.col("__wd") == F.col("week_day")) & (F.col("__m") >= F.col("__from")) & (F.col("__m") < F.col("__until"))
-    )
-    return f.join(sched, cond, how).drop("__wd", "__m", "__from", "__until")
+    start, end = F.col("from_hour") * 60 + F.col("from_minute"), F.col("until_hour") * 60 + F.col("until_minute")
+    timed = schedule.withColumns({"__from": start, "__until": end}).filter(F.col("week_day").isNotNull() & (F.col("__until") > F.col("__from")))
+    first = (F.col("week_day") - 1) * (1440 // SLOT)
+    numbers = F.sequence(F.floor(F.col("__from") / SLOT).cast("int"), (F.ceil(F.col("__until") / SLOT) - 1).cast("int"))
+    return timed.withColumn("__slot", F.explode(F.transform(numbers, lambda k: (first + k).cast("int"))))
+
+
+def schedule_join(facts: DataFrame, schedule: DataFrame, ts: str, how: str = "inner", keys: Sequence[str] = ()) -> DataFrame:
+    """Facts inside a weekly schedule: equal keys (such as the locality) and ISO weekday, from <= time of day < until.
+
+    An equi join on (keys, half hour of the week): a fact has one such key, a schedule row one for each half hour it
+    touches, and the exact times are tested only on what meets.
+    """
+    slots = schedule_slots(schedule).withColumnsRenamed({"__slot": "__s", **{k: f"__k_{k}" for k in keys}})
+    f = facts.withColumns({"__slot": week_slot(ts), "__m": minute_of_day(ts)})
+    cond = (F.col("__slot") == F.col("__s")) & (F.col("__m") >= F.col("__from")) & (F.col("__m") < F.col("__until"))
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"__k_{k}"))
+    return f.join(slots, cond, how).drop("__slot", "__s", "__m", "__from", "__until", *[f"__k_{k}" for k in keys])
 
 
 def retro_union(df: DataFrame, ts: str, date_from: str, date_until: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Hex, polygon, clustering and price-zone queries."""
 
+import json
 import math
 
 from pyspark.sql import functions as F
@@ -115,7 +116,7 @@ def pip(spark, sf):
 
 @query("point_in_any_polygon_flag", f"""WITH {INSIDE_SQL} SELECT (i.event_id IS NOT NULL)::INT AS is_in, count(*) AS n FROM pts LEFT JOIN (SELECT DISTINCT event_id FROM inside) i USING (event_id) GROUP BY 1""")
 def any_polygon(spark, sf):
-    flagged = P.in_any_polygon(points(spark, sf), zones(spark), "event_id", tile=0.02)
+    flagged = P.in_any_polygon(points(spark, sf), zones(spark), tile=0.02)
     return flagged.groupBy(F.col("is_in").cast("int").alias("is_in")).agg(F.count("*").alias("n"))
 
 
@@ -172,30 +173,70 @@ def smoothed(spark, sf):
     return z.select("zone", "n", F.size(ring).alias("points"), P.feature(ring, F.struct("zone_id", "zone")).alias("feature"))
 
 
-_JSON_SCHEDULE = [
-    (7, 5, 1, 8, 0, 20, 0, '[{"id":1,"name":"a","price":150,"coords":[["55.53","37.31"],["55.57","37.31"],["55.57","37.36"],["55.53","37.36"]]}]'),
-    (7, 5, 3, 0, 0, 24, 0, '[{"id":2,"name":"b","price":90,"coords":[["55.50","37.30"],["55.56","37.33"],["55.50","37.38"]]},{"id":3,"name":"c","price":80,"coords":[["55.58","37.30"],["55.60","37.30"],["55.60","37.40"],["55.58","37.40"]]}]'),
-    (8, 5, None, 0, 0, 24, 0, "[]"),
+_POLYGONS = {
+    "a": (1, 150, [(55.53, 37.31), (55.57, 37.31), (55.57, 37.36), (55.53, 37.36)]),
+    "b": (2, 90, [(55.50, 37.30), (55.56, 37.33), (55.50, 37.38)]),
+    "c": (3, 80, [(55.58, 37.30), (55.60, 37.30), (55.60, 37.40), (55.58, 37.40)]),
+    "d": (4, 70, [(55.55, 37.34), (55.60, 37.34), (55.57, 37.36), (55.60, 37.40), (55.55, 37.40)]),
+}
+# campaign, locality modulo 5, weekday, from, until, polygons
+_PLAN = [
+    (7, 0, 1, 8, 0, 20, 0, "a"), (7, 0, 3, 0, 0, 24, 0, "bc"), (7, 1, 5, 6, 10, 6, 55, "abcd"), (9, 2, 6, 17, 45, 24, 0, "bd"), (9, 3, 7, 0, 0, 0, 1, "ac"), (8, 4, None, 0, 0, 24, 0, ""),
+    (10, 4, 2, 9, 0, 18, 30, "d"), (10, 4, 2, 18, 0, 21, 15, "cd"), (11, 1, 4, 0, 0, 24, 0, "abd"),
 ]
 
 
+def _polygon_json(names):
+    return json.dumps([{"id": i, "name": n, "price": p, "coords": [[str(a), str(b)] for a, b in ring]} for n, (i, p, ring) in _POLYGONS.items() if n in names])
+
+
 def json_schedule(spark):
+    """Schedule rows with polygons as JSON text, for every locality of `offers`."""
+    rows = [(c, loc, *rest, _polygon_json(names)) for c, m, *rest, names in _PLAN for loc in range(m, 25, 5)]
     return spark.createDataFrame(
-        _JSON_SCHEDULE,
-        "campaign_id int, id_locality int, week_day int, from_hour int, from_minute int, until_hour int, until_minute int, polygons string",
+        rows, "campaign_id int, id_locality bigint, week_day int, from_hour int, from_minute int, until_hour int, until_minute int, polygons string"
     )
 
 
-@query("scheduled_polygon_offers")
+def _plan_sql():
+    edges, plan = [], []
+    for n, (_, price, ring) in _POLYGONS.items():
+        edges += [f"('{n}', {price}, {a}, {b}, {c}, {d})" for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1])]
+    for c, m, wd, fh, fm, uh, um, names in _PLAN:
+        plan += [f"({c}, {m}, {wd}, {fh * 60 + fm}, {uh * 60 + um}, '{n}')" for n in names if wd is not None]
+    return f"""edges AS (SELECT col0 AS polygon, col1::DOUBLE AS price, col2::DOUBLE AS a_lat, col3::DOUBLE AS a_lon, col4::DOUBLE AS b_lat, col5::DOUBLE AS b_lon FROM (VALUES {', '.join(edges)})),
+plan AS (SELECT col0 AS campaign_id, col1 AS m, col2 AS week_day, col3 AS f, col4 AS u, col5 AS polygon, row_number() OVER () AS plan_id FROM (VALUES {', '.join(plan)}))"""
+
+
+def _timed_sql(frame="pts"):
+    """CTE timed: rows of `frame` (event_id, user_id, ts, lat, lon) at each plan row of their locality and time, with `inside`."""
+    return f"""{_plan_sql()}, timed0 AS (SELECT p.*, campaign_id, week_day, plan_id, polygon FROM {frame} p JOIN plan ON (user_id % 25) % 5 = m AND isodow(ts) = week_day AND hour(ts) * 60 + minute(ts) >= f AND hour(ts) * 60 + minute(ts) < u),
+ins AS (SELECT event_id, plan_id, any_value(price) AS price, count(*) FILTER ((a_lat > lat) <> (b_lat > lat) AND lon < a_lon + (lat - a_lat) * (b_lon - a_lon) / nullif(b_lat - a_lat, 0)) % 2 = 1 AS inside FROM timed0 JOIN edges USING (polygon) GROUP BY 1, 2),
+timed AS (SELECT * FROM timed0 JOIN ins USING (event_id, plan_id))"""
+
+
+@query("scheduled_polygon_offers", f"""WITH {PTS_SQL}, {_timed_sql()}
+SELECT campaign_id::INT AS campaign_id, week_day::INT AS week_day, polygon, count(*) AS offers, count(DISTINCT user_id) AS drivers, max(price) AS price FROM timed WHERE inside GROUP BY 1, 2, 3""")
 def scheduled_polygons(spark, sf):
-    """Schedule JSON parsed to polygons, joined by weekday, time of day and place; tests hold hand cases."""
-    from curbside.operators.temporal import schedule_join
-
-    sched = P.parse_schedule(json_schedule(spark))
-    hit = P.polygon_join(points(spark, sf).withColumn("wd", F.weekday("ts") + 1), sched.withColumn("wd", F.col("week_day")), keys=["wd"], tile=0.02)
-    minute = F.hour("ts") * 60 + F.minute("ts")
-    inside = (minute >= F.col("from_hour") * 60 + F.col("from_minute")) & (minute < F.col("until_hour") * 60 + F.col("until_minute"))
-    return hit.filter(inside).groupBy("campaign_id", "week_day", "polygon").agg(F.count("*").alias("offers"), F.max("price").alias("price"))
+    """Schedule JSON parsed to polygons, joined by locality, half hour of the week and tile."""
+    pts = points(spark, sf).withColumn("id_locality", F.col("user_id") % 25)
+    hit = P.scheduled_polygon_join(pts, P.parse_schedule(json_schedule(spark)), keys=["id_locality"], tile=0.02)
+    return hit.groupBy("campaign_id", "week_day", "polygon").agg(F.count("*").alias("offers"), F.countDistinct("user_id").alias("drivers"), F.max("price").alias("price"))
+
+
+_DIST = f"""m AS (SELECT polygon, radians(a_lon)*{R0!r} AS ax, ln(tan(pi()/4+radians(a_lat)/2))*{R0!r} AS ay, radians(b_lon)*{R0!r} AS bx, ln(tan(pi()/4+radians(b_lat)/2))*{R0!r} AS by_ FROM edges),
+pm AS (SELECT event_id, plan_id, polygon, radians(lon)*{R0!r} AS px, ln(tan(pi()/4+radians(lat)/2))*{R0!r} AS py FROM timed),
+t AS (SELECT event_id, plan_id, px, py, ax, ay, bx-ax AS dx, by_-ay AS dy, greatest(0, least(1, ((px-ax)*(bx-ax)+(py-ay)*(by_-ay))/((bx-ax)*(bx-ax)+(by_-ay)*(by_-ay)))) AS u FROM pm JOIN m USING (polygon)),
+d AS (SELECT event_id, plan_id, min(sqrt(pow(px-ax-u*dx,2)+pow(py-ay-u*dy,2))) AS dist FROM t GROUP BY 1, 2)"""
+
+
+@query("scheduled_buffer_offers", f"""WITH {PTS_SQL}, {_timed_sql()}, {_DIST}
+SELECT campaign_id::INT AS campaign_id, polygon, count(*) FILTER (inside) AS in_polygon, count(*) FILTER (NOT inside AND dist <= 800) AS in_buffer FROM timed JOIN d USING (event_id, plan_id) WHERE inside OR dist <= 800 GROUP BY 1, 2""")
+def scheduled_buffers(spark, sf):
+    """Offers in the schedule's polygons and in the 800 m around them."""
+    pts = points(spark, sf).withColumn("id_locality", F.col("user_id") % 25)
+    hit = P.scheduled_polygon_join(pts, P.parse_schedule(json_schedule(spark)), keys=["id_locality"], metres=800.0, tile=0.02)
+    return hit.groupBy("campaign_id", "polygon").agg(F.count_if("in_polygon").alias("in_polygon"), F.count_if("in_buffer").alias("in_buffer"))
 
 
 @query("slot_polygon_overlap")
