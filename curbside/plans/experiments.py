@@ -11,6 +11,7 @@ from ..functions.frames import null_safe_join, stable_checkpoint
 from ..functions.scalars import flag, lift, max_part
 from ..operators.correction import benjamini_hochberg
 from ..operators.metrics import ExperimentSpec, bucket_rows, metric_rows, pairs_with_lift, totals
+from ..operators.polygons import scheduled_polygon_join
 from ..operators.power import detectable_effect, verdict_rows
 from ..operators.resample import bootstrap_mean, bootstrap_median, bootstrap_ratio, simulated_rate
 from ..operators.temporal import latest_per_key, sequence_number
@@ -90,6 +91,18 @@ def geo_facts(
     return sequence_number(flags, ["offer_id"], "ts", ["retro", "order_id", "driver_id"])
 
 
+def area_suggests(suggests: DataFrame, schedule: DataFrame, metres: float, keys: Sequence[str] = ("id_locality",), offer: str = "offer_id", tile: float = 0.05) -> DataFrame:
+    """The suggests inside the schedule's polygons or within `metres` of them, once each, with in_polygon and in_buffer.
+
+    `suggests` has ts, lat, lon and the keys; `schedule` is what `parse_schedule` gives. A suggest that is inside one
+    polygon counts as inside, whatever other areas it touches.
+    """
+    places = suggests.select("retro", offer, "ts", "lat", "lon", *keys)
+    hits = scheduled_polygon_join(places, schedule, keys=keys, metres=metres, tile=tile)
+    flags = hits.groupBy("retro", offer).agg(F.bool_or("in_polygon").alias("in_polygon"))
+    return suggests.join(flags, ["retro", offer]).withColumn("in_buffer", ~F.col("in_polygon"))
+
+
 def breakdown_rows(df: DataFrame, columns: Sequence[str], values: dict[str, Sequence] | None = None) -> DataFrame:
     """Each row once for 'Total' and once per breakdown column, as (breakdown, breakdown_value)."""
     entries = [F.struct(F.lit("Total").alias("name"), F.lit("Total").alias("value"))]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from ..operators.metrics import Agg, ExperimentSpec, Metric
 
 ACCEPTED = "is_ar"
@@ -52,6 +54,11 @@ BUFFER_METRICS = (
     _geo("of2r_cnbl", _orders("in_buffer", *COMPLETED), Agg("offer_id", "nunique", ("in_buffer",))),
 )
 GEO_EXPERIMENT = ExperimentSpec("split", "driver_id", GEO_METRICS, GEO_TOTALS, 0.95, 1000, 500, 1000)
+# Facts of the polygons and of the area around them: the usual figures inside, the buffer ratios outside.
+GEO_AREA_EXPERIMENT = replace(
+    GEO_EXPERIMENT, metrics=(*(replace(m, where=(*m.where, "in_polygon")) for m in GEO_METRICS), *BUFFER_METRICS),
+    totals={k: a.narrowed(("in_polygon",)) for k, a in GEO_TOTALS.items()},
+)
 
 
 def _ladder(name, x, y):

@@ -97,8 +97,14 @@ def t_p_sql(t: str, df: str, steps: int = 4000) -> str:
     return f"greatest(0, 1 - 2 * {h} / 3 * {total} * {const})"
 
 
-def hash_sql(seed: int, *keys: str) -> str:
-    """The 64 bits of `functions.hashing.draw_bits` for bigint keys, as UHUGEINT."""
+def bucket_sql(key: str, limit: str) -> str:
+    """`functions.hashing.user_bucket` of a bigint key."""
+    signed = f"list_transform([{hash_sql(None, key)}], lambda h: CASE WHEN h >= {2**63}::UHUGEINT THEN h::HUGEINT - {2**64}::HUGEINT ELSE h::HUGEINT END)[1]"
+    return f"((({signed} % ({limit})) + ({limit})) % ({limit}))::BIGINT"
+
+
+def hash_sql(seed: int | None, *keys: str) -> str:
+    """The 64 bits of `functions.hashing.draw_bits` for bigint keys, as UHUGEINT; without a seed the plain hash of the keys."""
     from curbside.functions.hashing import _P1, _P2, _P3, _P4, _P5
 
     top = 2**64 - 1
@@ -108,7 +114,7 @@ def hash_sql(seed: int, *keys: str) -> str:
     turned = lambda a, k: let(f"({a}) * {u(1 << k)}", f"(h & {u(top)}) | (h >> 64)")
     mixed = lambda a, k: let(a, f"xor(h, h >> {k})")
     out = u(42)  # the hash begins here
-    for key in (f"{seed}::BIGINT", *keys):
+    for key in keys if seed is None else (f"{seed}::BIGINT", *keys):
         value = f"(({key})::HUGEINT & {top}::HUGEINT)::UHUGEINT"
         h = f"xor((({out}) + {u((_P5 + 8) % 2**64)}) & {u(top)}, {times(turned(times(value, _P2), 31), _P1)})"
         h = f"(({times(turned(h, 27), _P1)} + {u(_P4)}) & {u(top)})"

@@ -12,8 +12,9 @@ from curbside.plans import experiments as E
 from curbside.plans import presets as S
 
 from .base import (
-    OFFERS_SQL, bh_sql, draw_sql, norm_p_sql, offers, poisson_sql, query, r, ratio_sql, rounded, t_p_sql, table, tables,
+    LAT, LAT_SQL, LON, LON_SQL, OFFERS_SQL, bh_sql, bucket_sql, draw_sql, norm_p_sql, offers, poisson_sql, query, r, ratio_sql, rounded, t_p_sql, table, tables,
 )
+from .geo import _DIST, _timed_sql, json_schedule
 
 A, Me = M.Agg, M.Metric
 USERS = A("user_id", "nunique")
@@ -375,19 +376,26 @@ def goal_success(spark, sf):
     return rounded(T.chi2_test(T.pair_up(T.value_stats(rows, "reached", ["bonus_id"]), ["bonus_id"])).select("bonus_id", "split_0", "split_1", "statistic"))
 
 
+def suggest_columns():
+    return [
+        "retro", F.floor(F.col("offer_id") / 2).alias("order_id"), F.col("user_id").alias("driver_id"), "offer_id", "ts",
+        F.when(F.col("accept") == 1, 1).otherwise(-1).alias("action"), F.when(F.col("trip") == 1, "CP").otherwise("CC").alias("status"),
+        F.when(F.col("k") > 10, F.col("user_id")).alias("picked_by"), (F.col("value") * 10).alias("supply_sec"),
+    ]
+
+
+def _stat_and_splits(ev):
+    stat = ev.filter("k % 4 = 0").groupBy(F.floor(F.col("event_id") / 2).alias("order_id")).agg(F.min("k").alias("campaign_id"), F.sum("value").alias("damage"))
+    return stat, ev.select(F.col("user_id").alias("driver_id")).distinct().withColumn("split", F.col("driver_id") % 2)
+
+
 def geo_facts(spark, sf):
     from curbside.operators.temporal import retro_union
 
     ev = offers(spark, sf)
-    suggests = retro_union(ev, "ts", "2024-01-15", "2024-01-21").select(
-        "retro", (F.floor(F.col("event_id") / 2)).alias("order_id"), F.col("user_id").alias("driver_id"), F.col("event_id").alias("offer_id"), "ts",
-        F.when(F.col("accept") == 1, 1).otherwise(-1).alias("action"), F.when(F.col("trip") == 1, "CP").otherwise("CC").alias("status"),
-        F.when(F.col("k") > 10, F.col("user_id")).alias("picked_by"), (F.col("value") * 10).alias("supply_sec"),
-    )
-    stat = ev.filter("k % 4 = 0").groupBy(F.floor(F.col("event_id") / 2).alias("order_id")).agg(F.min("k").alias("campaign_id"), F.sum("value").alias("damage"))
-    splits = ev.select(F.col("user_id").alias("driver_id")).distinct().withColumn("split", F.col("driver_id") % 2)
+    suggests = retro_union(ev, "ts", "2024-01-15", "2024-01-21").withColumnRenamed("event_id", "offer_id").select(*suggest_columns())
     # the facts feed several passes: written once instead of joined again for each
-    return stable_checkpoint(E.geo_facts(suggests, stat, splits))
+    return stable_checkpoint(E.geo_facts(suggests, *_stat_and_splits(ev)))
 
 
 @query("geo_experiment_evaluation", f"""WITH {OFFERS_SQL}, tw AS (SELECT 'tw' AS retro, * FROM offers WHERE ts >= '2024-01-15' AND ts < '2024-01-22' UNION ALL SELECT 'lw', * FROM offers WHERE ts >= '2024-01-08' AND ts < '2024-01-15'),
@@ -413,6 +421,48 @@ def geo_wow(spark, sf):
     return rounded(out.filter("metric in ('o2r', 'o2r_wow')").select("metric", "split_pair", "pvalue", "delta"))
 
 
+def _geo_unit_sql(metrics):
+    """CTE m of bucketed metric rows from w (this week's facts with `limit_`): metric -> (x, y, n condition)."""
+    parts = [
+        f"SELECT '{name}' AS metric, split, unit, ({x})::DOUBLE AS x, ({y})::DOUBLE AS y, (count(DISTINCT user_id) FILTER ({n}))::DOUBLE AS n FROM b GROUP BY split, unit HAVING count(DISTINCT user_id) FILTER ({n}) > 0"
+        for name, (x, y, n) in metrics.items()
+    ]
+    return f"b AS (SELECT *, {bucket_sql('user_id', 'limit_')} AS unit FROM w), m AS ({' UNION ALL '.join(parts)})"
+
+
+_ORDERS = "count(DISTINCT order_id) FILTER ({})"
+_AREA_METRICS = {
+    "o2r": (_ORDERS.format("done AND inside"), _ORDERS.format("inside"), "inside"), "ar": (_ORDERS.format("is_ar AND inside"), _ORDERS.format("inside"), "inside"),
+    "of2r": (_ORDERS.format("done AND inside"), "count(DISTINCT event_id) FILTER (inside)", "inside"),
+    "cpt": ("coalesce(sum(damage) FILTER (done AND inside), 0)", _ORDERS.format("done AND inside"), "inside"),
+    "o2r_cnbl": (_ORDERS.format("done AND NOT inside"), _ORDERS.format("NOT inside"), "true"),
+    "of2r_cnbl": (_ORDERS.format("done AND NOT inside"), "count(DISTINCT event_id) FILTER (NOT inside)", "true"),
+}
+
+
+@query("geo_experiment_from_schedule", f"""WITH {OFFERS_SQL}, pts AS (SELECT o.*, ({LAT_SQL}) AS lat, ({LON_SQL}) AS lon FROM offers o WHERE ts >= '2024-01-08' AND ts < '2024-01-22'), {_timed_sql()}, {_DIST},
+ar AS (SELECT event_id, bool_or(inside) AS inside FROM timed JOIN d USING (event_id, plan_id) WHERE inside OR dist <= 800 GROUP BY 1),
+sg AS (SELECT p.*, ar.inside, CASE WHEN ts >= '2024-01-15' THEN 'tw' ELSE 'lw' END AS retro, event_id // 2 AS order_id FROM pts p JOIN ar USING (event_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY retro, order_id, user_id ORDER BY ts DESC, event_id DESC) AS rk FROM sg),
+sd AS (SELECT event_id // 2 AS order_id, min(k) AS campaign_id, sum(value) AS damage FROM offers WHERE k % 4 = 0 GROUP BY 1),
+f AS (SELECT rk.*, accept = 1 AS is_ar, trip = 1 AND accept = 1 AND k > 10 AS done, sd.damage FROM rk LEFT JOIN sd USING (order_id) WHERE rk = 1),
+li AS (SELECT greatest(CASE WHEN count(*) < 1000 THEN least(count(*) // 2, 500) ELSE least(count(*) // 2, 1000) END, 1) AS limit_ FROM f),
+w AS (SELECT f.*, limit_ FROM f, li WHERE retro = 'tw'), {_geo_unit_sql(_AREA_METRICS)}, {ratio_sql('m')}
+SELECT metric, split_0 || '_' || split_1 AS split_pair, round(delta, 6) AS delta, round({t_p_sql('delta / se', 'df')}, 6) AS pvalue FROM pr""")
+def geo_from_schedule(spark, sf):
+    """Schedule JSON to half hours and tiles, suggests inside polygons or their 800 m buffer, facts, bucketed tests."""
+    from curbside.operators.polygons import parse_schedule
+    from curbside.operators.temporal import retro_union
+
+    ev = offers(spark, sf).withColumns({"lat": F.expr(LAT).cast("double"), "lon": F.expr(LON).cast("double")})
+    suggests = retro_union(ev, "ts", "2024-01-15", "2024-01-21").withColumnsRenamed({"event_id": "offer_id", "locality": "id_locality"})
+    near = E.area_suggests(suggests, parse_schedule(json_schedule(spark)), 800.0, tile=0.02)
+    rows = near.select(*suggest_columns(), "in_polygon", "in_buffer")
+    facts = stable_checkpoint(E.geo_facts(rows, *_stat_and_splits(ev)))
+    out = E.evaluate(facts, S.GEO_AREA_EXPERIMENT)
+    return rounded(out.filter(F.col("metric").isin(list(_AREA_METRICS))).select("metric", "split_pair", "delta", "pvalue"))
+
+
 def ladder_facts(spark, sf):
     li, o = tables(spark, sf, "lineitem", "orders")
     return li.join(o, li.l_orderkey == o.o_orderkey).select(

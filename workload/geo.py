@@ -224,9 +224,9 @@ def scheduled_polygons(spark, sf):
     return hit.groupBy("campaign_id", "week_day", "polygon").agg(F.count("*").alias("offers"), F.countDistinct("user_id").alias("drivers"), F.max("price").alias("price"))
 
 
-_DIST = f"""m AS (SELECT polygon, radians(a_lon)*{R0!r} AS ax, ln(tan(pi()/4+radians(a_lat)/2))*{R0!r} AS ay, radians(b_lon)*{R0!r} AS bx, ln(tan(pi()/4+radians(b_lat)/2))*{R0!r} AS by_ FROM edges),
+_DIST = f"""mer AS (SELECT polygon, radians(a_lon)*{R0!r} AS ax, ln(tan(pi()/4+radians(a_lat)/2))*{R0!r} AS ay, radians(b_lon)*{R0!r} AS bx, ln(tan(pi()/4+radians(b_lat)/2))*{R0!r} AS by_ FROM edges),
 pm AS (SELECT event_id, plan_id, polygon, radians(lon)*{R0!r} AS px, ln(tan(pi()/4+radians(lat)/2))*{R0!r} AS py FROM timed),
-t AS (SELECT event_id, plan_id, px, py, ax, ay, bx-ax AS dx, by_-ay AS dy, greatest(0, least(1, ((px-ax)*(bx-ax)+(py-ay)*(by_-ay))/((bx-ax)*(bx-ax)+(by_-ay)*(by_-ay)))) AS u FROM pm JOIN m USING (polygon)),
+t AS (SELECT event_id, plan_id, px, py, ax, ay, bx-ax AS dx, by_-ay AS dy, greatest(0, least(1, ((px-ax)*(bx-ax)+(py-ay)*(by_-ay))/((bx-ax)*(bx-ax)+(by_-ay)*(by_-ay)))) AS u FROM pm JOIN mer USING (polygon)),
 d AS (SELECT event_id, plan_id, min(sqrt(pow(px-ax-u*dx,2)+pow(py-ay-u*dy,2))) AS dist FROM t GROUP BY 1, 2)"""
 
 
