@@ -1,13 +1,15 @@
-"""RFM segmentation per region: transform, 1-D k-means per figure, code and segment lookup.
+"""RFM segmentation per region: transform, optimal 1-D k-means per figure, code and segment lookup.
 
-Users are first counted per (region, figure, value); every pass of the fit runs on those
-counts, so a large region costs its distinct values, not its users.
+Users are counted in a fixed number of bins per (region, figure); the fit runs on those counts, so a large region
+costs no more than a small one. Digits are expressions over the region's parameters.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ SEGMENT_CODES = {
 }
 
 
-MAX_ROUNDS = 300  # of k-means; a fit that has not settled by then is an error
+BINS = 1024  # equal-width bins of ln(x + 1) that a figure of a region is counted in
 
 
 def code_table(spark) -> DataFrame:
@@ -44,92 +46,113 @@ def code_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "code string, segment_3 int, segment_5 int")
 
 
-def yeo_johnson(x: Column, lam: Column) -> Column:
+def yeo_johnson(x: np.ndarray, lam: np.ndarray) -> np.ndarray:
     """Yeo-Johnson transform; the limits at lambda 0 and 2 are logarithms."""
-    up, down = x + 1, 1 - x
-    near0, near2 = F.abs(lam) < 1e-12, F.abs(lam - 2) < 1e-12
-    positive = F.when(near0, F.log(up)).otherwise((F.pow(up, lam) - 1) / F.when(near0, 1.0).otherwise(lam))
-    negative = F.when(near2, -F.log(down)).otherwise(-(F.pow(down, 2 - lam) - 1) / F.when(near2, 1.0).otherwise(2 - lam))
-    return F.when(x >= 0, positive).otherwise(negative)
+    power = np.where(x >= 0, lam, 2 - lam)
+    log = np.log1p(np.abs(x))
+    flat = np.abs(power) < 1e-12
+    return np.where(x >= 0, 1, -1) * np.where(flat, log, np.expm1(log * power) / np.where(flat, 1.0, power))
 
 
-def _best_lambda(hist: DataFrame, keys: Sequence[str], grid: Column) -> DataFrame:
-    """Lambda of the grid with the largest log-likelihood per key, with the moments of the transform."""
-    tried = hist.withColumn("lam", F.explode(grid)).withColumn("y", yeo_johnson(F.col("x"), F.col("lam")))
-    jac = F.sum(F.col("n") * F.signum("x") * F.log1p(F.abs("x")))
-    n, s1, s2 = F.sum("n"), F.sum(F.col("n") * F.col("y")), F.sum(F.col("n") * F.col("y") * F.col("y"))
-    fit = tried.groupBy(*keys, "lam").agg(n.alias("cnt"), (s1 / n).alias("mean"), (s2 / n - (s1 / n) * (s1 / n)).alias("var"), jac.alias("jac"))
-    llf = -F.col("cnt") / 2 * F.log(F.greatest(F.col("var"), F.lit(1e-300))) + (F.col("lam") - 1) * F.col("jac")
-    best = F.max_by(F.struct("lam", "mean", "var", "cnt"), F.struct(llf, -F.col("lam")))
-    return fit.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
+def best_lambda(x: np.ndarray, n: np.ndarray, grid: np.ndarray) -> tuple[float, float, float]:
+    """Lambda of the grid with the largest likelihood of x counted n times (ties: the smallest), with mean and variance there."""
+    y = yeo_johnson(x[None, :], grid[:, None])
+    total = n.sum()
+    mean = y @ n / total
+    var = ((y - mean[:, None]) ** 2) @ n / total
+    likelihood = -total / 2 * np.log(np.maximum(var, 1e-300)) + (grid - 1) * (n @ (np.sign(x) * np.log1p(np.abs(x))))
+    k = int(np.argmax(likelihood))
+    return float(grid[k]), float(mean[k]), float(var[k])
 
 
-def fitted_transform(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, lam, mean, var, cnt): lambda on a grid of 0.1 over [-4, 4], then refined to 0.005."""
-    coarse = _best_lambda(hist, keys, F.array(*[F.lit(i / 10) for i in range(-40, 41)]))
-    near = null_safe_join(hist, coarse.select(*keys, F.col("lam").alias("__l")), keys)
-    fine = F.transform(F.sequence(F.lit(-20), F.lit(20)), lambda i: F.round(F.col("__l") + i * 0.005, 3))
-    return _best_lambda(near, keys, fine)
+def optimal_cuts(z: np.ndarray, n: np.ndarray, k: int) -> list[int]:
+    """Positions in ascending z where a new cluster begins: the k-means with the least squared distance, by dynamic programming.
+
+    Fewer than k values are a cluster each. Of equally good cuts the first counts.
+    """
+    k = min(k, len(z))
+    w, s, q = (np.concatenate([[0.0], np.cumsum(v)]) for v in (n, n * z, n * z * z))
+    weight = w[None, 1:] - w[:-1, None]  # of values i..j
+    upper = np.triu(np.ones((len(z), len(z)), bool))
+    cost = np.where(upper, (q[None, 1:] - q[:-1, None]) - (s[None, 1:] - s[:-1, None]) ** 2 / np.where(upper, weight, 1.0), np.inf)
+    best, came = cost[0].copy(), []
+    for _ in range(1, k):
+        tried = np.where(np.arange(len(z))[:, None] > 0, np.concatenate([[np.inf], best[:-1]])[:, None] + cost, np.inf)
+        came.append(tried.argmin(0))
+        best = tried.min(0)
+    cuts, at = [], len(z) - 1
+    for back in reversed(came):
+        first = int(back[at])
+        cuts.append(first)
+        at = first - 1
+    return cuts[::-1]
+
+
+def _bin(x: Column, low: Column, high: Column) -> Column:
+    """Number of the equal-width bin of [low, high]; one bin where all values are equal."""
+    at = F.floor(F.try_divide(x - low, high - low) * BINS)
+    return F.coalesce(F.least(F.greatest(at, F.lit(0)), F.lit(BINS - 1)), F.lit(0)).cast("int")
+
+
+def _value(figure: str) -> Column:
+    """ln(x + 1); null where the figure is null or not a number."""
+    x = F.log1p(F.col(figure).cast("double"))
+    return F.when(~F.isnan(x), x)
+
+
+def rfm_parameters(source: DataFrame, key: str = "region_id", user: str = "driver_id", k: int = 4, min_users: int = 10) -> DataFrame:
+    """(key, and for each figure <f>_low, <f>_high, <f>_cuts: bins where a new cluster begins) of regions with more than min_users users.
+
+    Two passes over the users, each with a map-side combine: ranges of the figures, then counts in BINS bins. The fit
+    (lambda on a grid of 0.1 over [-4, 4], refined to 0.005; standardised values; optimal one-dimensional clusters)
+    sees at most BINS numbers of a region and figure, whatever its users.
+    """
+    ranges = [g(_value(f)).alias(f"{f}_{n}") for f in FIGURES for g, n in ((F.min, "low"), (F.max, "high"))]
+    spans = stable_checkpoint(source.groupBy(key).agg(F.count(user).alias("__users"), *ranges).filter(F.col("__users") > min_users).drop("__users"))
+    binned = null_safe_join(source.select(key, *FIGURES), spans, [key])
+    cells = F.array(*[F.struct(F.lit(f).alias("figure"), _value(f).alias("x"), _bin(_value(f), F.col(f"{f}_low"), F.col(f"{f}_high")).alias("bin")) for f in FIGURES])
+    counts = binned.select(key, F.explode(cells).alias("c")).select(key, "c.*").filter("x IS NOT NULL").groupBy(key, "figure", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"))
+    coarse, fine = np.arange(-40, 41) / 10, np.arange(-20, 21) * 0.005
+
+    def fit(group):
+        group = group.sort_by("bin")
+        n, bins = group.column("n").to_numpy().astype(np.float64), group.column("bin").to_numpy()
+        x = group.column("total").to_numpy() / n
+        lam, mean, var = best_lambda(x, n, np.round(best_lambda(x, n, coarse)[0] + fine, 3))
+        z = (yeo_johnson(x, np.float64(lam)) - mean) / np.sqrt(var) if var > 0 else np.zeros(len(x))
+        cuts = [int(bins[c]) for c in optimal_cuts(z, n, k)] if var > 0 else []
+        return pa.table({key: group.column(key).slice(0, 1), "figure": group.column("figure").slice(0, 1), "cuts": pa.array([cuts], pa.list_(pa.int32()))})
+
+    fitted = counts.groupBy(key, "figure").applyInArrow(fit, f"`{key}` {dict(source.dtypes)[key]}, figure string, cuts array<int>")
+    wide = fitted.groupBy(key).agg(*[F.first(F.when(F.col("figure") == f, F.col("cuts")), ignorenulls=True).alias(f"{f}_cuts") for f in FIGURES])
+    return stable_checkpoint(null_safe_join(spans, wide, [key], "left"))
+
+
+def _at_most(limit: Column):
+    return lambda c: c <= limit
 
 
-def one_dim_clusters(hist: DataFrame, keys: Sequence[str], k: int = 4) -> DataFrame:
-    """(keys, centres): Lloyd's algorithm on (keys, z, n) counts from evenly spaced seeds, until no centre moves; centres ascend.
+def with_digits(source: DataFrame, parameters: DataFrame, key: str = "region_id", k: int = 4) -> DataFrame:
+    """Adds <f>_segment_id, code and segments: a figure's cuts at or below its bin are counted. Recency digits descend.
 
-    An empty cluster keeps its centre.
+    Regions without parameters, and users with a null figure, have a null code.
     """
-    span = hist.groupBy(*keys).agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
-    centres = span.select(
-        *keys, F.array(*[F.col("lo") + (F.col("hi") - F.col("lo")) * ((i + 0.5) / k) for i in range(k)]).alias("centres")
-    )
-    for step in range(1, MAX_ROUNDS + 1):
-        near = null_safe_join(hist, centres, keys).withColumn("c", nearest_centre(F.col("z"), F.col("centres")))
-        means = [
-            F.coalesce(
-                F.try_divide(F.sum(F.when(F.col("c") == i, F.col("n") * F.col("z"))), F.sum(F.when(F.col("c") == i, F.col("n")))),
-                F.max(F.col("centres")[i]),
-            )
-            for i in range(k)
-        ]
-        moved = F.exists(F.arrays_zip(F.array(*means).alias("a"), F.array(*[F.max(F.col("centres")[i]) for i in range(k)]).alias("b")), lambda p: F.abs(p["a"] - p["b"]) > 1e-9)
-        centres = near.groupBy(*keys).agg(F.array(*means).alias("centres"), moved.alias("__moved"))
-        if step % 5 == 0:
-            centres = stable_checkpoint(centres)
-            if centres.filter("__moved").isEmpty():
-                return centres.drop("__moved")
-        centres = centres.drop("__moved")
-    raise RuntimeError(f"centres did not settle in {MAX_ROUNDS} rounds")
-
-
-def nearest_centre(z: Column, centres: Column) -> Column:
-    return F.array_min(F.transform(centres, lambda c, i: F.struct(F.abs(z - c).alias("d"), i.alias("i"))))["i"]
+    out = null_safe_join(source, parameters, [key], "left")
+    for f in FIGURES:
+        passed = F.size(F.filter(f"{f}_cuts", _at_most(_bin(_value(f), F.col(f"{f}_low"), F.col(f"{f}_high")))))
+        digit = F.when(_value(f).isNotNull() & F.col(f"{f}_cuts").isNotNull(), passed)
+        out = out.withColumn(f"{f}_segment_id", (k - 1 - digit if f == "recency" else digit).cast("int"))
+    code = F.concat(*[F.col(f"{f}_segment_id").cast("string") for f in FIGURES])
+    named = out.withColumn("code", code).select(*source.columns, *[f"{f}_segment_id" for f in FIGURES], "code")
+    return named.join(F.broadcast(code_table(source.sparkSession)), "code", "left")  # 64 codes
 
 
 def rfm_segments(source: DataFrame, key: str = "region_id", user: str = "driver_id", k: int = 4, min_users: int = 10) -> DataFrame:
     """Adds cluster digits and segments per user. Regions with min_users users or fewer get null segments.
 
-    ln(x + 1) -> Yeo-Johnson -> standardise -> k-means(4); recency digits descend, the others ascend.
+    ln(x + 1) -> Yeo-Johnson -> standardise -> k-means(k) in one dimension; what is shipped to the users is the region's parameters.
     """
-    sizes = source.groupBy(key).agg(F.count(user).alias("__users")).filter(F.col("__users") > min_users)
-    long = source.join(sizes.select(key), key, "left_semi").select(
-        key, F.explode(F.array(*[F.struct(F.lit(f).alias("figure"), F.log1p(F.col(f).cast("double")).alias("x")) for f in FIGURES])).alias("__f")
-    ).select(key, "__f.*")
-    grp = [key, "figure"]
-    hist = long.filter(F.col("x").isNotNull() & ~F.isnan("x")).groupBy(*grp, "x").agg(F.count(F.lit(1)).alias("n"))
-    hist = stable_checkpoint(hist)
-    fit = stable_checkpoint(fitted_transform(hist, grp))
-    z = F.coalesce(F.try_divide(yeo_johnson(F.col("x"), F.col("lam")) - F.col("mean"), F.sqrt("var")), F.lit(0.0))
-    scaled = stable_checkpoint(null_safe_join(hist, fit, grp).select(*grp, "x", "n", z.alias("z")))
-    centres = one_dim_clusters(scaled, grp, k)
-    digit = nearest_centre(F.col("z"), F.col("centres"))
-    digits = null_safe_join(scaled, centres, grp).select(
-        *grp, "x", F.when(F.col("figure") == "recency", k - 1 - digit).otherwise(digit).alias("digit")
-    )
-    out = source
-    for f in FIGURES:
-        d = digits.filter(F.col("figure") == f).select(F.col(key), F.col("x").alias("__x"), F.col("digit").alias(f"{f}_segment_id"))
-        out = null_safe_join(out.withColumn("__x", F.log1p(F.col(f).cast("double"))), d, [key, "__x"], "left").drop("__x")
-    code = F.concat(*[F.col(f"{f}_segment_id").cast("string") for f in FIGURES])
-    return out.withColumn("code", code).join(code_table(source.sparkSession), "code", "left")
+    return with_digits(source, rfm_parameters(source, key, user, k, min_users), key, k)
 
 
 def segment_output(segments: DataFrame, date: str, levels: int = 5, key: str = "region_id", user: str = "driver_id") -> DataFrame:

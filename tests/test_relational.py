@@ -1,6 +1,7 @@
 """Temporal and relational operators, ladders, sources, streaming, plans."""
 
 import datetime as dt
+import itertools
 import json
 import math
 import random
@@ -141,29 +142,32 @@ def test_segment_codes_are_complete():
 
 
 def _numpy_digits(values, descending):
-    """The same method in NumPy: lambda grid, standardise, evenly seeded Lloyd."""
+    """The same method in plain loops: lambda grid, standardise, best of all cuts into four."""
     x = np.log1p(np.asarray(values, float))
 
     def yj(l):
-        up = np.log(x + 1) if abs(l) < 1e-12 else ((x + 1) ** l - 1) / l if True else None
-        return up
+        return np.log(x + 1) if abs(l) < 1e-12 else ((x + 1) ** l - 1) / l
 
     def best(grid):
         return max(grid, key=lambda l: (-len(x) / 2 * np.log(max(yj(l).var(), 1e-300)) + (l - 1) * np.log1p(x).sum(), -l))
 
     l0 = best([i / 10 for i in range(-40, 41)])
     lam = best([round(l0 + i * 0.005, 3) for i in range(-20, 21)])
-    y = yj(lam)
-    z = (y - y.mean()) / y.std()
-    c = np.array([z.min() + (z.max() - z.min()) * (i + 0.5) / 4 for i in range(4)])
-    for _ in range(20):
-        a = np.abs(z[:, None] - c).argmin(1)
-        c = np.array([z[a == i].mean() if (a == i).any() else c[i] for i in range(4)])
-    a = np.abs(z[:, None] - c).argmin(1)
+    z = yj(lam)
+    level = np.unique(z)
+    sse = lambda a, b: (lambda v: ((v - v.mean()) ** 2).sum())(z[(z >= level[a]) & (z <= level[b - 1])])
+    table = {(1, j): (sse(0, j), ()) for j in range(1, len(level) + 1)}
+    for c in (2, 3, 4):
+        for j in range(c, len(level) + 1):
+            table[c, j] = min((table[c - 1, i][0] + sse(i, j), table[c - 1, i][1] + (i,)) for i in range(c - 1, j))
+    a = np.searchsorted(level[list(table[4, len(level)][1])], z, "right")
     return 3 - a if descending else a
 
 
-def test_rfm_matches_numpy_and_small_regions_are_null(spark):
+@pytest.mark.parametrize(("bins", "least"), [(1024, 0.98), (200_000, 1.0)])
+def test_rfm_matches_numpy_and_small_regions_are_null(spark, monkeypatch, bins, least):
+    """Exact where every value has a bin of its own; the registered width moves at most users next to a cut."""
+    monkeypatch.setattr(G, "BINS", bins)
     rng = np.random.default_rng(8)
     rows = [(1, i, int(rng.integers(1, 60)), float(round(rng.gamma(2, 2), 1)), float(round(rng.gamma(2, 300), 0))) for i in range(240)]
     rows += [(2, 1000 + i, 5, 1.0, 10.0) for i in range(10)]
@@ -173,11 +177,39 @@ def test_rfm_matches_numpy_and_small_regions_are_null(spark):
     for figure, idx, desc in (("recency", 2, True), ("frequency", 3, False), ("monetary", 4, False)):
         want = _numpy_digits([r[idx] for r in rows[:240]], desc)
         have = [got[i][f"{figure}_segment_id"] for i in range(240)]
-        assert np.mean(want == have) > 0.995
+        assert np.mean(want == have) >= least, figure
     one = got[0]
     assert (one.segment_3, one.segment_5) == G.SEGMENT_CODES[one.code]
 
 
+def test_optimal_cuts_against_all_cuts():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        m = int(rng.integers(1, 9))
+        z, n = np.sort(rng.normal(size=m)), rng.integers(1, 5, m).astype(float)
+
+        def loss(cuts):
+            parts = np.split(np.arange(m), cuts)
+            return sum((n[p] * (z[p] - np.average(z[p], weights=n[p])) ** 2).sum() for p in parts)
+
+        k = min(3, m)
+        want = min(loss(list(c)) for c in itertools.combinations(range(1, m), k - 1))
+        got = G.optimal_cuts(z, n, 3)
+        assert len(got) == k - 1 and loss(got) == pytest.approx(want, abs=1e-9)
+
+
+def test_rfm_edge_cases(spark):
+    """Null, equal and negative figures, few distinct values, a null region; a column named like a parameter."""
+    rows = [(1, i, 5, float(i % 2), None if i == 3 else 10.0, 0.5) for i in range(20)] + [(None, 100 + i, i, -0.5, float(i), 0.5) for i in range(20)]
+    df = spark.createDataFrame(rows, "region_id int, driver_id int, recency int, frequency double, monetary double, bin double")
+    got = {r.driver_id: r for r in G.rfm_segments(df).collect()}
+    assert len(got) == 40 and got[3].code is None and got[3].monetary_segment_id is None
+    assert {(got[i].recency_segment_id, got[i].monetary_segment_id) for i in range(20) if i != 3} == {(3, 0)}
+    assert [got[i].frequency_segment_id for i in (0, 1)] == [0, 1]
+    assert got[100].recency_segment_id == 3 and got[119].recency_segment_id == 0 and got[119].monetary_segment_id == 3
+    assert G.rfm_segments(df.limit(0)).count() == 0
+
+
 def test_budget_search_follows_bisection():
     limits = Z.CityLimits(limit=1000, d2v_min=0.05, d2v_default=0.15, d2v_max=0.25)
     calls = []

@@ -101,6 +101,33 @@ def latest_version(spark, sf):
     return o.groupBy("o_custkey").agg(F.count("*").alias("orders"), r(F.sum("price"), 4).alias("paid"))
 
 
+_CUTS = {
+    0: ((0.0, 8.0, [300, 500, 700]), (0.0, 4.0, [400, 600, 800]), (0.0, 14.0, [500, 700, 850])), 1: ((1.0, 7.0, [256, 512, 768]), (0.5, 3.5, [200, 640]), (2.0, 12.0, [600, 800, 900])),
+    2: ((0.0, 9.0, [100, 450, 650]), (0.0, 5.0, [350, 500, 620]), (0.0, 16.0, [520, 610, 800])), 3: ((2.0, 6.0, [333, 444, 555]), (1.0, 3.0, []), (4.0, 11.0, [640, 700, 990])),
+}
+
+
+def _digit_sql(column, k):
+    low, high, cuts = (f"CASE region_id {' '.join(f'WHEN {region} THEN {show(p[k][i])}' for region, p in _CUTS.items())} END"
+                       for i, show in enumerate((lambda v: f"{v!r}::DOUBLE", lambda v: f"{v!r}::DOUBLE", lambda v: f"{v}::INT[]")))
+    return f"len(list_filter({cuts}, lambda c: c <= least(greatest(floor((ln({column} + 1) - {low}) / ({high} - {low}) * 1024), 0), 1023)))"
+
+
+_CODES = ", ".join(f"('{c}', {a}, {b})" for c, (a, b) in G.SEGMENT_CODES.items())
+
+
+@query("rfm_digits_from_parameters", f"""WITH f AS (SELECT c_nationkey % 5 AS region_id, o_custkey AS driver_id, date_diff('day', max(o_orderdate)::DATE, DATE '2001-08-02')::DOUBLE AS recency,
+ round(count(*) / count(DISTINCT date_trunc('week', o_orderdate))::DOUBLE, 2) AS frequency, -sum(-o_totalprice / 100) / 100 AS monetary FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+d AS (SELECT region_id, driver_id, (3 - {_digit_sql('recency', 0)}) || '' || {_digit_sql('frequency', 1)} || '' || {_digit_sql('monetary', 2)} AS code FROM f)
+SELECT region_id, driver_id, code, s3::INT AS segment_3, s5::INT AS segment_5 FROM d LEFT JOIN (VALUES {_CODES}) c(code, s3, s5) USING (code)""")
+def rfm_digits(spark, sf):
+    """Digits, codes and segments of all users under given parameters; one region has none."""
+    rows = [(region, *[v for p in parts for v in p]) for region, parts in _CUTS.items()]
+    fields = ", ".join(f"{f}_low double, {f}_high double, {f}_cuts array<int>" for f in G.FIGURES)
+    out = G.with_digits(rfm_frame(spark, sf), spark.createDataFrame(rows, f"region_id bigint, {fields}"))
+    return out.select("region_id", "driver_id", "code", "segment_3", "segment_5")
+
+
 # --- goal scoring ---------------------------------------------------------
 
 def goal_frame(spark, sf):
