@@ -203,3 +203,72 @@ def test_ring_reach_grows_with_latitude(spark):
     for lat, want in ((0.5, 2), (55.5, 3), (80.0, 7)):
         cells = G.with_centres(spark.range(1).select(H.point_cell(F.lit(lat), F.lit(37.3), 8).alias("cell"), F.lit(1).alias("s")))
         assert G.ring_reach(cells, G.cluster_radius(cells, ["s"])) == want
+
+
+def _inside(lat, lon, ring):
+    hit = False
+    for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1]):
+        if (a > lat) != (c > lat) and lon < b + (lat - a) * (d - b) / (c - a):
+            hit = not hit
+    return hit
+
+
+@pytest.mark.parametrize("tile", [0.7, 0.11, 0.03])
+def test_tile_cover_equals_ray_casting(spark, tile):
+    """Points on a lattice (tile corners and fine-tile corners among them), thin, concave and crossing rings, null points."""
+    rng = random.Random(int(tile * 100))
+    rings = [[(rng.uniform(0, 1), rng.uniform(-1, 1)) for _ in range(rng.randint(3, 9))] for _ in range(6)] + [[(0.0, -0.5), (tile * 2, -0.5), (tile * 2, 0.5), (0.0, 0.5)], [(0.2, 0.0), (0.8, 0.0001), (0.2, 0.0002)]]
+    points = [(i, rng.choice([rng.uniform(0, 1), rng.randrange(9) * tile / 8]), rng.choice([rng.uniform(-1, 1), rng.randrange(-9, 9) * tile / 8])) for i in range(600)] + [(600, None, 0.1), (601, 0.1, None)]
+    pts = spark.createDataFrame(points, "i int, lat double, lon double").repartition(3)
+    polys = spark.createDataFrame([(k, [{"lat": a, "lon": b} for a, b in ring]) for k, ring in enumerate(rings)], "k int, ring array<struct<lat:double,lon:double>>")
+    want = {(i, k) for i, lat, lon in points if lat is not None and lon is not None for k, ring in enumerate(rings) if _inside(lat, lon, ring)}
+    got = [(r.i, r.k) for r in P.polygon_join(pts, polys, tile=tile).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    flags = {r.i: r.is_in for r in P.in_any_polygon(pts, polys, tile=tile).collect()}
+    assert flags == {i: any((i, k) in want for k in range(len(rings))) for i, _, _ in points}
+    keyed = P.in_any_polygon(pts.withColumn("k", F.col("i") % 8), polys, tile=tile, keys=["k"]).collect()
+    assert {r.i for r in keyed if r.is_in} == {i for i, k in want if i % 8 == k}
+    cover = P.tile_cover(polys, tile=tile)
+    assert tile > 0.5 or cover.filter("__whole").count() or tile > 0.1
+    assert P.in_any_polygon(pts, polys.limit(0), tile=tile).filter("is_in").isEmpty()
+
+
+def test_scheduled_areas_against_loops(spark):
+    """Times to the minute, midnight, rows without weekday or length, two localities, buffer distance."""
+    import datetime as dt
+
+    rng = random.Random(3)
+    ring = [(55.50, 37.30), (55.56, 37.33), (55.50, 37.38)]
+    plan = [(1, 1, 1, 8, 10, 9, 40), (2, 1, 1, 9, 0, 24, 0), (3, 2, 7, 0, 0, 0, 1), (4, 2, None, 0, 0, 24, 0), (5, 1, 3, 10, 0, 10, 0), (6, 2, 3, 23, 59, 24, 0)]
+    shape = [{"lat": a, "lon": b} for a, b in ring]
+    schedule = spark.createDataFrame([(*p, shape) for p in plan], "row int, loc int, week_day int, from_hour int, from_minute int, until_hour int, until_minute int, ring array<struct<lat:double,lon:double>>")
+    points = []
+    for i in range(900):
+        day = rng.choice([1, 3, 7, 2])
+        points.append((i, rng.choice([1, 2]), dt.datetime(2024, 1, day, rng.choice([0, 8, 9, 10, 23]), rng.choice([0, 1, 9, 10, 39, 40, 59])), rng.uniform(55.49, 55.57), rng.uniform(37.29, 37.39)))
+    frame = spark.createDataFrame(points, "i int, loc int, ts timestamp, lat double, lon double")
+
+    def near(lat, lon):
+        to = lambda a, b: (math.radians(b) * 6371007.180918475, math.log(math.tan(math.pi / 4 + math.radians(a) / 2)) * 6371007.180918475)
+        scale = H.EARTH_RADIUS / 6371007.180918475
+        px, py = (v * scale for v in to(lat, lon))
+        best = math.inf
+        for p, q in zip(ring, ring[1:] + ring[:1]):
+            (ax, ay), (bx, by) = ((v[0] * scale, v[1] * scale) for v in (to(*p), to(*q)))
+            t = max(0, min(1, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+            best = min(best, math.hypot(px - ax - t * (bx - ax), py - ay - t * (by - ay)))
+        return best
+
+    want = set()
+    for i, loc, ts, lat, lon in points:
+        for row, where, day, fh, fm, uh, um in plan:
+            minute = ts.hour * 60 + ts.minute
+            if where == loc and day == ts.isoweekday() and fh * 60 + fm <= minute < uh * 60 + um:
+                if _inside(lat, lon, ring):
+                    want.add((i, row, True))
+                elif near(lat, lon) <= 900:
+                    want.add((i, row, False))
+    got = P.scheduled_polygon_join(frame, schedule, keys=["loc"], metres=900.0, tile=0.01).collect()
+    assert {(r.i, r.row, r.in_polygon) for r in got} == want and len(got) == len(want) and all(r.in_buffer != r.in_polygon for r in got)
+    inside = P.scheduled_polygon_join(frame, schedule, keys=["loc"], tile=0.3).collect()
+    assert {(r.i, r.row) for r in inside} == {(i, row) for i, row, core in want if core}
