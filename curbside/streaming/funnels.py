@@ -7,20 +7,41 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import null_safe_join
 from ..functions.scalars import safe_ratio
 
 
+def closable(events: DataFrame, ts: str, folder: str) -> DataFrame:
+    """The stream together with the closing rows that `run_and_close` writes to `folder`: a time and nothing else.
+
+    The folder may be empty. A closing row only moves the watermark; the windows it falls into never close.
+    """
+    spark = events.sparkSession
+    spark.createDataFrame([], f"{ts} timestamp").write.mode("append").parquet(folder)  # the source needs a folder
+    closing = spark.readStream.schema(f"{ts} timestamp").parquet(folder)
+    return events.unionByName(closing, allowMissingColumns=True)
+
+
 def streamed_view_funnel(events: DataFrame, ts: str, group: Sequence[str], user: str, kind: str, value: str, minutes: int = 20, late: str = "1 hour") -> DataFrame:
-    """20-minute funnel per group: views, orders, rides and bill, plus approximate distinct users."""
+    """20-minute funnel per group: distinct users, views, orders, rides and bill.
+
+    Two chained stateful steps: figures of each user in a window, then the window's sums over its users, so that users
+    are counted exactly and a user's many events travel once.
+    """
     is_kind = lambda k: F.col(kind) == k
-    return (
+    window = f"{minutes} minutes"
+    users = (
         events.withWatermark(ts, late)
-        .groupBy(F.window(ts, f"{minutes} minutes").alias("w"), *group)
+        .groupBy(F.window(ts, window).alias("w"), *group, F.col(user).alias("user"))
         .agg(
-            F.approx_count_distinct(user, 0.02).alias("users"), F.count_if(is_kind("view")).alias("views"), F.count_if(is_kind("click")).alias("orders"),
+            F.count_if(is_kind("view")).alias("views"), F.count_if(is_kind("click")).alias("orders"),
             F.count_if(is_kind("purchase")).alias("rides"), F.sum(F.when(is_kind("purchase"), F.col(value))).alias("bill"),
         )
-        .select(F.col("w.start").alias("dt"), *group, "users", "views", "orders", "rides", "bill")
+    )
+    return (
+        users.groupBy(F.window(F.window_time("w"), window).alias("w2"), *group)
+        .agg(F.count("user").alias("users"), *[F.sum(c).alias(c) for c in ("views", "orders", "rides", "bill")])
+        .select(F.col("w2.start").alias("dt"), *group, "users", "views", "orders", "rides", "bill")
     )
 
 
@@ -36,7 +57,8 @@ def streamed_price_health(trips: DataFrame, ts: str, keys: Sequence[str], thresh
         .select(F.col("w.start").alias("slot"), *keys, "surge", "price", "bill", "incentive", "orders")
         .withColumn("health", safe_ratio("price", F.col("bill") - F.col("incentive")))
     )
-    return slots.join(thresholds, list(on)).filter(
+    # null-safe: a plain join would push `key is not null` below the watermark and with it drop closing rows
+    return null_safe_join(slots, thresholds, list(on)).filter(
         (F.col("health") > F.col("max_health")) & (F.col("surge") < F.col("max_surge")) & (F.col("orders") > F.col("min_orders"))
     )
 
@@ -47,6 +69,21 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     q.awaitTermination()
 
 
+CLOSING_TIME = "9000-01-01 00:00:00"
+
+
+def run_and_close(stream: DataFrame, path: str, checkpoint: str, ts: str, folder: str) -> None:
+    """Runs a stream made `closable` over all input, then closes its open windows: for input that has come to its end.
+
+    The closing row goes through the same checkpoint, so each window comes out once, early or late. Input that comes
+    after it is late.
+    """
+    run_to_end(stream, path, checkpoint)
+    spark = stream.sparkSession
+    spark.createDataFrame([(CLOSING_TIME,)], "t string").select(F.col("t").cast("timestamp").alias(ts)).coalesce(1).write.mode("append").parquet(folder)
+    run_to_end(stream, path, checkpoint)
+
+
 def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> None:
     """The same with a function per micro-batch (e.g. an alert table append keyed by batch id)."""
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

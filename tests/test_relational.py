@@ -263,3 +263,29 @@ def test_append_results_projects_columns(spark, tmp_path):
     spark.sql("drop database curbside_results cascade")
     files.export_summary(stats, str(tmp_path / "summary"))
     assert spark.read.option("header", True).csv(str(tmp_path / "summary")).count() == 1
+
+
+def test_streamed_funnel_counts_users_exactly_and_closes(spark, tmp_path):
+    """Files come one by one; a user in several files counts once, a late row is dropped, the last windows come out, each once."""
+    from curbside.streaming import funnels as ST
+
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    schema = "ts timestamp, g string, u long, kind string, v double"
+    files_ = [
+        [(at(0, 1), "a", 1, "view", 1.0), (at(0, 2), "a", 2, "click", 1.0), (at(0, 21), "b", 1, "purchase", 5.0)],
+        [(at(0, 19), "a", 1, "purchase", 2.0), (at(5, 0), "a", None, "view", 1.0)],
+        [(at(5, 1), "a", 3, "purchase", 4.0), (at(5, 2), "a", 3, "purchase", 4.5)],
+        [(at(0, 5), "a", 9, "view", 1.0), (at(5, 3), "a", 4, "click", 1.0)],
+    ]
+    for rows in files_:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    closing = str(tmp_path / "closing")
+    funnel = ST.streamed_view_funnel(ST.closable(stream, "ts", closing), "ts", ["g"], "u", "kind", "v")
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    ST.run_to_end(funnel, out, state)
+    early = {(r.dt, r.g) for r in spark.read.schema(funnel.schema).parquet(out).collect()}
+    assert (at(5, 0), "a") not in early
+    ST.run_and_close(funnel, out, state, "ts", closing)
+    got = sorted(((r.dt, r.g, r.users, r.views, r.orders, r.rides, r.bill) for r in spark.read.schema(funnel.schema).parquet(out).collect()))
+    assert got == [(at(0, 0), "a", 2, 1, 1, 1, 2.0), (at(0, 20), "b", 1, 0, 0, 1, 5.0), (at(5, 0), "a", 2, 1, 1, 2, 8.5)]

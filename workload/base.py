@@ -97,6 +97,17 @@ def t_p_sql(t: str, df: str, steps: int = 4000) -> str:
     return f"greatest(0, 1 - 2 * {h} / 3 * {total} * {const})"
 
 
+def crc_sql(text: str) -> str:
+    """IEEE CRC-32 of an ASCII text, a byte at a time."""
+    table = []
+    for v in range(256):
+        for _ in range(8):
+            v = v >> 1 ^ (0xEDB88320 if v & 1 else 0)
+        table.append(v)
+    letters = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i::INT, 1))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {letters}), lambda c, b: xor(c >> 8, ({table}::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
 def bucket_sql(key: str, limit: str) -> str:
     """`functions.hashing.user_bucket` of a bigint key."""
     signed = f"list_transform([{hash_sql(None, key)}], lambda h: CASE WHEN h >= {2**63}::UHUGEINT THEN h::HUGEINT - {2**64}::HUGEINT ELSE h::HUGEINT END)[1]"

@@ -1,5 +1,7 @@
 """Experiment statistics queries."""
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from curbside.functions.frames import stable_checkpoint
@@ -346,7 +348,16 @@ def detectable(spark, sf):
     return rounded(W.detectable_effect(counts, 0.01, 0.8))
 
 
-@query("closed_form_mde")
+def t_quantile_sql(p, df):
+    """Student quantile for large df: the first terms of its expansion about the normal quantile."""
+    z = NormalDist().inv_cdf(p)
+    terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384)
+    return f"({z!r} + {terms[0]!r} / ({df}) + {terms[1]!r} / pow({df}, 2) + {terms[2]!r} / pow({df}, 3))"
+
+
+@query("closed_form_mde", f"""WITH {OFFERS_SQL}, s AS (SELECT user_id % 3 AS split, count(*)::DOUBLE AS n, avg(value) AS mean, var_samp(value) AS var FROM offers GROUP BY 1),
+p AS (SELECT a.split AS split_0, b.split AS split_1, a.mean AS base, a.n + b.n - 2 AS df, sqrt(a.var / a.n + b.var / b.n) AS se FROM s a, s b WHERE a.split < b.split)
+SELECT split_0, split_1, round(se, 6) AS se, round(({t_quantile_sql(0.8, 'df')} - {t_quantile_sql(0.025, 'df')}) * se / base, 6) AS mde FROM p""")
 def closed_mde(spark, sf):
     pairs = T.pair_up(T.value_stats(three_way(spark, sf), "value"))
     return rounded(W.closed_form_mde(pairs, 0.05, 0.8).select("split_0", "split_1", "se", "mde"))
@@ -415,7 +426,14 @@ def geo_evaluation(spark, sf):
     return rounded(out.filter(F.col("metric").isin(keep)).select("metric", "split_0", "split_1", "lift"))
 
 
-@query("geo_experiment_week_over_week")
+@query("geo_experiment_week_over_week", f"""WITH {OFFERS_SQL}, rt AS (SELECT *, CASE WHEN ts >= '2024-01-15' THEN 'tw' ELSE 'lw' END AS retro, event_id // 2 AS order_id FROM offers WHERE ts >= '2024-01-08' AND ts < '2024-01-22'),
+rk AS (SELECT *, row_number() OVER (PARTITION BY retro, order_id, user_id ORDER BY ts DESC, event_id DESC) AS rk FROM rt),
+f AS (SELECT *, trip = 1 AND accept = 1 AND k > 10 AS done FROM rk WHERE rk = 1),
+li AS (SELECT greatest(CASE WHEN count(*) < 1000 THEN least(count(*) // 2, 500) ELSE least(count(*) // 2, 1000) END, 1) AS limit_ FROM f),
+b AS (SELECT f.*, {bucket_sql('user_id', 'limit_')} AS unit FROM f, li),
+m AS (SELECT 'o2r' AS metric, split::VARCHAR AS split, unit, (count(DISTINCT order_id) FILTER (done))::DOUBLE AS x, count(DISTINCT order_id)::DOUBLE AS y, count(DISTINCT user_id)::DOUBLE AS n FROM b WHERE retro = 'tw' GROUP BY split, unit
+ UNION ALL SELECT 'o2r_wow', retro, unit, count(DISTINCT order_id) FILTER (done), count(DISTINCT order_id), count(DISTINCT user_id) FROM b GROUP BY retro, unit), {ratio_sql('m')}
+SELECT metric, split_0 || '_' || split_1 AS split_pair, round({t_p_sql('delta / se', 'df')}, 6) AS pvalue, round(delta, 6) AS delta FROM pr""")
 def geo_wow(spark, sf):
     out = E.evaluate(geo_facts(spark, sf), S.GEO_EXPERIMENT)
     return rounded(out.filter("metric in ('o2r', 'o2r_wow')").select("metric", "split_pair", "pvalue", "delta"))

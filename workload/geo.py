@@ -76,7 +76,10 @@ def neighbour_counts(spark, sf):
     return G.neighbour_links(cells, []).groupBy("cell").agg(F.count("*").alias("neighbours"))
 
 
-@query("cluster_radius_per_slot")
+@query("cluster_radius_per_slot", f"""WITH {pts_cells_sql(8)}, d AS (SELECT DISTINCT isodow(ts) - 1 AS weekday, q, r FROM cells), o(dq, dr) AS (VALUES (0,0),(1,0),(1,-1),(0,-1),(-1,0),(-1,1),(0,1)),
+c AS (SELECT weekday, q, r, dq, dr, degrees(2*atan(exp((r+dr)*{1.5*H.edge_length(8)!r}/{R0!r})) - pi()/2) AS lat, degrees(({math.sqrt(3)!r}::DOUBLE*(q+dq) + {math.sqrt(3)/2!r}::DOUBLE*(r+dr))*{H.edge_length(8)!r}/{R0!r}) AS lon FROM d, o),
+w AS (SELECT a.weekday, max(sqrt(pow(b.lat - a.lat, 2) + pow(b.lon - a.lon, 2))) AS w FROM c a JOIN c b USING (weekday, q, r) WHERE a.dq = 0 AND a.dr = 0 GROUP BY a.weekday, a.q, a.r)
+SELECT weekday::INT AS weekday, round(0.2 * avg(w) + 0.8 * max(w), 9) AS eps FROM w GROUP BY 1""")
 def radius(spark, sf):
     cells = points(spark, sf).select(F.weekday("ts").alias("weekday"), H.point_cell(F.col("lat"), F.col("lon"), 8).alias("cell")).distinct()
     return rounded(G.cluster_radius(cells, ["weekday"]), 9)
@@ -239,9 +242,23 @@ def scheduled_buffers(spark, sf):
     return hit.groupBy("campaign_id", "polygon").agg(F.count_if("in_polygon").alias("in_polygon"), F.count_if("in_buffer").alias("in_buffer"))
 
 
-@query("slot_polygon_overlap")
+def _zone_cells_sql(level=8):
+    """CTE zc: (q, r) of all cells whose centre lies in a zone."""
+    s, points_ = H.edge_length(level), [p for _, _, ring in _ZONES for p in ring]
+    y = [math.log(math.tan(math.pi / 4 + math.radians(a) / 2)) * R0 for a, _ in points_]
+    x = [math.radians(b) * R0 for _, b in points_]
+    lo, hi = math.floor(min(y) / (1.5 * s)) - 1, math.ceil(max(y) / (1.5 * s)) + 1
+    first, last = math.floor(min(x) / (math.sqrt(3) * s) - hi / 2) - 1, math.ceil(max(x) / (math.sqrt(3) * s) - lo / 2) + 1
+    return f"""grid AS (SELECT q, r, degrees(2*atan(exp(r*{1.5 * s!r}/{R0!r})) - pi()/2) AS lat, degrees(({math.sqrt(3)!r}::DOUBLE*q + {math.sqrt(3) / 2!r}::DOUBLE*r)*{s!r}/{R0!r}) AS lon
+ FROM (SELECT unnest(range({lo}, {hi + 1})) AS r), (SELECT unnest(range({first}, {last + 1})) AS q)),
+zc AS (SELECT DISTINCT q, r FROM (SELECT q, r, zone_id FROM grid JOIN edges ON (a_lat > lat) <> (b_lat > lat) AND lon < a_lon + (lat - a_lat) * (b_lon - a_lon) / (b_lat - a_lat) GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1))"""
+
+
+@query("slot_polygon_overlap", f"""WITH {_edges_sql()}, {pts_cells_sql(8)}, {_zone_cells_sql()}, b AS (SELECT DISTINCT isodow(ts) - 1 AS weekday, q, r FROM cells),
+a AS (SELECT weekday, count(*) AS active_cells, count(zc.q) AS shared_cells FROM b LEFT JOIN zc USING (q, r) GROUP BY 1)
+SELECT weekday::INT AS weekday, active_cells, (SELECT count(*) FROM zc) AS suggested_cells, shared_cells, round(shared_cells / active_cells::DOUBLE, 6) AS share FROM a""")
 def slot_overlap(spark, sf):
-    """Share of each weekday's busy cells covered by the zones; tests check it on a fixture."""
+    """Share of each weekday's busy cells covered by the zones."""
     busy = points(spark, sf).select(F.weekday("ts").alias("weekday"), H.point_cell(F.col("lat"), F.col("lon"), 8).alias("cell")).distinct()
     days = busy.select("weekday").distinct()
     covered = P.polygon_cells(zones(spark), ["zone"]).withColumn("weekday", F.explode(F.sequence(F.lit(0), F.lit(6))))

@@ -66,7 +66,10 @@ def weekly(spark, sf):
     return rounded(out.select("locality", "campaign_id", "polygon", "week_day", "hour", "orders", "health", "suggested_reduction"))
 
 
-@query("alert_message_lines")
+@query("alert_message_lines", f"""WITH {alert_sql('hour', 0.5)}, a AS (SELECT * FROM z WHERE health > 2 AND surge < 1.5 AND orders > om),
+p AS (SELECT locality, campaign_id || ', ' || campaign || ', ' || polygon AS head, string_agg(hour || ' - GH ' || format('{{:.2f}}', health), ', ' ORDER BY hour || ' - GH ' || format('{{:.2f}}', health)) AS slots FROM a GROUP BY 1, 2),
+l AS (SELECT locality, string_agg(head || ': ' || slots, chr(10) ORDER BY head || ': ' || slots) AS txt FROM p GROUP BY 1)
+SELECT locality, 'city: ' || locality || chr(10) || owners || chr(10) || txt AS text FROM l JOIN (VALUES (0, '@a'), (1, '@b @c'), (3, '@d')) o(locality, owners) USING (locality)""")
 def messages(spark, sf):
     owners = spark.createDataFrame([(0, "@a"), (1, "@b @c"), (3, "@d")], "locality bigint, owners string")
     return A.message_lines(A.daily_alerts(trips(spark, sf), time_keys=["hour"]), owners, "hour")
@@ -157,7 +160,9 @@ def goal_training(spark, sf):
     return goal_frame(spark, sf).select("id", "driver_id", "fact_rides", "trips", "days_since_last", "days_since_first", "reached", "activated")
 
 
-@query("undersampled_training_rows")
+@query("undersampled_training_rows", f"""WITH {_GOAL_SQL}, g AS (SELECT (fact_rides >= target_x)::INT AS reached FROM su WHERE id IN (SELECT id FROM ok)),
+rc AS (SELECT reached, count(*) AS n FROM g GROUP BY 1)
+SELECT reached, least(n, (SELECT min(n) FROM rc) * 2)::BIGINT AS n, least(n, (SELECT min(n) FROM rc) * 2)::BIGINT AS users FROM rc""")
 def undersample(spark, sf):
     g = S.undersampled(goal_frame(spark, sf), "reached", "driver_id", 0.5)
     return g.groupBy("reached").agg(F.count("*").alias("n"), F.countDistinct("driver_id").alias("users"))

@@ -7,7 +7,7 @@ from curbside.functions.frames import require_columns
 from curbside.operators import relational as R
 from curbside.operators import temporal as T
 
-from .base import OFFERS_SQL, offers, query, r, rounded, table, tables
+from .base import OFFERS_SQL, crc_sql, offers, query, r, rounded, table, tables
 
 
 @query("configured_predicates", """
@@ -281,9 +281,10 @@ def money(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", S.money_text(raw).alias("amount"))
 
 
-@query("salted_crc_split")
+@query("salted_crc_split", f"""WITH u AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1),
+c AS (SELECT *, {crc_sql("(user_id || '_20210406')")} % 100 AS a, {crc_sql("(user_id % 5 || '_' || user_id || 'salt')")} % 100 AS b FROM u)
+SELECT CASE WHEN a < 50 THEN 'B' ELSE 'A' END AS split, b < 30 AS in_campaign, sum(n)::BIGINT AS n, count(*) AS users FROM c GROUP BY 1, 2""")
 def crc_split(spark, sf):
-    """CRC-32 has no counterpart in the other engine; tests check it against zlib."""
     from curbside.functions.hashing import campaign_split, salted_split
 
     ev = table(spark, sf, "events")

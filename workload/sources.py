@@ -132,22 +132,24 @@ def _event_stream(spark, sf):
 
 
 @query("streamed_view_funnel", """
-SELECT time_bucket(INTERVAL 20 MINUTE, ts) AS dt, user_id % 5 AS locality, count(*) FILTER (event_type='view') AS views, count(*) FILTER (event_type='click') AS orders, count(*) FILTER (event_type='purchase') AS rides,
-round(sum(value) FILTER (event_type='purchase'), 4) AS bill FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 20 MINUTE, ts) + INTERVAL 20 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+SELECT time_bucket(INTERVAL 20 MINUTE, ts) AS dt, user_id % 5 AS locality, count(DISTINCT user_id) AS users, count(*) FILTER (event_type='view') AS views, count(*) FILTER (event_type='click') AS orders, count(*) FILTER (event_type='purchase') AS rides,
+round(sum(value) FILTER (event_type='purchase'), 4) AS bill FROM events GROUP BY 1, 2""")
 def streamed_funnel(spark, sf):
-    """A finite stream over the events; windows closed by the watermark are the result."""
-    stream = _event_stream(spark, sf).withColumn("locality", F.col("user_id") % 5)
+    """A finite stream over the events, closed at its end: every window comes out."""
+    closing = _fresh(spark, "closing")
+    stream = ST.closable(_event_stream(spark, sf), "ts", closing).withColumn("locality", F.col("user_id") % 5)
     funnel = ST.streamed_view_funnel(stream, "ts", ["locality"], "user_id", "event_type", "value")
     path = _fresh(spark, "stream")
-    ST.run_to_end(funnel.withColumn("bill", F.round("bill", 4)), path, _fresh(spark, "state"))
-    return spark.read.schema(funnel.schema).parquet(path).drop("users")
+    ST.run_and_close(funnel.withColumn("bill", F.round("bill", 4)), path, _fresh(spark, "state"), "ts", closing)
+    return spark.read.schema(funnel.schema).parquet(path)
 
 
 @query("streamed_price_health_alerts", """
 WITH s AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS slot, user_id % 4 AS campaign_id, sum(value * 2.5) / (sum(value + 5) - sum(value * 0.1)) AS health, avg(1 + (event_id % 10) / 10.0) AS surge, count(*) AS orders FROM events GROUP BY 1, 2)
-SELECT slot, campaign_id, orders, round(health, 6) AS health FROM s WHERE health > 2 AND surge < 1.5 AND orders > 1 AND slot + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+SELECT slot, campaign_id, orders, round(health, 6) AS health FROM s WHERE health > 2 AND surge < 1.5 AND orders > 1""")
 def streamed_health(spark, sf):
-    ev = _event_stream(spark, sf).select(
+    closing = _fresh(spark, "closing")
+    ev = ST.closable(_event_stream(spark, sf), "ts", closing).select(
         "ts", (F.col("user_id") % 4).alias("campaign_id"), F.col("event_id").alias("order_id"), (1 + (F.col("event_id") % 10) / 10.0).alias("surge"),
         (F.col("value") * 2.5).alias("price"), (F.col("value") + 5).alias("bill"), (F.col("value") * 0.1).alias("incentive"),
     )
@@ -156,7 +158,7 @@ def streamed_health(spark, sf):
     )
     alerts = ST.streamed_price_health(ev, "ts", ["campaign_id"], limits, ["campaign_id"])
     path = _fresh(spark, "stream")
-    ST.run_to_end(alerts, path, _fresh(spark, "state"))
+    ST.run_and_close(alerts, path, _fresh(spark, "state"), "ts", closing)
     return spark.read.schema(alerts.schema).parquet(path).select("slot", "campaign_id", "orders", r("health").alias("health"))
 
 
