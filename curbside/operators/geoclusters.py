@@ -122,7 +122,8 @@ def geo_clusters(df: DataFrame, slot: Sequence[str], min_samples: int = 2) -> Da
     links = neighbour_links(cells, slot, ring_reach(cells, eps), carry=["lat", "lon"])
     links = null_safe_join(links.join(cells, [*slot, "cell"]), eps, slot)
     gap = F.sqrt(F.pow(F.col("lat") - F.col("other_lat"), 2) + F.pow(F.col("lon") - F.col("other_lon"), 2))
-    links = stable_checkpoint(links.filter(gap <= F.col("eps")).select(*slot, "cell", "other"))
+    # equal distances count as within the radius, whatever their last digits
+    links = stable_checkpoint(links.filter(gap <= F.col("eps") * (1 + 1e-9)).select(*slot, "cell", "other"))
     cores = links.groupBy(*slot, "cell").agg(F.count(F.lit(1)).alias("__d")).filter(F.col("__d") + 1 >= min_samples)
     cores = cores.select(*slot, "cell")
     core_links = links.join(cores, [*slot, "cell"], "left_semi").join(

@@ -351,3 +351,85 @@ def budget(spark, sf):
     q, spend = Z.find_d2v_quantile(lambda qs: Z.spend_by_quantile(cells, limits, qs), limits, rounds=3, depth=2)
     result = Z.setup_summary(Z.suggest_prices(cells, limits, q))
     return rounded(result.withColumns({"q_d2v": F.lit(q), "search_spend": F.lit(spend or 0.0)}), 4)
+
+
+# --- price zones step by step: every hour of the week, two localities, level 8 ------------
+
+def zone_cells(spark, sf):
+    """Hex dataset by (locality, weekday, hour, cell): demand, rides and bills from the events; localities split by latitude."""
+    from curbside.functions.scalars import safe_ratio
+
+    p = points(spark, sf).withColumns({
+        "locality": (F.col("user_id") % 97 >= 48).cast("int"), "weekday": F.weekday("ts"), "hour": F.hour("ts"), "cell": H.point_cell(F.col("lat"), F.col("lon"), 8),
+    })
+    keys = [*Z.SLOT, "cell"]
+    demand = p.groupBy(*keys).agg(F.count("*").alias("views"), safe_ratio(F.count_if(F.col("event_type") == "signup"), F.count("*")).alias("d2v"))
+    rides = p.groupBy(*keys).agg(F.count_if(F.col("event_type").isin("click", "purchase")).alias("orders"), F.count_if(F.col("event_type") != "error").alias("rides"))
+    bills = p.filter("event_type = 'purchase'").groupBy(*keys).agg(F.avg("value").alias("bill"))
+    return stable_checkpoint(Z.check_cells(Z.hex_dataset(demand, rides, bills)))
+
+
+def hot_zone_cells(cells):
+    hot = G.hot_cells(cells, ["locality", "weekday"], 0.2, 0.9)
+    return stable_checkpoint(G.slots_with(G.cells_with_rides(hot, ["locality"], at_least=1), list(Z.SLOT)))
+
+
+def clean_zone_cells(cells):
+    slot, label = list(Z.SLOT), ["geo_cluster"]
+    df = stable_checkpoint(G.geo_clusters(hot_zone_cells(cells), slot))
+    df = stable_checkpoint(G.slots_with(G.drop_isolated(df, slot, label, 1), slot))
+    df = stable_checkpoint(G.fill_holes(df, cells, slot, label, 3))
+    return stable_checkpoint(G.recolour_by_neighbours(df, slot, label, 3))
+
+
+_S8 = H.edge_length(8)
+_AROUND = "o(dq, dr) AS (VALUES (1,0),(1,-1),(0,-1),(-1,0),(-1,1),(0,1))"
+_HOT_SQL = f"""{pts_cells_sql(8)}, {_AROUND},
+base AS (SELECT (user_id % 97 >= 48)::INT AS locality, (isodow(ts) - 1)::INT AS weekday, hour(ts)::INT AS hour, q, r, count(*) AS views, count(*) FILTER (event_type = 'signup') / count(*)::DOUBLE AS d2v,
+ count(*) FILTER (event_type IN ('click', 'purchase')) AS orders, count(*) FILTER (event_type <> 'error') AS rides, coalesce(avg(value) FILTER (event_type = 'purchase'), 0) AS bill FROM cells GROUP BY ALL),
+th AS (SELECT locality, weekday, quantile_cont(views, 0.2) AS tv, quantile_cont(d2v, 0.9) AS td FROM base GROUP BY 1, 2),
+h0 AS (SELECT base.* FROM base JOIN th USING (locality, weekday) WHERE views >= tv AND d2v <= td),
+h1 AS (SELECT * FROM h0 WHERE (locality, q, r) IN (SELECT locality, q, r FROM h0 WHERE rides >= 1)),
+hot AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY locality, weekday, hour) AS slot, degrees(2*atan(exp(r*{1.5 * _S8!r}/{R0!r})) - pi()/2) AS lat, degrees(({math.sqrt(3)!r}::DOUBLE*q + {math.sqrt(3) / 2!r}::DOUBLE*r)*{_S8!r}/{R0!r}) AS lon
+ FROM h1 QUALIFY count(*) OVER (PARTITION BY locality, weekday, hour) >= 3)"""
+_CLUSTER_SQL = f"""{_HOT_SQL},
+wi AS (SELECT slot, h.q, h.r, max(sqrt(pow(degrees(2*atan(exp((h.r+dr)*{1.5 * _S8!r}/{R0!r})) - pi()/2) - lat, 2) + pow(degrees(({math.sqrt(3)!r}::DOUBLE*(h.q+dq) + {math.sqrt(3) / 2!r}::DOUBLE*(h.r+dr))*{_S8!r}/{R0!r}) - lon, 2))) AS w FROM hot h, o GROUP BY 1, 2, 3),
+ep AS (SELECT slot, (0.2 * avg(w) + 0.8 * max(w)) * (1 + 1e-9) AS eps FROM wi GROUP BY 1),
+id AS MATERIALIZED (SELECT *, {8 * (1 << 56)}::BIGINT + (q + {H.HALF}) * {H.SPAN} + (r + {H.HALF}) AS cell FROM hot),
+li AS MATERIALIZED (SELECT a.slot, a.cell AS a, b.cell AS b FROM id a JOIN id b ON a.slot = b.slot AND a.cell <> b.cell JOIN ep ON ep.slot = a.slot WHERE sqrt(pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2)) <= eps),
+reach(slot, a, b) AS (SELECT slot, a, a FROM li UNION SELECT reach.slot, reach.a, li.b FROM reach JOIN li ON li.slot = reach.slot AND li.a = reach.b),
+co AS (SELECT slot, a AS cell, min(b) AS component FROM reach GROUP BY 1, 2),
+clu AS MATERIALIZED (SELECT id.*, coalesce(component, 0) AS geo_cluster FROM id LEFT JOIN co USING (slot, cell))"""
+
+
+@query("zone_clusters_per_hour", f"""WITH RECURSIVE {_CLUSTER_SQL} SELECT locality, weekday, hour, cell, geo_cluster FROM clu""")
+def zone_clusters(spark, sf):
+    """Density clusters of the hot cells of every locality and hour of the week."""
+    return G.geo_clusters(hot_zone_cells(zone_cells(spark, sf)), list(Z.SLOT)).select(*Z.SLOT, "cell", "geo_cluster")
+
+
+_CLEAN_SQL = f"""{_CLUSTER_SQL},
+n1 AS (SELECT c.slot, c.cell, count(*) AS n FROM clu c, o JOIN clu d ON d.slot = c.slot AND d.q = c.q + dq AND d.r = c.r + dr AND d.geo_cluster = c.geo_cluster GROUP BY 1, 2 HAVING count(*) > 1),
+k1 AS MATERIALIZED (SELECT c.* FROM clu c JOIN n1 USING (slot, cell) QUALIFY count(*) OVER (PARTITION BY c.slot) >= 3),
+ho AS (SELECT k.slot, any_value(k.locality) AS locality, any_value(k.weekday) AS weekday, any_value(k.hour) AS hour, k.q + dq AS q, k.r + dr AS r, geo_cluster, count(*) AS n FROM k1 k, o GROUP BY k.slot, k.q + dq, k.r + dr, geo_cluster HAVING count(*) > 3),
+hb AS (SELECT * FROM ho WHERE (slot, q, r) NOT IN (SELECT slot, q, r FROM k1) QUALIFY row_number() OVER (PARTITION BY slot, q, r ORDER BY n DESC, geo_cluster) = 1),
+k2 AS MATERIALIZED (SELECT slot, locality, weekday, hour, q, r, rides, bill, geo_cluster FROM k1 UNION ALL SELECT hb.slot, locality, weekday, hour, q, r, rides, bill, geo_cluster FROM hb JOIN base USING (locality, weekday, hour, q, r)),
+nb AS (SELECT c.slot, c.q, c.r, d.geo_cluster AS other, count(*) AS n FROM k2 c, o JOIN k2 d ON d.slot = c.slot AND d.q = c.q + dq AND d.r = c.r + dr GROUP BY c.slot, c.q, c.r, d.geo_cluster QUALIFY row_number() OVER (PARTITION BY c.slot, c.q, c.r ORDER BY count(*) DESC, d.geo_cluster) = 1),
+cl AS MATERIALIZED (SELECT k2.* EXCLUDE (geo_cluster), CASE WHEN n > 3 THEN other ELSE geo_cluster END AS geo_cluster, {8 * (1 << 56)}::BIGINT + (q + {H.HALF}) * {H.SPAN} + (r + {H.HALF}) AS cell FROM k2 LEFT JOIN nb USING (slot, q, r))"""
+
+
+@query("cleaned_zone_cells", f"""WITH RECURSIVE {_CLEAN_SQL} SELECT locality, weekday, hour, cell, geo_cluster, rides, round(bill, 6) AS bill FROM cl""")
+def clean_cells(spark, sf):
+    """Lone cells dropped, holes filled from all cells, cells recoloured by their neighbours."""
+    return rounded(clean_zone_cells(zone_cells(spark, sf)).select(*Z.SLOT, "cell", "geo_cluster", "rides", "bill"))
+
+
+@query("zone_prices_and_costs", f"""WITH RECURSIVE {_CLEAN_SQL},
+g AS (SELECT locality, weekday, hour, geo_cluster, coalesce(median(bill) FILTER (bill > 0), 0) AS median_bill, sum(rides)::BIGINT AS predict_rides, count(DISTINCT cell) AS cnt_gexagons FROM cl GROUP BY ALL),
+p AS (SELECT *, round_even(median_bill * 1.25 / 5, 0) * 5 AS price FROM g)
+SELECT locality, weekday, hour, geo_cluster, round(median_bill, 6) AS median_bill, predict_rides, cnt_gexagons, price, round(predict_rides * greatest(price - median_bill, 0), 4) AS cost FROM p""")
+def zone_costs(spark, sf):
+    """Price, expected rides and cost of every zone."""
+    clustered = clean_zone_cells(zone_cells(spark, sf)).withColumn("part", F.lit(0))
+    out = Z.cluster_costs(clustered, 1.25)
+    return out.select(*Z.SLOT, "geo_cluster", r("median_bill").alias("median_bill"), "predict_rides", "cnt_gexagons", "price", r("predict_total_geominimals", 4).alias("cost"))
