@@ -326,16 +326,6 @@ def with_rides(spark, sf):
     return G.cells_with_rides(g, [])
 
 
-@query("hex_data_quality_gate")
-def gate(spark, sf):
-    from curbside.sources.tables import sources_fresh
-
-    ev = table(spark, sf, "events")
-    fresh = sources_fresh([(ev, "ts"), (ev.filter("event_type = 'purchase'"), "ts")], "2024-01-02", "2024-01-29")
-    cells = G.with_centres(hex_cells_frame(spark, sf))
-    return rounded(Z.quality_gate(cells, fresh))
-
-
 @query("clustered_price_zones")
 def price_zones(spark, sf):
     """The whole zone pipeline at one quantile; tests check its parts by brute force."""
@@ -433,3 +423,26 @@ def zone_costs(spark, sf):
     clustered = clean_zone_cells(zone_cells(spark, sf)).withColumn("part", F.lit(0))
     out = Z.cluster_costs(clustered, 1.25)
     return out.select(*Z.SLOT, "geo_cluster", r("median_bill").alias("median_bill"), "predict_rides", "cnt_gexagons", "price", r("predict_total_geominimals", 4).alias("cost"))
+
+
+_GATE = """count(*) AS rows, count(DISTINCT weekday) AS weekdays, count(DISTINCT hour) AS hours, count(DISTINCT (q, r)) AS cells, round(min(lat), 6) AS lat_min, round(max(lat), 6) AS lat_max, round(min(lon), 6) AS lon_min,
+ sum(orders)::BIGINT AS orders, sum(rides)::BIGINT AS rides, round(avg(d2v), 6) AS d2v_mean"""
+
+
+@query("hex_data_quality_gate", f"""WITH {pts_cells_sql(8)},
+base AS (SELECT (user_id % 97 >= 48)::INT AS locality, (isodow(ts) - 1)::INT AS weekday, hour(ts)::INT AS hour, q, r, any_value(degrees(2*atan(exp(r*{1.5 * _S8!r}/{R0!r})) - pi()/2)) AS lat, any_value(degrees(({math.sqrt(3)!r}::DOUBLE*q + {math.sqrt(3) / 2!r}::DOUBLE*r)*{_S8!r}/{R0!r})) AS lon,
+ count(*) FILTER (event_type = 'signup') / count(*)::DOUBLE AS d2v, count(*) FILTER (event_type IN ('click', 'purchase')) AS orders, count(*) FILTER (event_type <> 'error') AS rides FROM cells GROUP BY 1, 2, 3, q, r),
+f AS (SELECT max(ts) >= '2024-01-29' AND min(ts) <= '2024-01-02' AND max(ts) FILTER (event_type = 'purchase') >= '2024-01-29' AND min(ts) FILTER (event_type = 'purchase') <= '2024-01-02' AS fresh FROM events),
+g AS (SELECT 'all' AS part, {_GATE} FROM base UNION ALL SELECT 'six days', {_GATE} FROM base WHERE weekday < 6 UNION ALL SELECT 'stale', {_GATE} FROM base)
+SELECT g.*, CASE WHEN fresh AND part <> 'stale' AND rows > 100 AND weekdays = 7 AND hours = 24 AND cells >= 20 AND lat_min > 37 AND lat_max < 70 AND lon_min > 15 AND lon_min < 179 AND orders > 100 AND rides > 100 AND d2v_mean > 0 AND d2v_mean < 1000 THEN 'ok' ELSE 'error' END AS result FROM g, f""")
+def gate(spark, sf):
+    """The gate over all hours of the week, over six days of it, and with a source that is not fresh."""
+    from curbside.sources.tables import sources_fresh
+
+    ev = table(spark, sf, "events")
+    sources = [(ev, "ts"), (ev.filter("event_type = 'purchase'"), "ts")]
+    fresh, stale = sources_fresh(sources, "2024-01-02", "2024-01-29"), sources_fresh(sources, "2024-01-02", "2030-01-01")
+    cells = G.with_centres(zone_cells(spark, sf))
+    cases = (("all", cells, fresh), ("six days", cells.filter("weekday < 6"), fresh), ("stale", cells, stale))
+    out = [Z.quality_gate(df, ok).withColumn("part", F.lit(name)) for name, df, ok in cases]
+    return rounded(out[0].unionByName(out[1]).unionByName(out[2]))
