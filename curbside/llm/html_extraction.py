@@ -32,8 +32,6 @@ from pyspark.sql import functions as F
 
 from .base import Scratch, clean_ids, map_batches, partitions, query, table
 
-CONSTANT_PAGES = 8  # pages that must agree before an unmarked slot counts as template
-
 # HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template iframe object svg math canvas audio video head title".split())
@@ -54,8 +52,12 @@ BOILER_WORDS = frozenset(
 )
 MAIN_TAGS, MAIN_WORDS = frozenset(["article", "main"]), frozenset("article articlebody post postbody entry content main maincontent story storybody".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"(?<![^\s/\"'])(class|id|role|itemprop|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>\"']|\Z)", re.IGNORECASE)
+# A quote opens a value only after "="; a value that is not closed goes to the end of the text.
+_VALUE = r"""=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|{_VALUE})*+)(?:>|\Z)", re.DOTALL)
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>"'][^\s>]*+)))?+""")
+_NAMED = re.compile(r"class|id|role|itemprop|hidden", re.IGNORECASE)
+MARKS = frozenset("class id role itemprop hidden".split())
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -170,11 +172,12 @@ def kept_text(pieces: Iterable[tuple[int, int, str]], keep: Sequence[bool]) -> s
 
 
 def _label(tag: str, attributes: str) -> str:
-    if not attributes or attributes.isspace():
+    if not attributes or not _NAMED.search(attributes):
         return tag
-    found = {}
+    found: dict[str, str] = {}
     for name, *values in _ATTRIBUTE.findall(attributes):
-        found.setdefault(name.lower(), " ".join(html.unescape(next((v for v in values if v), "")).split()))
+        if name.lower() in MARKS:
+            found.setdefault(name.lower(), " ".join(html.unescape(next((v for v in values if v), "")).split()))
     marks = [f"{k}={re.sub(r'[0-9]+', '0', v)}" for k, v in sorted(found.items())]
     return " ".join([tag, *marks])
 
@@ -237,46 +240,75 @@ class Node:
         self.low, self.high = min(self.low, other.low), max(self.high, other.high)
 
     def varies(self) -> bool:
-        return self.low != self.high or self.pages < CONSTANT_PAGES
+        """Whether its text differs between pages, or only one page has it."""
+        return self.low != self.high or self.pages < 2
+
+
+def in_order(root: Node) -> list[Node]:
+    """All nodes of a tree, parents before children, children in order."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack += reversed(node.children)
+    return out
+
+
+Matches = dict[tuple[int, int], tuple[int, list[tuple[int, int]]]]
+
+
+def match_table(a: Node, b: Node) -> Matches:
+    """Simple tree matching of all pairs of nodes (by id) that can be matched below two roots of equal label: the size of
+    the largest order-keeping match of the two trees, and the pairs of children in it. Leaves come first, so no depth
+    is too much and every pair is looked at once."""
+    order, stack = [], [(a, b)] if a.label == b.label else []
+    while stack:
+        p, q = stack.pop()
+        order.append((p, q))
+        stack += [(x, y) for x in p.children for y in q.children if x.label == y.label]
+    table: Matches = {}
+    for p, q in reversed(order):
+        x, y = p.children, q.children
+        own = [[table[id(c), id(d)][0] if c.label == d.label else 0 for d in y] for c in x]
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(1, len(x) + 1):
+            for j in range(1, len(y) + 1):
+                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + own[i - 1][j - 1])
+        pairs, i, j = [], len(x), len(y)
+        while i and j:
+            if own[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + own[i - 1][j - 1]:
+                pairs.append((i - 1, j - 1))
+                i, j = i - 1, j - 1
+            elif best[i][j] == best[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        table[id(p), id(q)] = best[len(x)][len(y)] + 1, pairs[::-1]
+    return table
 
 
 def match(a: Node, b: Node) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: the size of the largest order-keeping match of two trees with equal root labels, and
-    the pairs of children in it."""
-    if a.label != b.label:
-        return 0, []
-    x, y = a.children, b.children
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    own = [[match(p, q)[0] if p.label == q.label else 0 for q in y] for p in x]
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + own[i - 1][j - 1])
-    pairs, i, j = [], len(x), len(y)
-    while i and j:
-        if own[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + own[i - 1][j - 1]:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return best[len(x)][len(y)] + 1, pairs[::-1]
+    """Size of the match of two trees and the pairs of children in it; (0, []) for roots of different label."""
+    return match_table(a, b).get((id(a), id(b)), (0, []))
 
 
 def merge(a: Node, b: Node) -> None:
     """Adds tree b to wrapper a: matched nodes absorb, others are inserted after the last match before them."""
-    _, pairs = match(a, b)
-    a.absorb(b)
-    children, done = [], 0
-    by_b = {j: i for i, j in pairs}
-    for j, child in enumerate(b.children):
-        if j in by_b:
-            children += a.children[done : by_b[j] + 1]
-            done = by_b[j] + 1
-            merge(children[-1], child)
-        else:
-            children.append(child)
-    a.children = children + a.children[done:]
+    table = match_table(a, b)
+    stack = [(a, b)]
+    while stack:
+        p, q = stack.pop()
+        p.absorb(q)
+        by_q = {j: i for i, j in table.get((id(p), id(q)), (0, []))[1]}
+        children, done = [], 0
+        for j, child in enumerate(q.children):
+            if j in by_q:
+                children += p.children[done : by_q[j] + 1]
+                done = by_q[j] + 1
+                stack.append((children[-1], child))
+            else:
+                children.append(child)
+        p.children = children + p.children[done:]
 
 
 def tree(slots: list[tuple[str, int, int, int, int]]) -> list[Node]:
@@ -293,13 +325,10 @@ def tree(slots: list[tuple[str, int, int, int, int]]) -> list[Node]:
 def mark_content(root: Node) -> Node:
     """Sets `keep` on the wrapper nodes whose text is content."""
     weight: dict[int, int] = {}
-
-    def weigh(node: Node) -> int:
+    for node in reversed(in_order(root)):
         own = node.chars if node.varies() else 0
-        weight[id(node)] = 0 if is_boilerplate(node.label) else own + sum(weigh(c) for c in node.children)
-        return weight[id(node)]
-
-    total = weigh(root)
+        weight[id(node)] = 0 if is_boilerplate(node.label) else own + sum(weight[id(c)] for c in node.children)
+    total = weight[id(root)]
     marked = [n for n in _visible(root) if _main_rank(n.label) and weight[id(n)] * 4 >= total]
     best = max((_main_rank(n.label) for n in marked), default=0)
     regions = [n for n in marked if _main_rank(n.label) == best]
@@ -314,35 +343,42 @@ def mark_content(root: Node) -> Node:
             node = inner
         regions = [node]
     for region in regions:
-        rest = any(n.varies() and n.chars for n in _visible(region, True))
+        varying = sum(n.chars / n.pages for n in _visible(region, True) if n.pages and n.varies())
         for block in _blocks(region):
-            keep = any(n.varies() for n in block) or not rest or block[0] is region or _words(block[0].label)[0] in ("h1", "h2")
+            keep = any(n.varies() for n in block) or not _is_template(block, varying) or block[0] is region or _words(block[0].label)[0] in ("h1", "h2")
             for n in block:
                 n.keep = keep
     return root
 
 
+def _is_template(block: list[Node], varying: float) -> bool:
+    """Whether a block that is the same on all its pages is template: what varies around it, counted once for each
+    further page that agrees, must outweigh it. So near copies of one article, a few words apart, keep their text."""
+    held = [n for n in block if n.chars]
+    agree = min((n.pages for n in held), default=0) - 1
+    return sum(n.chars / n.pages for n in held) < varying * agree
+
+
 def _visible(node: Node, inside: bool = False) -> Iterator[Node]:
-    if not is_boilerplate(node.label, inside):
-        yield node
-        for child in node.children:
-            yield from _visible(child, inside)
+    stack = [node]
+    while stack:
+        node = stack.pop()
+        if not is_boilerplate(node.label, inside):
+            yield node
+            stack += reversed(node.children)
 
 
 def _blocks(region: Node) -> list[list[Node]]:
     """The visible nodes of a region, each block element with the inline elements in it."""
     out: list[list[Node]] = []
-
-    def visit(node: Node, block: list[Node]) -> None:
+    stack: list[tuple[Node, list[Node]]] = [(region, [])]
+    while stack:
+        node, block = stack.pop()
         if _words(node.label)[0] in BLOCK or node is region:
             block = []
             out.append(block)
         block.append(node)
-        for child in node.children:
-            if not is_boilerplate(child.label, True):
-                visit(child, block)
-
-    visit(region, [])
+        stack += [(c, block) for c in reversed(node.children) if not is_boilerplate(c.label, True)]
     return out
 
 
@@ -360,13 +396,13 @@ def flags(wrapper: Node, nodes: list[Node]) -> list[bool]:
     A layout that has text but none where the wrapper has its main region is judged by itself.
     """
 
-    def align(w: Node | None, node: Node, inside: bool) -> None:
+    table = match_table(wrapper, nodes[0])
+    stack: list[tuple[Node | None, Node, bool]] = [(wrapper, nodes[0], False)]
+    while stack:
+        w, node, inside = stack.pop()
         node.keep = w.keep if w else inside and not is_boilerplate(node.label, True)
-        partner = {j: w.children[i] for i, j in match(w, node)[1]} if w else {}
-        for j, child in enumerate(node.children):
-            align(partner.get(j), child, node.keep)
-
-    align(wrapper, nodes[0], False)
+        partner = {j: w.children[i] for i, j in table.get((id(w), id(node)), (0, []))[1]} if w else {}
+        stack += [(partner.get(j), child, node.keep) for j, child in enumerate(node.children)]
     if not any(n.keep and n.chars for n in nodes):
         for n in nodes:
             n.keep = False
@@ -375,13 +411,20 @@ def flags(wrapper: Node, nodes: list[Node]) -> list[bool]:
 
 
 def dump(node: Node) -> str:
-    as_list = lambda n: [n.label, n.pages, n.chars, n.low, n.high, n.keep, [as_list(c) for c in n.children]]
-    return json.dumps(as_list(node))
+    """The nodes in order, each with its parent's number; flat, so that depth does not matter."""
+    nodes = in_order(node)
+    number = {id(n): i for i, n in enumerate(nodes)}
+    parent = {id(c): number[id(n)] for n in nodes for c in n.children}
+    return json.dumps([[n.label, n.pages, n.chars, n.low, n.high, n.keep, parent.get(id(n), -1)] for n in nodes])
 
 
 def load(text: str) -> Node:
-    node = lambda x: Node(*x[:5], [node(c) for c in x[6]], x[5])
-    return node(json.loads(text))
+    nodes: list[Node] = []
+    for label, pages, chars, low, high, keep, parent in json.loads(text):
+        nodes.append(Node(label, pages, chars, low, high, [], keep))
+        if parent >= 0:
+            nodes[parent].children.append(nodes[-1])
+    return nodes[0]
 
 
 # --- Spark ------------------------------------------------------------------

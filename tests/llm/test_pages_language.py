@@ -210,3 +210,28 @@ def test_search_on_many_sizes_and_multiplicities():
             assert sum(items) <= capacity and n > 0
             got.update({x: k * n for x, k in Counter(items).items()})
         assert got == counts
+
+
+def test_deep_pages(spark):
+    deep = "<article>" + "<div>" * 5000 + "core {n}" + "</div>" * 5000 + "<p>after {n}</p></article>"
+    assert texts(spark, [deep.replace("{n}", f"n{i}") for i in range(3)]) == [f"core n{i} after n{i}" for i in range(3)]
+    root = X.tree([("-1\t", 1, 0, 0, 0)] + [(f"{i}\tdiv", 1, 0, 0, 0) for i in range(3000)])[0]
+    again = X.load(X.dump(root))
+    assert X.dump(again) == X.dump(root) and X.match(root, again)[0] == 3001
+
+
+def test_quotes_in_tags(spark):
+    """Quotes open a value only after an equals sign; names inside other values are not attributes."""
+    pages = ["<p><a title=it's>link</a> on", "<p><b x='1' y=2\">bold</b> on", "<p><i a\"b 'c'>it</i> on", "<p><u title=\"a > b\">un</u> on", "<p>x <b y=\"2>never closed</b> on", "<p><s data-x='hidden class=nav'>s</s> on", "<p><b = >eq</b> on"]
+    for got, want in zip([texts(spark, [p])[0] for p in pages], ["link on", "bold on", "it on", "un on", "x", "s on", "eq on"]):
+        assert got == want
+    assert X._label("div", " title='class=ad' CLASS=\"a1\"  hidden") == "div class=a0 hidden="
+
+
+@pytest.mark.parametrize("n", [2, 3, 5, 20])
+def test_menus_of_small_hosts(spark, n):
+    """An unmarked constant menu goes from two differing pages on; near copies of one article stay whole."""
+    page = "<body><div class='x'><ul><li>Home</li><li>Shop</li></ul></div><div class='y'><p>{n} is a long text of its own about nothing else</p></div></body>"
+    assert texts(spark, [page.replace("{n}", f"page{i} " * 9) for i in range(n)]) == [" ".join([f"page{i}"] * 9) + " is a long text of its own about nothing else" for i in range(n)]
+    copy = "<article><p>Words of one long article that two pages share.</p><div>edited {n}</div></article>"
+    assert texts(spark, [copy.replace("{n}", "a"), copy.replace("{n}", "b")]) == [f"Words of one long article that two pages share. edited {x}" for x in "ab"]
