@@ -8,13 +8,14 @@ compared one by one, which settles the matter.
 
 An item is leaked into a document when some window of WINDOW aligned tokens (the whole item if it is shorter)
 has at most ALLOWED differing tokens, scaled down for shorter items. The masks find every such window: any two
-positions of 13, or one of 9 to 12, leave a mask placement untouched (see the tests). In the op6 query items of fewer
-than MIN_ITEM tokens never match, as its SQL says. `clean_documents` goes on: it also counts letters of scripts without
-spaces as single tokens, and finds items below MIN_ITEM by their whole token sequence.
+positions of 13, or one of 9 to 12, leave a mask placement untouched (see the tests). Items of fewer than MIN_ITEM
+tokens are found by their whole token sequence, even a single word. Letters of scripts without spaces are tokens one
+by one, so an item in such a script is as many tokens as it has letters.
 
 The seed table of the benchmark is counted first. Up to BROADCAST_SEEDS rows (24 bytes each) it is shipped to the
-executors; beyond that the hashes meet in a shuffled join. Null and empty texts match nothing. Rows that share a
-doc_id, null included, count as one document with several texts; repeated benchmark rows count once.
+executors; beyond that the hashes meet in a shuffled join. Null and empty texts match nothing; very long texts are
+hashed whole. Rows that share a doc_id, null included, count as one document with several texts; repeated benchmark
+rows count once.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsMyanm
 
 
 def _tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), lambda w: w != "")
+    spaced = F.when(text.rlike(UNSPACED), F.regexp_replace(text, UNSPACED, " $0 ")).otherwise(text)
+    return F.filter(F.split(F.lower(F.coalesce(spaced, F.lit(""))), SPLIT), lambda w: w != "")
 
 
 def _hashes(text: Column) -> Column:
@@ -100,37 +102,34 @@ def leaks(
     return pairs.groupBy("doc_id", "item_id").agg(F.max("n_equal").cast("long").alias("n_equal"), F.max("n_best").cast("long").alias("n_best"))
 
 
-def _spaced(df: DataFrame) -> DataFrame:
-    """Letters of scripts without spaces become tokens of their own."""
-    return df.withColumn("text", F.regexp_replace("text", UNSPACED, " $0 "))
-
-
 def short_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """doc_id, item_id: documents that hold all tokens of an item of fewer than MIN_ITEM, in order and side by side."""
-    docs, benchmark = _spaced(clean_ids(docs, "doc_id", "text")), _spaced(clean_ids(benchmark, "item_id", "text"))
+    """The columns of `leaks` for documents that hold all tokens of an item of fewer than MIN_ITEM, in order and side by side."""
+    docs, benchmark = clean_ids(docs, "doc_id", "text"), clean_ids(benchmark, "item_id", "text")
     items = benchmark.select("item_id", _hashes(F.col("text")).alias("h")).where(F.size("h").between(1, MIN_ITEM - 1))
     items = items.select("item_id", F.size("h").alias("n"), F.xxhash64(F.size("h"), "h").alias("seed")).distinct()
     items = Scratch(docs.sparkSession, "short").write(items, "items")
     lengths = [r.n for r in items.select("n").distinct().collect()]  # MIN_ITEM - 1 at most
     if not lengths:
-        return docs.join(items, F.lit(False)).select("doc_id", "item_id")
+        return docs.limit(0).select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("item_id", dict(items.dtypes)["item_id"]), ("n_equal", "long"), ("n_best", "long"))])
 
     def windows(n: int) -> Column:
         last = F.size("h") - F.lit(n)
         return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(n), F.slice("h", i + 1, n)))).otherwise(F.array().cast("array<bigint>"))
 
     seeds = docs.select("doc_id", _hashes(F.col("text")).alias("h")).select("doc_id", F.explode(F.array_distinct(F.concat(*[windows(n) for n in lengths]))).alias("seed"))
-    own = items.select("item_id", "seed")
-    return seeds.join(F.broadcast(own) if items.count() <= broadcast_seeds else own, "seed").select("doc_id", "item_id").distinct()
+    hits = seeds.join(F.broadcast(items) if items.count() <= broadcast_seeds else items, "seed")
+    return hits.select("doc_id", "item_id", F.col("n").cast("long").alias("n_equal"), F.col("n").cast("long").alias("n_best")).distinct()
+
+
+def all_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The columns of `leaks` for items of every length."""
+    return leaks(docs, benchmark).unionByName(short_leaks(docs, benchmark))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents into which no benchmark item has leaked, however short it is."""
     docs, scratch = clean_ids(docs, *DOCUMENT_COLUMNS), Scratch(docs.sparkSession, "leaked")
-    found = leaks(docs, benchmark).select("doc_id").unionByName(short_leaks(docs, benchmark).select("doc_id"))
-    unspaced = clean_ids(benchmark, "item_id", "text").where(F.col("text").rlike(UNSPACED))
-    if not unspaced.isEmpty():
-        found = found.unionByName(leaks(_spaced(docs), _spaced(unspaced)).select("doc_id"))
+    found = all_leaks(docs, benchmark)
     leaked = scratch.write(found.select(F.col("doc_id").alias("d")).distinct(), "ids")
     return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["d"]), "left_anti")
 
@@ -139,18 +138,22 @@ def _oracle() -> str:
     seeds = lambda key, rows: " UNION ALL ".join(
         f"SELECT {key}, {n} AS mask, i AS start, [{', '.join(f'w[i + {o + 1}]' for o in m)}] AS seed FROM (SELECT {key}, w, unnest(range(0, len(w) - {m[-1]})) AS i FROM {rows})" for n, m in enumerate(MASKS)
     )
-    words = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+    letters = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Myanmar}\p{Khmer}]"
+    words = rf"list_filter(regexp_split_to_array(lower(regexp_replace(coalesce(text, ''), '{letters}', ' \0 ', 'g')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
     return rf"""
 WITH d AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT item_id, w FROM (SELECT DISTINCT item_id, {words} AS w FROM benchmark) WHERE len(w) >= {MIN_ITEM}),
+sh AS (SELECT item_id, w FROM (SELECT DISTINCT item_id, {words} AS w FROM benchmark) WHERE len(w) BETWEEN 1 AND {MIN_ITEM - 1}),
 ds AS ({seeds('doc_id', 'd')}), bs AS ({seeds('item_id', 'b')}),
 lines AS (SELECT DISTINCT doc_id, item_id, ds.start - bs.start AS shift FROM ds JOIN bs USING (mask, seed)),
 al AS (SELECT doc_id, item_id, greatest(0, -shift) AS a, least(len(b.w), len(d.w) - shift) AS e, shift, d.w AS dw, b.w AS bw, least({WINDOW}, len(b.w)) AS width
  FROM lines JOIN d USING (doc_id) JOIN b USING (item_id)),
 eq AS (SELECT doc_id, item_id, width, list_transform(range(a, e), lambda j: (bw[j + 1] = dw[j + shift + 1])::INT) AS same FROM al WHERE e - a >= width),
 sc AS (SELECT doc_id, item_id, width, list_sum(same) AS n_equal, list_max(list_transform(range(1, len(same) - width + 2), lambda s: list_sum(same[s:s + width - 1]))) AS n_best FROM eq)
-SELECT doc_id, item_id, max(n_equal)::BIGINT AS n_equal, max(n_best)::BIGINT AS n_best FROM sc WHERE n_best >= width - floor(width * {ALLOWED} / {WINDOW}) GROUP BY doc_id, item_id"""
+SELECT doc_id, item_id, max(n_equal)::BIGINT AS n_equal, max(n_best)::BIGINT AS n_best FROM sc WHERE n_best >= width - floor(width * {ALLOWED} / {WINDOW}) GROUP BY doc_id, item_id
+UNION ALL SELECT DISTINCT doc_id, item_id, n, n FROM (SELECT doc_id, n, w[i:i + n - 1] AS part FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT len(w) AS n FROM sh)))
+ JOIN (SELECT item_id, w, len(w) AS n FROM sh) USING (n) WHERE part = w"""
 
 
 @query("op6_decontamination", _oracle())
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return all_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -103,3 +103,22 @@ def test_clean_documents_finds_short_items_and_scripts_without_spaces(spark):
         "他说你好世界了", "你好 新世界", "前文" + long_item + "后文", "前文" + long_item.replace("觉", "知") + "后文", "前文" + long_item[::-1], None,
     ]
     assert sorted(r.doc_id for r in D.clean_documents(frame(spark, texts), bench).collect()) == [1, 2, 4, 7, 8]
+
+
+def test_all_leaks_counts_short_items_and_letters(spark):
+    """One row an item and document, with its tokens; letters of scripts without spaces count one by one; SQL gives the same."""
+    import duckdb
+
+    rows = [(0, "Ask: name the moon! Twice: name the moon."), (1, "name, the moon"), (2, "name of the moon"), (3, "x你好世界y"), (4, "你世界好"), (5, None), (6, "one two three four five six seven eight nine ten eleven"), (7, "")]
+    bench = [(0, "Name the moon"), (1, "你好,世界"), (2, "one two three four five six SEVEN eight nine ten eleven"), (3, None), (4, "moon"), (4, "moon")]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int")
+    items = spark.createDataFrame([(i, t, 2) for i, t in bench], "item_id long, text string, n int")
+    got = sorted(tuple(r) for r in D.all_leaks(docs, items).collect())
+    assert got == [(0, 0, 3, 3), (0, 4, 1, 1), (1, 0, 3, 3), (1, 4, 1, 1), (2, 4, 1, 1), (3, 1, 4, 4), (6, 2, 11, 11)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", bench)
+    assert sorted(con.execute(D._oracle()).fetchall()) == got
+    assert D.all_leaks(docs, items.limit(0)).collect() == [] and D.all_leaks(docs.limit(0), items).collect() == []
