@@ -130,10 +130,12 @@ _LOCAL_BACK = re.compile(
     r"[A-Za-z0-9_%+-]++(?:(?:\.|[\x20]?[\)\]\}>][\x20]?(?:tod|\.)[\x20]?[\(\[\{<][\x20]?|\x20(?:tod|tknup|tniop|otnup)\x20)[A-Za-z0-9_%+-]++)*+",
     re.IGNORECASE | re.ASCII,
 )
-_AT_SIGN = re.compile(rf"{_BRACKET_AT}|\x20at\x20|@", re.IGNORECASE)
-_TOP_LEVEL = re.compile(r"(?:[A-Za-z]{2,}|xn--[A-Za-z0-9-]+)\Z", re.IGNORECASE | re.ASCII)
+_AT_SIGN = re.compile(rf"{_BRACKET_AT}|\x20(?:at|@)\x20|@", re.IGNORECASE)
+# Endings of domains that say enough by themselves after a bare at-sign.
+_ENDINGS = frozenset("com org net edu gov mil int info biz io dev app cloud online site shop store tech email xyz museum aero coop".split())
+_COUNTRY = re.compile(r"[a-z]{2}|xn--[a-z0-9-]+")
 _BARE_AT_HINT = re.compile(r"\x20at\x20[a-z0-9-]++\.[a-z0-9-]", re.ASCII)  # on lower-case text; other dots have hints of their own
-_DISGUISE_HINTS = (" dot ", " punkt ", " point ", " punto ", *(f"{b}{s}{w}" for b in "([{<" for s in ("", " ") for w in ("at", "dot", "@", ".")))
+_DISGUISE_HINTS = (" dot ", " punkt ", " point ", " punto ", " @ ", *(f"{b}{s}{w}" for b in "([{<" for s in ("", " ") for w in ("at", "dot", "@", ".")))
 _DOT = re.compile(rf"{_BRACKET_DOT}|{_WORD_DOT}", re.IGNORECASE)
 _WIDE = re.compile(r"[^\x00-\x9f\xa1-\xac\xae-\xff]")
 
@@ -198,7 +200,9 @@ def _spelled_digits(tape: Tape) -> Tape:
 def _at_and_dot(tape: Tape) -> Tape:
     """Outward from each at-sign, plain or disguised: the domain after it, then the whole local part before it.
 
-    A bare " at " counts if the domain ends in a name ("at example.com", not "at 3.15"), whatever else the text holds.
+    An at-sign that stands between spaces, as a word or as a sign, needs more: the domain ends in a known name, or in two
+    small letters after a local part with a dot or a digit ("jane at example.com", "j.doe at x.de"; not "at 3.15", nor
+    "look at this.It was" with a space left out).
     """
     text, edits, floor, pos = tape.text, [], 0, 0
     back, size = text[::-1], len(text)
@@ -206,11 +210,16 @@ def _at_and_dot(tape: Tape) -> Tape:
         pos = at.start() + 1
         local = at.start() > floor and text[at.start() - 1] in _LOCAL
         domain = _DISGUISED_DOMAIN.match(text, at.end()) if local else None
-        if domain is None or (at.group().lower() == " at " and not _TOP_LEVEL.match(_DOT.sub(".", domain.group()).rpartition(".")[2])):
+        if domain is None:
             continue
         local = _LOCAL_BACK.match(back, size - at.start(), size - floor)
         if local is None:
             continue
+        if at.group().lower() in (" at ", " @ "):
+            ending = _DOT.sub(".", domain.group()).rpartition(".")[2]
+            marked = re.search(r"[.0-9]", _DOT.sub(".", text[size - local.end() : at.start()])) is not None
+            if ending not in _ENDINGS and not (marked and _COUNTRY.fullmatch(ending)):
+                continue
         edits += [(d.start(), d.end(), ".") for d in _DOT.finditer(text, size - local.end(), at.start())]
         if at.group() != "@":
             edits.append((at.start(), at.end(), "@"))
@@ -293,20 +302,21 @@ def masked(text: str | None) -> str | None:
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, a count for each kind of base span, the digest of the base spans, and all spans as text."""
+    """doc_id, a count for each kind of base span, the digest of the base spans, all spans as text, and their number."""
     docs = clean_ids(docs, "doc_id", "text")
 
     def find(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: dict[str, list] = {f"n_{k}": [] for k in KINDS} | {"base_sha256": [], "spans": []}
+        out: dict[str, list] = {f"n_{k}": [] for k in KINDS} | {"base_sha256": [], "spans": [], "n_spans": []}
         for text in batch.column(1).to_pylist():
             base, spans = personal_data(text)
             for k in KINDS:
                 out[f"n_{k}"].append(sum(s[0] == k for s in base))
             out["base_sha256"].append(hashlib.sha256(spans_text(base).encode()).hexdigest())
             out["spans"].append(spans_text(spans))
+            out["n_spans"].append(len(spans))
         return pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | {k: pa.array(v, pa.int64() if k[:2] == "n_" else pa.string()) for k, v in out.items()})
 
-    return map_batches(docs, find, f"doc_id {dict(docs.dtypes)['doc_id']}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_batches(docs, find, f"doc_id {dict(docs.dtypes)['doc_id']}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def mask_documents(docs: DataFrame) -> DataFrame:

@@ -108,6 +108,15 @@ def test_at_disguises_need_no_other_hint_and_any_number_of_pieces():
         P.personal_data(text)
 
 
+def test_bare_at_signs():
+    """Known endings, or a marked local part before two small letters; a space left out after a full stop is no address."""
+    for part in ("jane at example.com", "jane @ example.com", "j.doe at firma.de", "ann7 @ x dot fr", "Max at Example.org"):
+        assert P.personal_data(f"to {part}!")[1] == [("email", 3, 3 + len(part))], part
+    for text in ("Look at this.It was good", "we met at noon.Then left", "look at this.it was", "3 @ 4.5 each", "sold at shop.Now open", "jane at example.de"):
+        assert P.personal_data(text) == ([], []), text
+        assert P.masked(text) == text
+
+
 def test_clean_prose_has_no_spans():
     for text in ("We met at noon. One or two of them left, three stayed at home.", "Il y a sept ou huit maisons.", "See chapter 12.3 and 4, at point A."):
         assert P.personal_data(text) == ([], [])
@@ -118,6 +127,7 @@ def test_masking_and_edge_rows(spark):
     df = spark.createDataFrame(rows_of(texts) * 2, DOCS)
     got = {r.doc_id: r for r in P.find_personal_data(df).collect()}
     assert got[2].spans == "email:5:11,ip:16:24" and got[2].n_email == got[2].n_ip == 1
+    assert got[2].n_spans == 2 and got[0].n_spans == 0
     assert got[0].base_sha256 == hashlib.sha256(b"").hexdigest() and got[0].spans == ""
     masked = {r.doc_id: r for r in P.mask_documents(df).collect()}
     assert masked[2].text == "mail [email] and [ip]" and masked[2].n_chars == len(masked[2].text)
