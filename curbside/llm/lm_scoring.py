@@ -250,42 +250,54 @@ class Pairs:
 
 
 def pair_blobs(batches: DataFrame, shards: int) -> DataFrame:
-    """shard, batch, and the batch's pairs for that shard: contexts with counts and sizes, fingerprints, training counts."""
+    """shard, batch, and the batch's pairs for that shard: contexts with sizes, fingerprints, training counts.
+
+    A context that lies in one shard has the sum of its pairs for a count; `wide` and `totals` hold the position and count
+    of those that are divided.
+    """
 
     def run(source):
         for b in source:
             for row in b.to_pylist():
                 p = Pairs(row, shards)
                 cut = np.concatenate([[0], np.flatnonzero(np.diff(p.shard)) + 1, [len(p.shard)]])
-                rows: dict[str, list] = {k: [] for k in ("shard", "batch", "contexts", "tops", "totals", "sizes", "low", "high", "n")}
+                rows: dict[str, list] = {k: [] for k in ("shard", "batch", "contexts", "tops", "wide", "totals", "sizes", "low", "high", "n")}
                 for a, z in zip(cut[:-1], cut[1:]):
                     h = p.h[a:z]
                     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                    f = p.fingerprint[a:z]
-                    values = (int(p.shard[a]), row["batch"], _pack(h[start].astype(np.uint32)), _pack((h[start] >> _U(32)).astype(np.uint16)), _pack(p.c[a:z][start].astype(np.float32)), _pack(np.diff(np.append(start, z - a)).astype(np.int32)),
+                    f, c = p.fingerprint[a:z], p.c[a:z][start]
+                    wide = np.flatnonzero(c > SPREAD)
+                    values = (int(p.shard[a]), row["batch"], _pack(h[start].astype(np.uint32)), _pack((h[start] >> _U(32)).astype(np.uint16)), _pack(wide.astype(np.int32)), _pack(c[wide]), _pack(np.diff(np.append(start, z - a)).astype(np.int32)),
                               _pack(f.astype(np.uint32)), _pack((f >> _U(32)).astype(np.uint8)), _pack(p.n[a:z].astype(np.int32)))
                     for k, v in zip(rows, values):
                         rows[k].append(v)
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k in ("shard", "batch") else pa.binary()) for k, v in rows.items()})
 
-    return batches.mapInArrow(run, "shard long, batch long, contexts binary, tops binary, totals binary, sizes binary, low binary, high binary, n binary")
+    return batches.mapInArrow(run, "shard long, batch long, contexts binary, tops binary, wide binary, totals binary, sizes binary, low binary, high binary, n binary")
 
 
 def answer(pdf: pd.DataFrame) -> pd.DataFrame:
     """One shard: build the trie from all batches' training pairs, look up every batch's pairs."""
-    opened = []
+    opened, wide = [], []
     for r in pdf.itertuples(index=False):
         size = np.frombuffer(r.sizes, np.int32)
         f = np.frombuffer(r.low, np.uint32).astype(np.uint64) | (np.frombuffer(r.high, np.uint8).astype(np.uint64) << _U(32))
         h = np.frombuffer(r.contexts, np.uint32).astype(np.uint64) | (np.frombuffer(r.tops, np.uint16).astype(np.uint64) << _U(32))
-        opened.append((np.repeat(h, size), f, np.repeat(np.frombuffer(r.totals, np.float32), size), np.frombuffer(r.n, np.int32)))
-    learned = [tuple(x[o[3] > 0] for x in o) for o in opened]
-    h, f, c, n = (np.concatenate(x) for x in zip(*learned))
+        wide.append((h[np.frombuffer(r.wide, np.int32)], np.frombuffer(r.totals, np.int64)))
+        opened.append((np.repeat(h, size), f, np.frombuffer(r.n, np.int32)))
+    learned = [tuple(x[o[2] > 0] for x in o) for o in opened]
+    h, f, n = (np.concatenate(x) for x in zip(*learned))
     order = np.lexsort((f, h))
-    h, f, c, n = h[order], f[order], c[order], n[order].astype(np.int64)
+    h, f, n = h[order], f[order], n[order].astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (f[1:] != f[:-1])])) if len(h) else np.zeros(0, np.int64)
     total = np.add.reduceat(n, new) if len(h) else n
-    trie = Trie(Trie.build(h[new], f[new], total / (c[new].astype(float) + KAPPA)))
+    h, f = h[new], f[new]
+    contexts, first, size = np.unique(h, return_index=True, return_counts=True)
+    c = np.add.reduceat(total, first) if len(h) else total
+    divided, at = np.unique(np.concatenate([x for x, _ in wide]), return_index=True)
+    here = np.isin(divided, contexts)
+    c[np.searchsorted(contexts, divided[here])] = np.concatenate([x for _, x in wide])[at[here]]
+    trie = Trie(Trie.build(h, f, total / (np.repeat(c, size).astype(float) + KAPPA)))
     codes = [_pack(trie.find(o[0], o[1])) for o in opened]
     return pd.DataFrame({"batch": pdf["batch"], "shard": pdf["shard"], "codes": codes, "low": trie.low, "step": trie.step})
 
@@ -295,7 +307,7 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     kind = dict(docs.dtypes)["doc_id"]
-    batches = scratch.write(tokenised(docs), "batches")
+    batches = scratch.write(tokenised(docs), "batches", "zstd")
     words = word_rows(batches)
     with rows_per_batch(spark, 1):
         counts = scratch.write(words.groupBy("h").agg(F.sum("n").alias("c")), "counts")
@@ -315,10 +327,10 @@ def score(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"batch": b.column(0), "counts": pa.array(out, pa.binary())})
 
     with rows_per_batch(spark, 1):
-        by_batch = scratch.write(by_batch.mapInArrow(dense, "batch long, counts binary"), "by_batch")
+        by_batch = scratch.write(by_batch.mapInArrow(dense, "batch long, counts binary"), "by_batch", "zstd")
     scratch.drop("counts")
     scratch.settle()
-    counted = scratch.write(batches.join(by_batch.hint("merge"), "batch"), "counted")
+    counted = scratch.write(batches.join(by_batch.hint("merge"), "batch"), "counted", "zstd")
     scratch.drop("batches", "by_batch")
     scratch.settle()
 
@@ -326,7 +338,7 @@ def score(docs: DataFrame) -> DataFrame:
     shards = max(partitions(spark), -(-int(tokens) // 2 // SHARD_PAIRS))
     blobs = pair_blobs(counted, shards).groupBy("shard").applyInPandas(answer, "batch long, shard long, codes binary, low double, step double")
     with rows_per_batch(spark, 1):
-        answers = scratch.write(blobs, "answers")
+        answers = scratch.write(blobs, "answers", "zstd")
     scratch.settle()
     told = answers.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("shard", "codes", "low", "step"))).alias("told"))  # at most one for each shard
 
