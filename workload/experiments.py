@@ -374,7 +374,7 @@ def goal_counts(spark, sf):
 
 @query("goal_bonus_evaluation")
 def goal_bonus(spark, sf):
-    return rounded(E.goal_bonus_evaluation(goal_counts(spark, sf), reps=200))
+    return rounded(E.goal_bonus_evaluation(goal_counts(spark, sf), reps=REPS))
 
 
 @query("goal_bonus_success_rate", f"""WITH {OFFERS_SQL}, c AS (SELECT user_id % 5 AS bonus_id, (user_id // 5) % 3 AS split, user_id, sum(trip * (value > 60)::INT) AS cnt FROM offers GROUP BY 1, 2, 3),
@@ -542,7 +542,7 @@ def chain_offers(spark, sf):
     frames = driver_frames(spark, sf)
     metrics = {**CHAIN_METRICS, **CHAIN_USER_METRICS}
     sources = {**{k: "offers" for k in CHAIN_METRICS}, **{k: "users" for k in CHAIN_USER_METRICS}}
-    out = E.breakdown_evaluation(frames, metrics, sources, "user_id", keys=["city"], reps=50)
+    out = E.breakdown_evaluation(frames, metrics, sources, "user_id", keys=["city"], reps=REPS)
     return rounded(out.select("city", "metric", "split_0", "split_1", "split_a", "split_b", "lift", "pvalue", "pvalue_adj", "nobs_needed", "mde_ok"))
 
 
@@ -557,12 +557,20 @@ def breakdown_binomial(spark, sf):
     return rounded(out.select("city", "metric", "split_a", "split_b", "pvalue", "pvalue_adj"))
 
 
-@query("coloured_results")
+@query("coloured_results", f"""WITH {OFFERS_SQL}, o0 AS (SELECT user_id % 2 AS city, (user_id // 2) % 2 AS split, accept, k, user_id, CASE WHEN k % 2 = 0 THEN 'ChainOffer' END AS chain, CASE WHEN k < 30 THEN '0-3' WHEN k < 60 THEN '3-6' ELSE '>6' END AS distance FROM offers),
+o AS (SELECT * EXCLUDE (accept), CASE WHEN city = 0 AND split = 1 AND k % 3 = 0 THEN 1 ELSE accept END AS accept FROM o0),
+b AS (SELECT city, split, accept, 'AR' AS metric FROM o UNION ALL SELECT city, split, accept, 'AR_' || chain FROM o WHERE chain IS NOT NULL UNION ALL SELECT city, split, accept, 'AR_' || distance FROM o),
+s AS (SELECT city, metric, split, count(*)::DOUBLE AS n, sum(accept)::DOUBLE AS k FROM b GROUP BY 1, 2, 3), p AS (SELECT city, metric, a.n AS n0, b.n AS n1, a.k AS k0, b.k AS k1 FROM s a JOIN s b USING (city, metric) WHERE a.split = 0 AND b.split = 1),
+t AS (SELECT city, metric, n0, n1, k0/n0 AS pa, k1/n1 AS pb, {norm_p_sql('sqrt(x)')} AS pvalue FROM (SELECT *, {_CHI} AS x FROM p)),
+j AS (SELECT *, pow(pb - pa, 2) / pa + pow(pb - pa, 2) / (1 - pa) AS w2 FROM {bh_sql('t', keys='city')})
+SELECT city::INT AS city, metric, round(pb - pa, 6) AS lift, round(pvalue_adj, 6) AS pvalue_adj FROM j WHERE pvalue_adj <= 0.01 AND n0 >= floor(14.8793879855 / w2) AND n1 >= floor(14.8793879855 / w2)""")
 def coloured(spark, sf):
-    """Adjusted p at or below 0.9 (synthetic arms do not differ) and enough observations or not."""
+    """Metrics that pass the adjusted level of 0.01 with enough observations. City 0 has an effect put into its test arm, city 1 has none."""
     frames = driver_frames(spark, sf)
-    out = E.breakdown_evaluation(frames, {k: S.DRIVER_METRICS[k] for k in ("AR", "RR")}, {"AR": "offers", "RR": "offers"}, "user_id", keys=["city"])
-    return rounded(C.coloured(out.withColumn("mde_ok", F.coalesce("mde_ok", F.lit(1))), 1.0).select("city", "metric", "lift", "pvalue_adj"))
+    moved = (F.col("city") == 0) & (F.col("split") == 1) & (F.col("k") % 3 == 0)
+    frames["offers"] = frames["offers"].withColumn("accept", F.when(moved, 1).otherwise(F.col("accept")))
+    out = E.breakdown_evaluation(frames, {"AR": S.DRIVER_METRICS["AR"]}, {"AR": "offers"}, "user_id", keys=["city"])
+    return rounded(C.coloured(out).select("city", "metric", "lift", "pvalue_adj"))
 
 
 @query("city_economics_from_experiment", f"""WITH {OFFERS_SQL}, u AS (SELECT split, user_id, sum(trip) AS t, sum(value*trip) AS g, (max(ts) < '2024-01-29')::INT AS ch FROM offers GROUP BY 1, 2),
