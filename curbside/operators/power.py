@@ -96,30 +96,15 @@ def verdict_rows(
     """
     keys = list(keys)
     v = F.col(x).cast("double")
-    users = df.groupBy(*keys, "split", user).agg(
-        F.count_if(v > 0).alias("hit"), F.count_if(v == 0).alias("miss"), F.count(F.lit(1)).alias("rows"),
-        F.sum(v).alias("sx"), F.count(v).alias("cx"), F.sum(v * v).alias("sxx"),
-        *(
-            [
-                F.sum(F.col(y).cast("double")).alias("sy"),
-                F.sum(F.try_divide(v, F.col(y).cast("double"))).alias("sr"),
-                F.sum(F.pow(F.try_divide(v, F.col(y).cast("double")), 2)).alias("srr"),
-                F.count(F.try_divide(v, F.col(y).cast("double"))).alias("cr"),
-            ]
-            if y else []
-        ),
-    )
-    stats = users.groupBy(*keys, "split").agg(
-        F.count(user).alias("users"),
-        *[F.sum(c).alias(c) for c in users.columns if c not in (*keys, "split", user)],
-    )
-    p = pair_up(stats, keys)
+    aggs = [
+        F.countDistinct(user).alias("users"), F.count_if(v > 0).alias("hit"), F.count_if(v == 0).alias("miss"), F.sum(v).alias("sx"), F.count(v).alias("cx"), F.var_samp(v).alias("vx"),
+    ]
+    if y:
+        over = F.col(y).cast("double")
+        aggs += [F.sum(over).alias("sy"), F.var_samp(F.try_divide(v, over)).alias("vr")]
+    p = pair_up(df.groupBy(*keys, "split").agg(*aggs), keys)
     users_0, users_1 = F.col("users_0"), F.col("users_1")
 
-    def spread(total, squares, count):
-        var = F.try_divide(F.col(squares) - F.try_divide(F.col(total) * F.col(total), F.col(count)), F.col(count) - 1)
-        return F.sqrt(F.greatest(var, F.lit(0.0)))
-
     if kind == "binomial":
         obs_0, obs_1 = F.col("hit_0") + F.col("miss_0"), F.col("hit_1") + F.col("miss_1")
         a, b = F.try_divide(F.col("hit_0"), obs_0), F.try_divide(F.col("hit_1"), obs_1)
@@ -132,13 +117,13 @@ def verdict_rows(
         mean_lift = F.try_divide(
             F.try_divide(F.col("sx_1"), F.col("cx_1")), F.try_divide(F.col("sx_0"), F.col("cx_0"))
         ) - 1
-        effect = F.try_divide(a, spread("sr_0", "srr_0", "cr_0")) * mean_lift
+        effect = F.try_divide(a, F.sqrt("vr_0")) * mean_lift
         needed = P.t_sample_size(F.col("effect"), power, alpha, 1.0)
     elif kind == "continuous":
         obs_0, obs_1 = F.col("cx_0"), F.col("cx_1")
         a, b = F.try_divide(F.col("sx_0"), obs_0), F.try_divide(F.col("sx_1"), obs_1)
         lift = F.try_divide(b, a) - 1
-        effect = F.try_divide(a, spread("sx_0", "sxx_0", "cx_0")) * lift
+        effect = F.try_divide(a, F.sqrt("vx_0")) * lift
         needed = P.t_sample_size(F.col("effect"), power, alpha, 1.0)
     else:
         raise ValueError(f"unknown metric kind: {kind}")

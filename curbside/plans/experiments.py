@@ -29,9 +29,9 @@ def evaluate(
 ) -> DataFrame:
     """All metrics x all split pairs of every experiment in `keys`.
 
-    One pass makes totals, one makes the bucketed metric rows. Both are small (splits; buckets x
-    metrics) and are written out, so the facts are read exactly twice; tests, correction, lifts
-    and detectable effects are arithmetic on those results. `unit` replaces the hash bucket (e.g. one row per user).
+    One pass makes totals, one for each split column makes the bucketed metric rows, and the bucket limit counts the
+    rows once. All results are small (splits; buckets x metrics) and are written out; tests, correction, lifts and
+    detectable effects are arithmetic on them. `unit` replaces the hash bucket (e.g. one row per user).
     """
     keys = list(keys)
     total = stable_checkpoint(totals(facts, spec, keys))
