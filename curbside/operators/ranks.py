@@ -194,3 +194,22 @@ def best_precision(df: DataFrame, keys: Sequence[str], score: str, label: str, m
     fp = F.col("n_neg") - F.col("neg_before")
     precision = F.try_divide(tp.cast("double"), (tp + fp).cast("double"))
     return pts.groupBy(*keys).agg(F.max(F.when(F.col("tpr") >= min_recall, precision)).alias("best_precision"))
+
+
+def row_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank", total: str | None = None) -> DataFrame:
+    """row_number() over (partition by keys order by order) without one task for each key; `total` adds the key's rows.
+
+    Rows are dealt to tasks by range of (keys, order) and written; a row's rank is its place among its key's rows in its
+    range plus the key's rows in earlier ranges. The order must tell all rows of a key apart.
+    """
+    keys = list(keys)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stable_checkpoint(df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn("__p", F.spark_partition_id()))
+    sizes = dealt.groupBy(*keys, "__p").agg(F.count(F.lit(1)).alias("__c"))  # a row for each key of a range
+    by_key = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("__c").over(by_key.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumns({"__before": before, "__total": F.sum("__c").over(by_key)}).drop("__c")
+    inside = F.row_number().over(Window.partitionBy(*keys, "__p").orderBy(*order))
+    out = null_safe_join(dealt.withColumn("__n", inside), sizes, [*keys, "__p"]).withColumn(name, F.col("__n") + F.col("__before"))
+    out = out.withColumn(total, F.col("__total")) if total else out
+    return out.drop("__p", "__n", "__before", "__total")

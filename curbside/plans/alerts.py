@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import null_safe_join
 from ..functions.scalars import clip, safe_ratio
-from ..operators.ranks import exact_quantiles
+from ..operators.ranks import exact_quantiles, row_ranks
 
 GRAIN = ("locality", "campaign_id", "campaign", "polygon")
 
@@ -26,12 +26,9 @@ def campaign_slots(trips: DataFrame, time_keys: Sequence[str], grain: Sequence[s
 
 
 def top_third_flag(df: DataFrame, keys: Sequence[str], measure: str, tie: Sequence[str]) -> DataFrame:
-    """Rank by the measure inside the group (result-grain rows) and is_top = rank <= half-even round(n / 3)."""
-    w = Window.partitionBy(*keys)
-    rank = F.row_number().over(w.orderBy(F.desc(measure), *tie))
-    return df.withColumn("trip_rank", rank).withColumn(
-        "is_top", (F.col("trip_rank") <= F.bround(F.count(F.lit(1)).over(w) / 3)).cast("int")
-    )
+    """Rank by the measure inside the group and is_top = rank <= half-even round(n / 3)."""
+    ranked = row_ranks(df, keys, [F.desc(measure), *[F.asc(t) for t in tie]], "trip_rank", "__rows")
+    return ranked.withColumn("is_top", (F.col("trip_rank") <= F.bround(F.col("__rows") / 3)).cast("int")).drop("__rows")
 
 
 def with_suggestions(slots: DataFrame, tie: Sequence[str], threshold_quantile: float = 0.5) -> DataFrame:

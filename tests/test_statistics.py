@@ -300,3 +300,17 @@ def test_replicate_medians_against_numpy(spark, monkeypatch, leaf, bins):
             assert got.pop((k, rep), None) == (pytest.approx(float(np.median(values))) if values else None)
     assert not got
     assert Wm.replicate_medians(rows.limit(0), "v", "unit", ["k"], 5, 6).collect() == []
+
+
+def test_row_ranks_equal_a_window(spark, partitions):
+    """One key with most rows over many ranges, null keys, descending order with ties told apart."""
+    rng = random.Random(11)
+    rows = [(rng.choice(["hot"] * 6 + ["a", None]), rng.randrange(5), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, v int, i int").repartition(4)
+    for n in (1, 13):
+        partitions(n)
+        got = {r.i: (r["rank"], r.n) for r in K.row_ranks(df, ["k"], [F.desc("v"), F.asc("i")], total="n").collect()}
+        for key in ("hot", "a", None):
+            own = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))
+            assert [got[i] for _, _, i in own] == [(j + 1, len(own)) for j in range(len(own))]
+    assert K.row_ranks(df.limit(0), ["k"], [F.asc("i")]).collect() == []
