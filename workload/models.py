@@ -171,7 +171,7 @@ def undersample(spark, sf):
 def scored_goals(spark, sf):
     g = stable_checkpoint(goal_frame(spark, sf))
     train, test = S.train_test(g, "driver_id")
-    model = S.calibrated_forest(S.undersampled(train, "reached", "driver_id"), GOAL_FEATURES, "reached", "driver_id", folds=3, trees=10, depth=4)
+    model = S.calibrated_forest(S.undersampled(train, "reached", "driver_id"), GOAL_FEATURES, "reached", "driver_id", folds=5, trees=500, depth=3)
     return model, S.calibrated_scores(model, test, GOAL_FEATURES)
 
 
@@ -184,7 +184,7 @@ def goal_backtest(spark, sf):
 @query("goal_scenarios")
 def goal_scenarios(spark, sf):
     g = stable_checkpoint(goal_frame(spark, sf))
-    model = S.calibrated_forest(g, GOAL_FEATURES, "reached", "driver_id", folds=2, trees=10, depth=4)
+    model = S.calibrated_forest(g, GOAL_FEATURES, "reached", "driver_id", folds=5, trees=500, depth=3)
     scen = S.scenario_grid(g.drop("target_x", "budget"), [2, 3, 5], [300.0, 500.0])
     return rounded(S.expected_outcome(S.calibrated_scores(model, scen, GOAL_FEATURES), ["target_x", "budget"]), 4)
 
@@ -231,7 +231,7 @@ def forest_importances(spark, sf):
     agg = o.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("label"), F.count("*").alias("orders"), F.avg("o_totalprice").alias("avg_bill"), F.countDistinct("o_orderpriority").alias("kinds"))
     feats = ["orders", "avg_bill", "kinds"]
     data = stable_checkpoint(agg.select("o_custkey", "label", *[F.col(f).cast("double").alias(f) for f in feats]))
-    model = S.forest_grid_search(data, feats, "label", trees=(5,), depths=(3, 5), folds=2)
+    model = S.forest_grid_search(data, feats, "label", trees=(100, 500), depths=(3, 4), folds=5)
     best = model.stages[-1].bestModel
     impurity = S.impurity_importances(spark, feats, best).withColumn("kind", F.lit("impurity"))
     perm = S.permutation_importances(model, data, feats, "label", "o_custkey").withColumn("kind", F.lit("permutation"))
@@ -288,7 +288,7 @@ def ladder_outcome(spark, sf):
     """Step models fitted on the training grid, scored on every campaign's ladder, against the facts of the last year."""
     facts, context, ladders = ladder_inputs(spark, sf)
     grid = stable_checkpoint(LM.training_grid(facts, ladders, context, 40))
-    models = LM.fit_step_models(grid, trees=8, depth=4)
+    models = LM.fit_step_models(grid, trees=100, depth=6)
     share = LM.long_share_line(grid.withColumn("share", F.least(F.lit(1.0), F.col("step") / 100.0)), "share")
     last = context.filter(F.col("date") == context.agg(F.max("date").alias("m")).select("m").scalar())
     last = last.withColumns({"commission_share": F.lit(0.2), "other_incentives": F.lit(0.0)})
