@@ -2,6 +2,7 @@
 
 import json
 import math
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -335,12 +336,15 @@ def price_zones(spark, sf):
 
 @query("budget_constrained_zones")
 def budget(spark, sf):
-    """Bisection on the d2v quantile against a spend limit derived from the data, then the zones' totals."""
+    """Bisection on the d2v quantile against a spend limit derived from the data, half of what the widest quantile
+    would spend, then the zones' totals."""
     cells = stable_checkpoint(hex_cells_frame(spark, sf))
-    limits = Z.CityLimits(limit=1500.0, views_quantile=0.5, d2v_min=0.5, d2v_default=0.7, d2v_max=0.95)
-    q, spend = Z.find_d2v_quantile(lambda qs: Z.spend_by_quantile(cells, limits, qs), limits, rounds=3, depth=2)
+    limits = Z.CityLimits(views_quantile=0.5, d2v_min=0.5, d2v_default=0.7, d2v_max=0.95)
+    widest = Z.spend_by_quantile(cells, limits, [limits.d2v_max])[limits.d2v_max] or 0.0
+    limits = replace(limits, limit=widest / 2)
+    q, spend = Z.find_d2v_quantile(lambda qs: Z.spend_by_quantile(cells, limits, qs), limits)
     result = Z.setup_summary(Z.suggest_prices(cells, limits, q))
-    return rounded(result.withColumns({"q_d2v": F.lit(q), "search_spend": F.lit(spend or 0.0)}), 4)
+    return rounded(result.withColumns({"q_d2v": F.lit(q), "search_spend": F.lit(spend or 0.0), "spend_limit": F.lit(limits.limit)}), 4)
 
 
 # --- price zones step by step: every hour of the week, two localities, level 8 ------------
