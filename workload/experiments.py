@@ -294,7 +294,7 @@ def daily_pivot(spark, sf):
 
 
 @query("aa_study_half_samples", f"""WITH {user_sql(2)}, k AS (SELECT x, y, n, sim, CASE WHEN {draw_sql(14, 'unit', 'sim')} < 0.5 THEN 'A' ELSE 'B' END AS split FROM m, (SELECT unnest(range(1, {_SIMS + 1})) AS sim) WHERE y <> 0), {ratio_sql('k', 'sim')}
-SELECT count(*) AS sims, round(avg(({t_p_sql('delta / se', 'df', 400)} <= 0.05)::INT), 6) AS rate, round(avg(delta / se), 6) AS mean_statistic FROM pr""")
+SELECT count(*) FILTER (se > 0 AND isfinite(df)) AS sims, round(avg(({t_p_sql('delta / se', 'df', 400)} <= 0.05)::INT) FILTER (se > 0 AND isfinite(df)), 6) AS rate, round(avg(delta / se) FILTER (se > 0), 6) AS mean_statistic FROM pr""")
 def aa_half(spark, sf):
     out = B.half_split_rate(user_rows(spark, sf), "unit", _SIMS, seed=14, drop_zero_denominator=True, mode="reference")
     return rounded(out)
