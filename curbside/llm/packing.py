@@ -275,7 +275,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
     tasks = scratch.write(by_task.select("task", "length", "count", before.alias("before")), "tasks")
     counts = {r.length: r.n for r in tasks.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
     places = Places(pack_counts(counts, capacity))
-    ranked = pieces.join(tasks.drop("count"), ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
+    ranked = pieces.join(tasks.drop("count").hint("merge"), ["task", "length"]).select(  # the table grows with the tasks: not shipped whole
+        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank")
+    )
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [places.of(n, r) for n, r in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist())]
