@@ -39,15 +39,21 @@ def three_way(spark, sf):
 
 O3 = OFFERS_SQL.replace("user_id % 2 AS split", "user_id % 3 AS split")
 _U = """SELECT {u} AS unit, split, count(*) FILTER (trip=1)::DOUBLE AS trips, count(*)::DOUBLE AS offers, count(*) FILTER (accept=1)::DOUBLE AS acc, sum(value) FILTER (trip=1) AS bill,
- count(DISTINCT user_id)::DOUBLE AS users, count(*) FILTER (fraud=1 AND k>50)::DOUBLE AS fr, count(*) FILTER (k>50)::DOUBLE AS k50 FROM offers GROUP BY 1, 2"""
+ count(DISTINCT user_id)::DOUBLE AS users, count(*) FILTER (fraud=1 AND k>50)::DOUBLE AS fr, count(*) FILTER (k>50)::DOUBLE AS k50 FROM {frame} GROUP BY 1, 2"""
 
 
-def metric_rows_sql(unit):
-    return f"""u AS ({_U.format(u=unit)}), m AS (SELECT 'o2r' AS metric, split, unit, trips AS x, offers AS y, users AS n FROM u UNION ALL SELECT 'ar', split, unit, acc, offers, users FROM u
+def bucketed_sql(frame="offers"):
+    """CTE `bu`: the frame with each user's hash bucket, under the bucket limit that follows from its rows."""
+    return f"""bl AS (SELECT greatest(CASE WHEN count(*) < 1000 THEN least(count(*) // 2, 500) ELSE least(count(*) // 2, 1000) END, 1) AS limit_ FROM {frame}),
+bu AS (SELECT f.*, {bucket_sql('user_id', 'limit_')} AS bucket FROM {frame} f, bl)"""
+
+
+def metric_rows_sql(unit, frame="offers"):
+    return f"""u AS ({_U.format(u=unit, frame=frame)}), m AS (SELECT 'o2r' AS metric, split, unit, trips AS x, offers AS y, users AS n FROM u UNION ALL SELECT 'ar', split, unit, acc, offers, users FROM u
  UNION ALL SELECT 'bill_per_trip', split, unit, coalesce(bill, 0), trips, users FROM u UNION ALL SELECT 'trips_per_user', split, unit, trips, users, users FROM u UNION ALL SELECT 'fraud_share', split, unit, fr, k50, users FROM u)"""
 
 
-@query("experiment_evaluation", f"""WITH {O3}, {metric_rows_sql('user_id % 40')}, {ratio_sql('m')},
+@query("experiment_evaluation", f"""WITH {O3}, {bucketed_sql()}, {metric_rows_sql('bucket', 'bu')}, {ratio_sql('m')},
 tot AS (SELECT split, count(DISTINCT user_id)::DOUBLE AS users, count(*)::DOUBLE AS offers, count(*) FILTER (trip=1)::DOUBLE AS trips, sum(value) FILTER (trip=1) AS bill FROM offers GROUP BY 1),
 tm AS (UNPIVOT tot ON users, offers, trips, bill INTO NAME metric VALUE v),
 tl AS (SELECT a.metric, a.split AS split_0, b.split AS split_1, a.v AS v0, b.v AS v1 FROM tm a JOIN tm b USING (metric) WHERE a.split < b.split),
@@ -57,21 +63,19 @@ SELECT split_0 || '_' || split_1 AS split_pair, metric, round(ratio_0, 6) AS spl
  (pvalue < 0.05)::INT AS is_significant, (pvalue_adj < 0.05)::INT AS is_significant_adj, round(delta, 6) AS delta FROM z
 UNION ALL SELECT split_0 || '_' || split_1, metric, round(v0, 6), round(v1, 6), round((v1 - v0) / v0, 6), NULL, NULL, NULL, NULL, NULL FROM tl""")
 def evaluation(spark, sf):
-    out = E.evaluate(three_way(spark, sf), SPEC, unit=F.col("user_id") % 40)
+    out = E.evaluate(three_way(spark, sf), SPEC)
     return rounded(out.select("split_pair", "metric", "split_0", "split_1", "lift", "pvalue", "pvalue_adj", "is_significant", "is_significant_adj", "delta"))
 
 
-@query("hash_bucket_compression", f"""WITH {OFFERS_SQL}
-SELECT split, count(*) FILTER (trip=1)::DOUBLE AS trips, count(*)::DOUBLE AS offers, count(DISTINCT user_id)::DOUBLE AS users, round(sum(value) FILTER (trip=1), 4) AS bill, true AS within_limit FROM offers GROUP BY 1""")
+@query("hash_bucket_compression", f"""WITH {OFFERS_SQL}, {bucketed_sql()}
+SELECT split, bucket::INT AS unit, (count(*) FILTER (trip=1))::DOUBLE AS trips, count(*)::DOUBLE AS offers, count(DISTINCT user_id)::DOUBLE AS users, round(coalesce(sum(value) FILTER (trip=1), 0), 4) AS bill FROM bu GROUP BY 1, 2""")
 def bucketed(spark, sf):
+    """Every bucket of users with its figures."""
     rows = M.bucket_rows(offers(spark, sf), SPEC)
-    limit = M.bucket_limit(offers(spark, sf), 1000, 500, 1000)
-    wide = rows.groupBy(F.col("split").cast("bigint").alias("split")).agg(
-        F.sum(F.when(F.col("metric") == "o2r", F.col("x"))).alias("trips"), F.sum(F.when(F.col("metric") == "o2r", F.col("y"))).alias("offers"),
-        F.sum(F.when(F.col("metric") == "o2r", F.col("n"))).alias("users"),
-        r(F.sum(F.when(F.col("metric") == "bill_per_trip", F.col("x"))), 4).alias("bill"), F.max("unit").alias("top"),
+    figure = lambda metric, c: F.sum(F.when(F.col("metric") == metric, F.col(c)))
+    return rows.groupBy(F.col("split").cast("bigint").alias("split"), F.col("unit").cast("int").alias("unit")).agg(
+        figure("o2r", "x").alias("trips"), figure("o2r", "y").alias("offers"), figure("o2r", "n").alias("users"), r(figure("bill_per_trip", "x"), 4).alias("bill"),
     )
-    return wide.withColumn("within_limit", F.col("top") < limit).drop("top")
 
 
 @query("metric_registry_totals", f"""WITH {O3}
