@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import null_safe_join, require_columns, require_rows, stable_checkpoint
@@ -14,6 +14,7 @@ from ..functions.hexgrid import cell_edge, cell_edges, corner_point
 from ..functions.scalars import to_fives
 from ..operators import geoclusters as G
 from ..operators.polygons import geojson_shapes, smoothed_ring
+from ..operators.ranks import cumulative_counts, exact_quantiles
 
 SLOT = ("locality", "weekday", "hour")
 
@@ -228,6 +229,86 @@ def find_d2v_quantile(
     return round(q, 6), spend
 
 
+def hot_cells_by_city(cells: DataFrame, candidates: DataFrame, views_quantile: float) -> DataFrame:
+    """Hot cells for every candidate (locality, node, q) of a city's d2v quantile, tagged with `node`.
+
+    Running counts of d2v are made once for each (locality, weekday); every candidate reads its quantile from them.
+    """
+    keys = ["locality", "weekday"]
+    runs = cumulative_counts(cells, keys, "d2v", {"n": F.count(F.lit(1))})
+    total = runs.groupBy(*keys).agg(F.sum("n").alias("__total"))
+    wanted = null_safe_join(null_safe_join(runs, total, keys), candidates, ["locality"])
+    at = F.col("q") * (F.col("__total") - 1)
+    value = lambda rank: F.max(F.when((F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n")), F.col("d2v")))
+    ends = wanted.groupBy(*keys, "node", at.alias("__at")).agg(value(F.floor(at)).alias("__lo"), value(F.ceil(at)).alias("__hi"))
+    limits = ends.select(*keys, "node", (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (F.col("__at") - F.floor("__at"))).alias("__d2v"))
+    views = exact_quantiles(cells, keys, "views", {"__views": views_quantile})
+    busy = null_safe_join(cells, views, keys).filter(F.col("views") >= F.col("__views")).drop("__views")
+    return null_safe_join(busy, stable_checkpoint(limits), keys).filter(F.col("d2v") <= F.col("__d2v")).drop("__d2v")
+
+
+def zone_costs_by_city(cells: DataFrame, candidates: DataFrame, limits: CityLimits) -> DataFrame:
+    """Zones with their costs for every candidate (locality, node, q), all in one clustering run."""
+    slot = ["node", *SLOT]
+    hot = G.cells_with_rides(stable_checkpoint(hot_cells_by_city(cells, candidates, limits.views_quantile)), ["node", "locality"])
+    everything = null_safe_join(cells, candidates.drop("q"), ["locality"])
+    return cluster_costs(clustered_slots(hot, everything, slot), limits.multiplier, slot)
+
+
+def spend_by_city(cells: DataFrame, candidates: DataFrame, limits: CityLimits) -> DataFrame:
+    """(locality, node, spend) for every candidate (locality, node, q)."""
+    return zone_costs_by_city(cells, candidates, limits).groupBy("locality", "node").agg(F.sum("predict_total_geominimals").alias("spend"))
+
+
+def _moved(q: Column, low: Column, high: Column, too_much: Column) -> tuple[Column, Column, Column, Column]:
+    """(q, low, high, width) after a bisection move, as `_advance` makes it."""
+    new_low, new_high = F.when(too_much, low).otherwise(q), F.when(too_much, q).otherwise(high)
+    width = F.abs(q - F.when(too_much, low).otherwise(high)) / 2
+    return F.when(too_much, q - width).otherwise(q + width), new_low, new_high, width
+
+
+def search_cities(
+    spend_of: Callable[[DataFrame], DataFrame], budgets: DataFrame, limits: CityLimits, tolerance: float = 0.05, rounds: int = 10, smallest_step: float = 0.001, depth: int = 3,
+) -> DataFrame:
+    """(locality, limit, q, spend): the search of `find_d2v_quantile` for all cities of (locality, limit) at once.
+
+    The state is a table with one row a city. `spend_of` gets (locality, node, q), the quantiles each open city can ask for
+    within `depth` moves, numbered as a binary tree, and gives (locality, node, spend). All open cities then move by column
+    expressions; the table is written once a job.
+    """
+    start = {"q": F.lit(float(limits.d2v_default)), "low": F.lit(float(limits.d2v_min)), "high": F.lit(float(limits.d2v_max)), "cycle": F.lit(0), "spend": F.lit(0.0), "done": F.lit(False)}
+    state = stable_checkpoint(budgets.select("locality", F.col("limit").cast("double").alias("limit")).withColumns(start))
+    while not state.filter("NOT done").isEmpty():
+        nodes = [(1, F.col("q"), F.col("low"), F.col("high"))]
+        for k, q, low, high in nodes:
+            if k < 1 << (depth - 1):
+                nodes += [(2 * k + i, *_moved(q, low, high, F.lit(i == 0))[:3]) for i in (0, 1)]
+        tree = F.explode(F.array(*[F.struct(F.lit(k).alias("node"), q.alias("q")) for k, q, _, _ in nodes])).alias("c")
+        candidates = stable_checkpoint(state.filter("NOT done").select("locality", tree).select("locality", "c.*"))
+        found = spend_of(candidates).groupBy("locality").agg(F.map_from_entries(F.collect_list(F.struct("node", "spend"))).alias("found"))  # 2^depth - 1 at most
+        state = null_safe_join(state, found, ["locality"], "left").withColumns({"node": F.lit(1), "found": F.coalesce("found", F.create_map().cast("map<int,double>"))})
+        for _ in range(depth):
+            value = F.try_element_at("found", F.col("node"))
+            state = state.withColumns({"live": ~F.col("done") & (F.col("node") < 1 << depth), "value": value})
+            empty = F.col("live") & F.col("value").isNull() & (F.col("cycle") > 0)  # nothing left to price at this quantile
+            state = state.withColumns({
+                "q": F.when(empty, F.lit(float(limits.d2v_default))).otherwise(F.col("q")), "spend": F.when(F.col("live") & ~empty, F.coalesce("value", F.lit(0.0))).otherwise(F.col("spend")),
+                "done": F.col("done") | empty, "live": F.col("live") & ~empty,
+            })
+            state = state.withColumn("done", F.col("done") | (F.col("live") & (F.abs(F.col("spend") - F.col("limit")) <= tolerance * F.col("limit")))).withColumn("live", F.col("live") & ~F.col("done"))
+            too_much = F.col("spend") > F.col("limit")
+            q, low, high, width = _moved(F.col("q"), F.col("low"), F.col("high"), too_much)
+            last = F.col("live") & ((F.col("cycle") >= rounds) | (width < smallest_step))
+            move = lambda new, old: F.when(F.col("live"), new).otherwise(F.col(old))
+            state = state.withColumns({
+                "q": move(q, "q"), "low": move(low, "low"), "high": move(high, "high"), "cycle": move(F.col("cycle") + 1, "cycle"), "done": F.col("done") | last,
+                "node": move(2 * F.col("node") + F.when(too_much, 0).otherwise(1), "node"),
+            })
+        state = stable_checkpoint(state.select("locality", "limit", *start))
+    inside = F.col("q").between(limits.d2v_min, limits.d2v_max)
+    return state.select("locality", "limit", F.round(F.when(inside, F.col("q")).otherwise(F.lit(float(limits.d2v_default))), 6).alias("q"), "spend")
+
+
 def suggest_prices(cells: DataFrame, limits: CityLimits, q_d2v: float) -> DataFrame:
     """Final suggestion rows at one d2v quantile."""
     hot = stable_checkpoint(G.hot_cells(cells, ["locality", "weekday"], limits.views_quantile, q_d2v))

@@ -5,6 +5,7 @@ import itertools
 import json
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -227,6 +228,37 @@ def test_budget_search_follows_bisection():
     assert limits.d2v_min <= q <= limits.d2v_max
 
 
+def test_city_search_equals_the_search_of_each_city(spark):
+    """Limits met at once, in the middle, never; a city without spend, one that runs out of zones."""
+    limits = Z.CityLimits(d2v_min=0.05, d2v_default=0.15, d2v_max=0.25)
+    cities = {1: 1000.0, 2: 900.0, 3: 1e9, 4: 500.0, 5: 1.0, 6: 700.0, 7: 1234.5}
+    factor = {1: 6000.0, 2: 6000.0, 3: 1.0, 4: None, 5: 9000.0, 6: 5000.0, 7: 8000.0}
+
+    def of(city, q):
+        return None if factor[city] is None or (city == 6 and q < 0.14) else factor[city] * q
+
+    def spend_of(candidates):
+        rows = [(r.locality, r.node, of(r.locality, r.q)) for r in candidates.collect()]
+        return spark.createDataFrame([r for r in rows if r[2] is not None], "locality int, node int, spend double")
+
+    budgets = spark.createDataFrame(list(cities.items()), "locality int, limit double")
+    for depth in (1, 3):
+        got = {r.locality: (r.q, r.spend) for r in Z.search_cities(spend_of, budgets, limits, depth=depth).collect()}
+        for city, limit in cities.items():
+            want = Z.find_d2v_quantile(lambda qs, c=city: {q: of(c, q) for q in qs}, replace(limits, limit=limit))
+            assert got[city] == (pytest.approx(want[0]), pytest.approx(want[1] or 0.0)), (city, depth)
+
+
+def test_hot_cells_of_each_city_equal_those_of_one_quantile(spark):
+    rng = random.Random(21)
+    rows = [(loc, day, cell, rng.randrange(9), rng.randrange(20) / 20) for loc in (1, 2) for day in range(3) for cell in range(25)]
+    cells = spark.createDataFrame(rows, "locality int, weekday int, cell long, views int, d2v double")
+    candidates = spark.createDataFrame([(1, 1, 0.3), (1, 2, 0.55), (2, 1, 0.8)], "locality int, node int, q double")
+    got = {(r.node, r.locality, r.weekday, r.cell) for r in Z.hot_cells_by_city(cells, candidates, 0.4).collect()}
+    want = {(node, loc, r.weekday, r.cell) for loc, node, q in ((1, 1, 0.3), (1, 2, 0.55), (2, 1, 0.8)) for r in Z.G.hot_cells(cells.filter(F.col("locality") == loc), ["locality", "weekday"], 0.4, q).collect()}
+    assert got == want and want
+
+
 def test_forecast_is_non_negative_and_sees_weekdays(spark):
     rows = [("a", dt.datetime(2024, 1, 1) + dt.timedelta(days=i), float(100 + 60 * (i % 7 == 5))) for i in range(84) if i != 40]
     rows += [("b", dt.datetime(2024, 1, 1) + dt.timedelta(days=i), max(0.0, 20.0 - i)) for i in range(84)]

@@ -2,7 +2,6 @@
 
 import json
 import math
-from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -290,16 +289,12 @@ def d2v(spark, sf):
     )
 
 
-def hex_cells_frame(spark, sf):
-    """Hex dataset by (locality, weekday, hour, cell): demand, rides and bills from the events."""
+def hex_cells_frame(spark, sf, p=None, level=7):
+    """Hex dataset by (locality, weekday, half day, cell): demand, rides and bills from the events."""
     from curbside.functions.scalars import safe_ratio
 
-    p = points(spark, sf).withColumns(
-        {
-            "locality": F.lit(1), "weekday": F.weekday("ts"), "hour": (F.floor(F.hour("ts") / 12) * 12).cast("int"),
-            "cell": H.point_cell(F.col("lat"), F.col("lon"), 7),
-        }
-    )
+    p = points(spark, sf).withColumn("locality", F.lit(1)) if p is None else p
+    p = p.withColumns({"weekday": F.weekday("ts"), "hour": (F.floor(F.hour("ts") / 12) * 12).cast("int"), "cell": H.point_cell(F.col("lat"), F.col("lon"), level)})
     keys = [*Z.SLOT, "cell"]
     demand = p.groupBy(*keys).agg(F.count("*").alias("views"), safe_ratio(F.count_if(F.col("event_type") == "signup"), F.count("*")).alias("d2v"))
     rides = p.groupBy(*keys).agg(F.count_if(F.col("event_type").isin("click", "purchase")).alias("orders"), F.count_if(F.col("event_type") != "error").alias("rides"))
@@ -336,15 +331,16 @@ def price_zones(spark, sf):
 
 @query("budget_constrained_zones")
 def budget(spark, sf):
-    """Bisection on the d2v quantile against a spend limit derived from the data, half of what the widest quantile
-    would spend, then the zones' totals."""
-    cells = stable_checkpoint(hex_cells_frame(spark, sf))
+    """Two cities, each with a limit of half of what its widest quantile would spend: one bisection for both on the d2v
+    quantile, then the totals of their zones."""
+    p = points(spark, sf).withColumn("locality", (F.col("user_id") % 97 >= 48).cast("int"))
+    cells = stable_checkpoint(hex_cells_frame(spark, sf, p, 8))
     limits = Z.CityLimits(views_quantile=0.5, d2v_min=0.5, d2v_default=0.7, d2v_max=0.95)
-    widest = Z.spend_by_quantile(cells, limits, [limits.d2v_max])[limits.d2v_max] or 0.0
-    limits = replace(limits, limit=widest / 2)
-    q, spend = Z.find_d2v_quantile(lambda qs: Z.spend_by_quantile(cells, limits, qs), limits)
-    result = Z.setup_summary(Z.suggest_prices(cells, limits, q))
-    return rounded(result.withColumns({"q_d2v": F.lit(q), "search_spend": F.lit(spend or 0.0), "spend_limit": F.lit(limits.limit)}), 4)
+    cities = cells.select("locality").distinct().withColumn("node", F.lit(1))
+    widest = Z.spend_by_city(cells, cities.withColumn("q", F.lit(limits.d2v_max)), limits)
+    found = Z.search_cities(lambda c: Z.spend_by_city(cells, c, limits), widest.select("locality", (F.col("spend") / 2).alias("limit")), limits, depth=5)
+    costs = Z.zone_costs_by_city(cells, found.select("locality", F.lit(1).alias("node"), "q"), limits).filter("price > 0")
+    return rounded(Z.setup_summary(costs).withColumnRenamed("spend", "zone_spend").join(found, "locality"), 4)
 
 
 # --- price zones step by step: every hour of the week, two localities, level 8 ------------
