@@ -92,13 +92,22 @@ def rows_per_batch(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """One record batch out for each one in; tasks never hold more than a batch."""
+TEXTS = 1000  # whole texts that a task turns to Python objects at once, where they are long
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches, or their parts of at most `rows` rows; empty ones are left out."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows or batch.num_rows or 1):
+            yield batch.slice(start, rows or batch.num_rows)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int | None = None) -> DataFrame:
+    """One record batch out for each one in, or for each `rows` rows of it; tasks never hold more than a batch."""
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+        for batch in slices(batches, rows):
+            yield fn(batch)
 
     return df.mapInArrow(run, schema)
 

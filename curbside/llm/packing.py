@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import Scratch, clean_ids, map_batches, query, table
+from .base import TEXTS, Scratch, clean_ids, map_batches, query, slices, table
 
 CAPACITY = 1024
 END_ID = 2
@@ -87,7 +87,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = EN
 
     def run(batches):
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches, TEXTS):
             rows: list[tuple[int, int, int, int, int, int]] = []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = np.array([*token_ids(text or "", vocabulary), end_id], "<u4")

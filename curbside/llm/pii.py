@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .base import DOCUMENT_COLUMNS, clean_ids, map_batches, query, table
+from .base import DOCUMENT_COLUMNS, TEXTS, clean_ids, map_batches, query, table
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -332,7 +332,7 @@ def mask_documents(docs: DataFrame) -> DataFrame:
         columns[at], columns[count] = pa.array(new, columns[at].type), pa.array(lengths, columns[count].type)
         return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return map_batches(docs, mask, docs.schema)
+    return map_batches(docs, mask, docs.schema, TEXTS)
 
 
 @query("op2_pii")

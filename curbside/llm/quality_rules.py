@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import DOCUMENT_COLUMNS, clean_ids, map_batches, query, table
+from .base import DOCUMENT_COLUMNS, TEXTS, clean_ids, map_batches, query, table
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
@@ -178,7 +178,7 @@ def kept_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows:
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array([first_rejection(Text(x), ordered) is None for x in batch.column(at).to_pylist()], pa.bool_()))
 
-    return map_batches(docs, keep, docs.schema)
+    return map_batches(docs, keep, docs.schema, TEXTS)
 
 
 ORACLE_SQL = r"""
