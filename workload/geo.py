@@ -334,11 +334,11 @@ def budget(spark, sf):
     """Two cities, each with a limit of half of what its widest quantile would spend: one bisection for both on the d2v
     quantile, then the totals of their zones."""
     p = points(spark, sf).withColumn("locality", (F.col("user_id") % 97 >= 48).cast("int"))
-    cells = stable_checkpoint(hex_cells_frame(spark, sf, p, 8))
+    cells = stable_checkpoint(hex_cells_frame(spark, sf, p))
     limits = Z.CityLimits(views_quantile=0.5, d2v_min=0.5, d2v_default=0.7, d2v_max=0.95)
     cities = cells.select("locality").distinct().withColumn("node", F.lit(1))
     widest = Z.spend_by_city(cells, cities.withColumn("q", F.lit(limits.d2v_max)), limits)
-    found = Z.search_cities(lambda c: Z.spend_by_city(cells, c, limits), widest.select("locality", (F.col("spend") / 2).alias("limit")), limits, depth=5)
+    found = Z.search_cities(lambda c: Z.spend_by_city(cells, c, limits), widest.select("locality", (F.col("spend") / 2).alias("limit")), limits)
     costs = Z.zone_costs_by_city(cells, found.select("locality", F.lit(1).alias("node"), "q"), limits).filter("price > 0")
     return rounded(Z.setup_summary(costs).withColumnRenamed("spend", "zone_spend").join(found, "locality"), 4)
 
