@@ -183,12 +183,12 @@ def in_surrounding_area(lat: Column, lon: Column, ring: Column, metres: float) -
 
 
 def ring_area(ring: Column) -> Column:
-    """Area in square metres on the equal-area cylindrical projection."""
+    """Area in square metres on the equal-area cylindrical projection, measured from the ring's first point: small rings keep their digits."""
+    x, y = lambda p: F.radians(p["lon"]), lambda p: F.sin(F.radians(p["lat"]))
+    origin = ring[0]
 
     def cross(a, b):
-        ax, ay = F.radians(a["lon"]), F.sin(F.radians(a["lat"]))
-        bx, by = F.radians(b["lon"]), F.sin(F.radians(b["lat"]))
-        return ax * by - bx * ay
+        return (x(a) - x(origin)) * (y(b) - y(origin)) - (x(b) - x(origin)) * (y(a) - y(origin))
 
     twice = F.aggregate(F.zip_with(ring, rotated(ring), cross), F.lit(0.0), lambda s, c: s + c)
     return F.abs(twice) / 2 * EARTH_RADIUS**2
@@ -211,23 +211,28 @@ def smoothed_ring(ring: Column, rounds: int = 2) -> Column:
     return ring
 
 
+DIGITS = 7  # decimals of written coordinates: about a centimetre
+
+
+def _positions(ring: Column) -> Column:
+    """The closed ring as [lon, lat] pairs."""
+    closed = F.concat(ring, F.slice(ring, 1, 1))
+    return F.transform(closed, lambda p: F.array(F.round(p["lon"], DIGITS), F.round(p["lat"], DIGITS)))
+
+
 def geojson(ring: Column) -> Column:
     """GeoJSON Polygon text; the ring is closed and (lat, lon) is swapped to (lon, lat)."""
-    closed = F.concat(ring, F.slice(ring, 1, 1))
-    coords = F.transform(closed, lambda p: F.array(p["lon"], p["lat"]))
-    return F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(coords).alias("coordinates")))
+    return F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(_positions(ring)).alias("coordinates")))
 
 
 def geojson_shapes(rings: Column) -> Column:
     """GeoJSON MultiPolygon text of an array of outer rings."""
-    coords = F.transform(rings, lambda ring: F.array(F.transform(F.concat(ring, F.slice(ring, 1, 1)), lambda p: F.array(p["lon"], p["lat"]))))
+    coords = F.transform(rings, lambda ring: F.array(_positions(ring)))
     return F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), coords.alias("coordinates")))
 
 
 def feature(ring: Column, properties: Column) -> Column:
-    closed = F.concat(ring, F.slice(ring, 1, 1))
-    coords = F.transform(closed, lambda p: F.array(p["lon"], p["lat"]))
-    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(coords).alias("coordinates"))
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(_positions(ring)).alias("coordinates"))
     return F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry")))
 
 

@@ -60,9 +60,21 @@ def centres(spark, sf):
     return rounded(G.with_centres(cells), 7)
 
 
-@query("hex_cell_boundaries")
+def hex_rings_sql(level=8):
+    """CTEs after `pts_cells_sql`: busy (cell, n, q, r), six corners `co` of each, and `rings` with the written positions and the area."""
+    e = H.edge_length(level)
+    return f"""busy AS (SELECT cell, any_value(q) AS q, any_value(r) AS r, count(*) AS n FROM cid GROUP BY 1),
+xy AS (SELECT cell, i, ({math.sqrt(3)!r}::DOUBLE*q + {math.sqrt(3) / 2!r}::DOUBLE*r)*{e!r} + {e!r}*cos(radians(60.0*i - 30)) AS x, r*{1.5 * e!r} + {e!r}*sin(radians(60.0*i - 30)) AS y FROM busy, (SELECT unnest(range(0, 6)) AS i)),
+co AS (SELECT cell, i, degrees(2*atan(exp(y/{R0!r})) - pi()/2) AS lat, degrees(x/{R0!r}) AS lon FROM xy),
+pt AS (SELECT *, '[' || round(lon, 7)::DOUBLE || ',' || round(lat, 7)::DOUBLE || ']' AS pos, radians(lon) - radians(first_value(lon) OVER w) AS px, sin(radians(lat)) - sin(radians(first_value(lat) OVER w)) AS py FROM co WINDOW w AS (PARTITION BY cell ORDER BY i)),
+nx AS (SELECT a.cell, a.i, a.pos, a.px * b.py - b.px * a.py AS c FROM pt a JOIN pt b ON a.cell = b.cell AND b.i = (a.i + 1) % 6),
+rings AS (SELECT cell, string_agg(pos, ',' ORDER BY i) || ',' || first(pos ORDER BY i) AS positions, abs(sum(c)) / 2 * {R0**2!r} AS area FROM nx GROUP BY 1)"""
+
+
+@query("hex_cell_boundaries", f"""WITH {pts_cells_sql(8)}, {hex_rings_sql()}
+SELECT cell, '{{"type":"Polygon","coordinates":[[' || positions || ']]}}' AS polygon, round(area, 2) AS area FROM rings""")
 def boundaries(spark, sf):
-    """Six corners per cell; tests check them against the centre and the neighbours."""
+    """Six corners per cell as GeoJSON, and the cell's area."""
     cells = points(spark, sf).select(H.point_cell(F.col("lat"), F.col("lon"), 8).alias("cell")).distinct()
     ring = cells.select("cell", H.cell_corners(F.col("cell")).alias("ring"))
     return ring.select("cell", P.geojson(F.col("ring")).alias("polygon"), r(P.ring_area(F.col("ring")), 2).alias("area"))
@@ -149,7 +161,8 @@ def reprojected(spark, sf):
 
 
 @query("polygon_areas_by_points", f"""WITH {INSIDE_SQL},
-a AS (SELECT zone, abs(sum(radians(a_lon)*sin(radians(b_lat)) - radians(b_lon)*sin(radians(a_lat))))/2*{R0**2!r} AS area FROM edges GROUP BY 1)
+z AS (SELECT *, radians(min(a_lon) OVER (PARTITION BY zone)) AS x0, sin(radians(min(a_lat) OVER (PARTITION BY zone))) AS y0 FROM edges),
+a AS (SELECT zone, abs(sum((radians(a_lon)-x0)*(sin(radians(b_lat))-y0) - (radians(b_lon)-x0)*(sin(radians(a_lat))-y0)))/2*{R0**2!r} AS area FROM z GROUP BY 1)
 SELECT i.zone, round(any_value(area), 2) AS area, round(count(*) / any_value(area) * 1e6, 6) AS events_per_km2 FROM inside i JOIN a USING (zone) GROUP BY 1""")
 def areas(spark, sf):
     hit = P.polygon_join(points(spark, sf), zones(spark), tile=0.02)

@@ -12,6 +12,7 @@ from curbside.sources import tables as T
 from curbside.streaming import funnels as ST
 
 from .base import offers, query, r, rounded, table, tables
+from .geo import hex_rings_sql, pts_cells_sql
 
 
 def _fresh(spark, kind):
@@ -115,7 +116,8 @@ def label_rows(spark, sf):
     return labelled.groupBy("company", "period").pivot("label", ["total_", "number_"]).agg(F.first("v"))
 
 
-@query("geojson_feature_collection")
+@query("geojson_feature_collection", f"""WITH {pts_cells_sql(8)}, {hex_rings_sql()}
+SELECT cell, '{{"type":"Feature","properties":{{"cell":' || cell || ',"n":' || n || '}},"geometry":{{"type":"Polygon","coordinates":[[' || positions || ']]}}}}' AS feature FROM rings JOIN busy USING (cell)""")
 def collection(spark, sf):
     """One feature per busy hex cell, as GeoJSON text rows."""
     from curbside.functions.hexgrid import cell_corners, point_cell
