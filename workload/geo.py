@@ -180,7 +180,21 @@ def filled(spark, sf):
     return cells.join(busy, "cell").groupBy("zone").agg(F.count("*").alias("busy_cells"))
 
 
-@query("smoothed_zone_geojson")
+def _cut_corners_sql(points_, out):
+    """CTE `out` with the quarter points of each edge of the open lines in `points_` (zone_id, k, lat, lon); their ends stay."""
+    mix = lambda w: ", ".join(f"a.{c} * {w}::DOUBLE + b.{c} * {1 - w}::DOUBLE" for c in ("lat", "lon"))
+    return f"""{out} AS (SELECT zone_id, row_number() OVER (PARTITION BY zone_id ORDER BY o) - 1 AS k, lat, lon FROM (
+ SELECT a.zone_id, 2 * a.k + 1 AS o, {mix(0.75)} FROM {points_} a JOIN {points_} b ON a.zone_id = b.zone_id AND b.k = a.k + 1
+ UNION ALL SELECT a.zone_id, 2 * a.k + 2, {mix(0.25)} FROM {points_} a JOIN {points_} b ON a.zone_id = b.zone_id AND b.k = a.k + 1
+ UNION ALL SELECT zone_id, 0, lat, lon FROM {points_} WHERE k = 0 UNION ALL SELECT zone_id, 2 * k + 9, lat, lon FROM {points_} a WHERE k = (SELECT max(k) FROM {points_} b WHERE a.zone_id = b.zone_id)) t(zone_id, o, lat, lon))"""
+
+
+_POINTS_SQL = "z0 AS (SELECT col0 AS zone_id, col1 AS k, col2::DOUBLE AS lat, col3::DOUBLE AS lon FROM (VALUES " + ", ".join(f"({i}, {k}, {a}, {b})" for i, _, ring in _ZONES for k, (a, b) in enumerate(ring)) + "))"
+
+
+@query("smoothed_zone_geojson", f"""WITH {INSIDE_SQL}, h AS (SELECT zone_id, any_value(zone) AS zone, count(*) AS n FROM inside GROUP BY 1), {_POINTS_SQL}, {_cut_corners_sql('z0', 'z1')}, {_cut_corners_sql('z1', 'z2')},
+s AS (SELECT zone_id, count(*)::INT AS points, string_agg('[' || round(lon, 7)::DOUBLE || ',' || round(lat, 7)::DOUBLE || ']', ',' ORDER BY k) AS positions, first('[' || round(lon, 7)::DOUBLE || ',' || round(lat, 7)::DOUBLE || ']' ORDER BY k) AS start FROM z2 GROUP BY 1)
+SELECT zone, n, points, '{{"type":"Feature","properties":{{"zone_id":' || zone_id || ',"zone":"' || zone || '"}},"geometry":{{"type":"Polygon","coordinates":[[' || positions || ',' || start || ']]}}}}' AS feature FROM s JOIN h USING (zone_id)""")
 def smoothed(spark, sf):
     """Zones that hold events, with corner-cut outlines."""
     hit = P.polygon_join(points(spark, sf), zones(spark), tile=0.02).groupBy("zone_id").agg(F.count("*").alias("n"))
