@@ -171,7 +171,7 @@ def _ratio_moments(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _sampled_ratio_stats(rows: DataFrame, unit: str, keys: Sequence[str], sims: int, size: Column, seed: int) -> DataFrame:
     """What `ratio_stats` gives, for every sample. Rows with a null x or y are not sampled."""
     whole = rows.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    out = sample_sums(whole, unit, {c: F.col(c) for c in ("n", "x", "y")}, [("x", "x"), ("y", "y"), ("x", "y")], [*keys, "split"], sims, size, seed, ["x", "y"])
+    out = sample_sums(whole, unit, {c: F.col(c) for c in ("n", "x", "y")}, [("x", "x"), ("y", "y"), ("x", "y")], [*keys, "split"], sims, size, seed, ["x", "y"], by_unit=True)
     return _ratio_moments(out, keys)
 
 
@@ -179,7 +179,7 @@ def _sampled_value_stats(rows: DataFrame, value: str, unit: str, keys: Sequence[
     """What `value_stats` gives, for every sample. Null and NaN values are sampled and then skipped."""
     v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
     columns = {"known": v.isNotNull().cast("int"), "hits": F.coalesce((v > 0).cast("int"), F.lit(0)), "v": v}
-    out = sample_sums(rows, unit, columns, [("v", "v")], [*keys, "split"], sims, size, seed, ["v"])
+    out = sample_sums(rows, unit, columns, [("v", "v")], [*keys, "split"], sims, size, seed, ["v"], by_unit=True)
     n = F.col("known")
     mean, squares = _moments("known", "v")
     return out.select(

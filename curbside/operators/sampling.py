@@ -1,6 +1,7 @@
 """Many samples without replacement, as sums: the facts are read once and never multiplied by the samples.
 
-The rows of a group are numbered by (hash bucket, unit). Sample `sim` of a group takes the first k distinct values of
+The rows of a group are numbered by (hash bucket, unit), or by unit alone if `by_unit` is asked for: then the samples do
+not depend on the size of a bucket, at the price of one sort by ranges. Sample `sim` of a group takes the first k distinct values of
 floor(u_j * rows), u_j the 53-bit draw of (seed, group, sim, j): a uniform sample without replacement whose cost is
 its own size. Ranks are drawn in tasks of about DRAWS draws, go to the bucket that holds them as packed arrays, meet
 its rows there once, and leave as one row of sums for each sample and bucket.
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import dtype_of, null_safe_join, spread, stable_checkpoint
 from ..functions.hashing import continued, draw_bits, draw_key, uniforms
+from .ranks import row_ranks
 
 BUCKET, DRAWS, PART = 65_536, 1_000_000, 4_000_000
 STEP, GROUPS = 256, 64  # half splits handled at once; groups whose sums a task holds
@@ -44,13 +46,13 @@ def distinct_ranks(bits: int, sim: int, n: int, k: int) -> np.ndarray:
 
 def sample_sums(
     rows: DataFrame, unit: str, columns: dict[str, Column], products: Sequence[tuple[str, str]], keys: Sequence[str], sims: int,
-    size: Column, seed: int = 1, centred: Sequence[str] = (),
+    size: Column, seed: int = 1, centred: Sequence[str] = (), by_unit: bool = False,
 ) -> DataFrame:
     """(keys, sim, rows, <column>, <a>_<b>): sums of columns and of products over samples 1..sims of every group.
 
     `size` is the sample size as a function of the column `__n`, the group's rows. Columns in `centred` are taken about
     their mean over the group, which comes out as `<column>_mean`. `unit` identifies a row of its group; null column
-    values count as 0.
+    values count as 0. `by_unit`: rows are numbered by unit, and a bucket is a range of these numbers.
     """
     keys = list(keys)
     measured = rows.select(*keys, F.col(unit).alias("__unit"), *[c.cast("double").alias(n) for n, c in columns.items()])
@@ -63,7 +65,10 @@ def sample_sums(
         "__chunks": F.least(F.lit(sims), F.ceil(F.greatest(total, F.lit(1)) / DRAWS)).cast("int"), "__group": F.monotonically_increasing_id(),
     }))
     values = {c: F.coalesce(F.col(c) - F.col(f"{c}_mean") if c in centred else F.col(c), F.lit(0.0)) for c in columns}
-    placed = null_safe_join(measured, groups, keys).withColumns(values).withColumn("__bucket", F.pmod(F.xxhash64("__unit"), F.col("__buckets")))
+    bucket = F.pmod(F.xxhash64("__unit"), F.col("__buckets"))
+    if by_unit:
+        measured, bucket = row_ranks(measured, keys, [F.col("__unit")], "__rank"), F.floor((F.col("__rank") - 1) / BUCKET)
+    placed = null_safe_join(measured, groups, keys).withColumns(values).withColumn("__bucket", bucket)
     sizes = placed.groupBy("__group", "__bucket").agg(F.count(F.lit(1)).alias("__rows"))
     lists = sizes.groupBy("__group").agg(F.array_sort(F.collect_list(F.struct("__bucket", "__rows"))).alias("__list"))  # an entry for each bucket
     tasks = groups.join(lists, "__group").where((F.col("__k") > 0) & (F.lit(sims) > 0)).select(

@@ -261,6 +261,20 @@ def test_sample_sums_against_numpy(spark, monkeypatch, bucket, draws, part):
             assert (r.rows, r.one) == (len(chosen), len(chosen)) and r.v == pytest.approx(v.sum()) and r.v_v == pytest.approx((v * v).sum()) and r.v_mean == pytest.approx(mean)
 
 
+def test_simulated_samples_do_not_depend_on_the_bucket(spark, monkeypatch):
+    """Rows are numbered by unit, as the SQL of the simulations numbers them, however many buckets a group has."""
+    from curbside.operators import sampling as S
+
+    rows = spark.range(300).selectExpr("id % 2 AS split", "id * 7919 % 1009 AS unit", "CAST(id % 5 = 0 AS int) AS hit").repartition(5)
+    whole = B.simulated_rate(rows, "chi2", "unit", 20, 0.3, 500, [], "hit").first()
+    own = {s: sorted((r.unit, r.hit) for r in rows.collect() if r.split == s) for s in (0, 1)}
+    bits = {r.split: r.h for r in rows.select("split", F.xxhash64(F.lit(1).cast("bigint"), "split").alias("h")).distinct().collect()}
+    monkeypatch.setattr(S, "BUCKET", 16)
+    assert B.simulated_rate(rows, "chi2", "unit", 20, 0.3, 500, [], "hit").first() == whole
+    for r in S.sample_sums(rows, "unit", {"hit": F.col("hit")}, [], ["split"], 20, F.lit(45), by_unit=True).collect():
+        assert r.hit == sum(own[r.split][i][1] for i in S.distinct_ranks(bits[r.split] % 2**64, r.sim, 150, 45))
+
+
 def test_half_sums_against_numpy(spark, monkeypatch):
     from curbside.functions.hashing import continued, uniforms
     from curbside.operators import sampling as S

@@ -258,7 +258,7 @@ _SIMS = 10_000
 
 
 def sim_sql(share, cap, seed, keys="split", frame="m"):
-    """CTE k: the sampled rows of `frame` (keys, unit, ...) in column sim, drawn by rank as `operators.sampling` does for groups of one bucket."""
+    """CTE k: the sampled rows of `frame` (keys, unit, ...) in column sim, drawn by rank as `operators.sampling` does for rows numbered by unit."""
     drawn = draw_sql(seed, *keys.split(", "), "sim", "j")
     return f"""nb AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY unit) - 1 AS rank FROM {frame}),
 sz AS (SELECT {keys}, count(*) AS c, least({cap}, floor(count(*) * {share}))::BIGINT AS k FROM {frame} GROUP BY ALL),
