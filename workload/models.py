@@ -9,7 +9,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from curbside.functions.frames import stable_checkpoint
+from curbside.functions.frames import spread, stable_checkpoint
 from curbside.operators import features as X
 from curbside.operators import ladders as L
 from curbside.operators import ranks as K
@@ -353,6 +353,14 @@ def logistic(spark, sf):
     return rounded(out, 4)
 
 
+def heaviest_words(counted, hashed, weights, top=10):
+    """The words whose features weigh most; a word's feature is read from its own vector by expressions."""
+    known = counted.sparkSession.createDataFrame([(int(i), float(weights[i])) for i in weights.nonzero()[0]], "feature int, weight double")  # at most 2^18 rows
+    vocabulary = counted.select(F.explode("words").alias("word")).distinct().select("word", F.array("word").alias("words"))
+    found = hashed.transform(vocabulary).select("word", F.unwrap_udt("tf")["indices"][0].alias("feature")).join(known, "feature").select("word", "weight")
+    return found.orderBy(F.desc(F.abs("weight")), "word").limit(top)
+
+
 @query("text_classifier_top_words")
 def text_svm(spark, sf):
     """TF-IDF over whole document texts, linear SVM chosen by cross-validation, ten heaviest words.
@@ -361,19 +369,19 @@ def text_svm(spark, sf):
     share its weight.
     """
     d, l = tables(spark, sf, "documents", "labels")
-    data = stable_checkpoint(d.join(l, "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("label")))
+    text = d.join(l, "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("label"))
+    words, hashed = Tokenizer(inputCol="text", outputCol="words"), HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 18)
+    counted = hashed.transform(words.transform(spread(text, "doc_id").sortWithinPartitions("doc_id"))).select("label", "words", "tf")
+    counted = stable_checkpoint(counted)  # texts are split and hashed once; the search caches labels and features alone
     svm = LinearSVC(maxIter=15)
     cv = CrossValidator(
-        estimator=svm, estimatorParamMaps=ParamGridBuilder().addGrid(svm.regParam, [0.01, 0.1]).build(), evaluator=BinaryClassificationEvaluator(), numFolds=3, seed=1
+        estimator=svm, estimatorParamMaps=ParamGridBuilder().addGrid(svm.regParam, [0.01, 0.1]).build(), evaluator=BinaryClassificationEvaluator(), numFolds=3, seed=1,
+        parallelism=2,
     )
-    words, hashed = Tokenizer(inputCol="text", outputCol="words"), HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 18)
-    model = Pipeline(stages=[words, hashed, IDF(inputCol="tf", outputCol="features"), cv]).fit(data)
-    weights = model.stages[3].bestModel.coefficients.toArray()
-    known = spark.createDataFrame([(int(i), float(weights[i])) for i in weights.nonzero()[0]], "feature int, weight double")  # at most 2^18 rows
-    vocabulary = words.transform(data).select(F.explode("words").alias("word")).distinct().select("word", F.array("word").alias("words"))
-    feature = F.udf(lambda v: int(v.indices[0]), "int")
-    found = hashed.transform(vocabulary).select("word", feature("tf").alias("feature")).join(known, "feature").select("word", "weight")
-    return rounded(found.orderBy(F.desc(F.abs("weight")), "word").limit(10), 6)
+    tf = counted.select("label", "tf")
+    scaled = IDF(inputCol="tf", outputCol="features").fit(tf).transform(tf).select("label", "features")
+    weights = cv.fit(scaled).bestModel.coefficients.toArray()
+    return rounded(heaviest_words(counted, hashed, weights), 6)
 
 
 @query("principal_components")
