@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import dtype_of, stable_checkpoint
+from ..functions.frames import dtype_of, spread, stable_checkpoint
 from ..functions.hashing import draw, draw_key
 from ..functions.scalars import days_since, flag
 from ..operators.ranks import auc, best_precision, exact_quantiles, optimal_threshold
@@ -63,7 +65,8 @@ def calibrated_forest(
 ):
     """Random forest with isotonic calibration by folds: one (forest, isotonic) pair per fold."""
     fold = F.floor(draw(seed, draw_key(F.col(unit), dtype_of(df, unit)), F.lit(29)) * folds).cast("int")
-    data = stable_checkpoint(df.select(unit, *[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("label"), fold.alias("fold")))
+    data = df.select(unit, *[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("label"), fold.alias("fold"))
+    data = stable_checkpoint(spread(data, unit).sortWithinPartitions(unit))  # few bytes a row but much work: all cores fit
     pairs = []
     for i in range(folds):
         forest = Pipeline(
@@ -78,16 +81,37 @@ def calibrated_forest(
     return pairs
 
 
+def split_points(forests: Sequence, features: Sequence[str]) -> dict[str, list[float]]:
+    """The values at which a tree of the forests splits each feature, ascending."""
+    found: dict[str, set[float]] = {f: set() for f in features}
+    for forest in forests:
+        for i, cut in re.findall(r"If \(feature (\d+) <= ([^)]+)\)", forest.toDebugString):
+            found[features[int(i)]].add(float(cut))
+    return {f: sorted(cuts) for f, cuts in found.items()}
+
+
 def calibrated_scores(model, df: DataFrame, features: Sequence[str], name: str = "score") -> DataFrame:
-    """Mean calibrated probability over the folds."""
+    """Mean calibrated probability over the folds.
+
+    Trees see a feature only through their split points, so the forests score each distinct cell between these points
+    once, and a row gets the score of its cell.
+    """
     out = df.withColumns({f: F.col(f).cast("double") for f in features})
-    base = out.columns
+    cuts = split_points([forest.stages[-1] for forest, _ in model], list(features))
+    # cell j of -value begins at -cut, so that a value equal to a cut falls below it, as in a tree
+    starts = [[-math.inf, *[-c for c in reversed(cuts[f] or [0.0])], math.inf] for f in features]
+    codes = [f"__cell_{f}" for f in features]
+    cells = Bucketizer(splitsArray=starts, inputCols=[f"__neg_{f}" for f in features], outputCols=codes)
+    coded = cells.transform(out.withColumns({f"__neg_{f}": -F.col(f) for f in features})).drop(*cells.getInputCols())
+    inside = {f: F.lit([-v for v in s])[F.col(c).cast("int")] for f, c, s in zip(features, codes, starts)}
+    scored = spread(coded.select(*codes).distinct(), *codes).withColumns(inside)
     parts = []
     for i, (forest, iso) in enumerate(model):
-        out = forest.transform(out).withColumn("__raw", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
-        out = iso.setFeaturesCol("__raw").setPredictionCol(f"__p{i}").transform(out).drop("__raw")
+        scored = forest.transform(scored).withColumn("__raw", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+        scored = iso.setFeaturesCol("__raw").setPredictionCol(f"__p{i}").transform(scored).drop("__raw")
         parts.append(F.col(f"__p{i}"))
-    return out.select(*base, (sum(parts[1:], parts[0]) / len(parts)).alias(name))
+    scored = stable_checkpoint(scored.select(*codes, (sum(parts[1:], parts[0]) / len(parts)).alias(name)))
+    return coded.join(scored, codes).select(*out.columns, name)
 
 
 def expected_outcome(scored: DataFrame, keys: Sequence[str], score: str = "score", target: str = "target_x", budget: str = "budget", fee: float = 0.19) -> DataFrame:
