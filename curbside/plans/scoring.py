@@ -60,13 +60,19 @@ def train_test(df: DataFrame, unit: str, train: float = 0.7, seed: int = 1) -> t
     return df.filter(u < train), df.filter(u >= train)
 
 
+def dealt(df: DataFrame, unit: str) -> DataFrame:
+    """The rows written in spark.sql.shuffle.partitions files by `unit`: a fit takes few bytes of each but much work, and
+    tasks sized by bytes would leave cores idle."""
+    return stable_checkpoint(spread(df, F.xxhash64(unit)).sortWithinPartitions(unit))  # the hash keeps an aggregate by `unit` from lending its few partitions
+
+
 def calibrated_forest(
     df: DataFrame, features: Sequence[str], label: str, unit: str, folds: int = 5, trees: int = 50, depth: int = 6, seed: int = 1
 ):
     """Random forest with isotonic calibration by folds: one (forest, isotonic) pair per fold."""
     fold = F.floor(draw(seed, draw_key(F.col(unit), dtype_of(df, unit)), F.lit(29)) * folds).cast("int")
     data = df.select(unit, *[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("label"), fold.alias("fold"))
-    data = stable_checkpoint(spread(data, unit).sortWithinPartitions(unit))  # few bytes a row but much work: all cores fit
+    data = dealt(data, unit)
     pairs = []
     for i in range(folds):
         forest = Pipeline(
@@ -216,7 +222,7 @@ def regression_metrics(df: DataFrame, keys: Sequence[str], fact: str, predicted:
 
 
 __all__ = [
-    "auc", "backtest", "best_precision", "calibrated_forest", "calibrated_scores", "classification_metrics", "exact_quantiles", "expected_outcome",
+    "auc", "backtest", "best_precision", "calibrated_forest", "calibrated_scores", "classification_metrics", "dealt", "exact_quantiles", "expected_outcome",
     "forest_grid_search", "goal_setups", "impurity_importances", "mean_score_outcome", "optimal_threshold", "permutation_importances", "regression_metrics",
     "scenario_grid", "train_test", "training_frame", "undersampled",
 ]

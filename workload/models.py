@@ -230,7 +230,7 @@ def forest_importances(spark, sf):
     o = table(spark, sf, "orders")
     agg = o.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("label"), F.count("*").alias("orders"), F.avg("o_totalprice").alias("avg_bill"), F.countDistinct("o_orderpriority").alias("kinds"))
     feats = ["orders", "avg_bill", "kinds"]
-    data = stable_checkpoint(agg.select("o_custkey", "label", *[F.col(f).cast("double").alias(f) for f in feats]))
+    data = S.dealt(agg.select("o_custkey", "label", *[F.col(f).cast("double").alias(f) for f in feats]), "o_custkey")
     model = S.forest_grid_search(data, feats, "label", trees=(100, 500), depths=(3, 4), folds=5)
     best = model.stages[-1].bestModel
     impurity = S.impurity_importances(spark, feats, best).withColumn("kind", F.lit("impurity"))
