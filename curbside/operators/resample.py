@@ -1,8 +1,8 @@
 """Resampling: Poisson bootstrap, exact subsamples, simulated false-positive rate and power.
 
-Bootstrap replicates are made where the rows are: each unit row is expanded to its
-replicate draws and folded back to (split, replicate) sums by the map-side
-combine, so the shuffle carries splits x replicates rows per task. Simulated
+Bootstrap replicates are made where the rows are: a task adds up the weighted units
+of a group for all replicates at once and sends (group, replicate) sums, so the
+shuffle carries groups x replicates rows per task. Simulated
 samples are drawn as ranks (see `sampling`). Draws are a function of (seed,
 unit, replicate) or (seed, group, sample, number of the draw).
 """
@@ -11,16 +11,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pvalues as P
 from ..functions.frames import dtype_of, null_safe_join, spread, stable_checkpoint
-from ..functions.hashing import draw, draw_key, poisson_weight
+from ..functions.hashing import draw, draw_bits, draw_key
 from .ranks import values_at_ranks
 from .sampling import half_sums, sample_sums
 from .tests import chi2_test, pair_up, proportion_test, ratio_t_test, ratio_z_test, welch_test
-from .weighted_medians import replicate_medians
+from .weighted_medians import replicate_medians, weights
+
+BLOCK = 64  # units whose weights are made at once
 
 
 def _draw(rows: DataFrame, seed: int, unit: str, rep: Column) -> Column:
@@ -34,16 +38,44 @@ def replicate_sums(
 
     Rows are summed per unit first, so one unit keeps one weight in a replicate.
     """
-    per_unit = rows.groupBy(*keys, "split", unit).agg(
-        F.count(F.lit(1)).alias("__rows"), *[F.sum(F.col(c).cast("double")).alias(c) for c in columns]
-    )
-    expanded = spread(per_unit, unit).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    drawn = expanded.withColumn("__u", _draw(rows, seed, unit, F.col("rep")))
-    return (
-        drawn.withColumn("__w", poisson_weight(F.col("__u")))
-        .groupBy(*keys, "split", "rep")
-        .agg(F.sum(F.col("__w") * F.col("__rows")).alias("w"), *[F.sum(F.col("__w") * F.col(c)).alias(c) for c in columns])
+    columns, grp = list(columns), [*keys, "split"]
+    per_unit = rows.groupBy(*grp, unit).agg(
+        F.count(F.lit(1)).cast("double").alias("__rows"), *[F.sum(F.col(c).cast("double")).alias(c) for c in columns]
     )
+    bits = draw_bits(seed, draw_key(F.col(unit), dtype_of(rows, unit)))
+    per_unit = stable_checkpoint(per_unit.select(*grp, bits.alias("__bits"), "__rows", *columns))
+    known = per_unit.groupBy(*grp).agg(*[F.count(c).alias(f"__known_{c}") for c in columns])
+    known = stable_checkpoint(known.withColumn("__g", F.monotonically_increasing_id()))  # a row for each group
+    placed = null_safe_join(per_unit, known.select(*grp, "__g"), grp).select("__g", "__bits", "__rows", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
+
+    def run(batches):
+        at, total = None, None
+
+        def sent():
+            out = {"__g": np.full(reps, at, np.int64), "rep": np.arange(1, reps + 1, dtype=np.int32)} | {c: total[:, i] for i, c in enumerate(["w", *columns])}
+            return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in out.items()})
+
+        for batch in batches:  # sorted by group
+            g, own = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            m = np.stack([batch.column(i).to_numpy() for i in range(2, batch.num_columns)], 1)
+            edges = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+            for first, last in zip(edges, edges[1:]):
+                if first == last:
+                    continue
+                if g[first] != at:
+                    if at is not None:
+                        yield sent()
+                    at, total = int(g[first]), np.zeros((reps, 1 + len(columns)))
+                for i in range(first, last, BLOCK):
+                    j = min(i + BLOCK, last)
+                    total += weights(own[i:j], reps).T @ m[i:j]
+        if at is not None:
+            yield sent()
+
+    schema = "__g long, rep int, w double, " + ", ".join(f"`{c}` double" for c in columns)
+    made = spread(placed, "__bits").sortWithinPartitions("__g").mapInArrow(run, schema)
+    sums = made.groupBy("__g", "rep").agg(F.sum("w").cast("bigint").alias("w"), *[F.sum(c).alias(c) for c in columns])
+    return sums.join(known, "__g").select(*grp, "rep", "w", *[F.when(F.col(f"__known_{c}") > 0, F.col(c)).alias(c) for c in columns])
 
 
 def _replicate_deltas(stat: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -261,6 +261,24 @@ def test_sample_sums_against_numpy(spark, monkeypatch, bucket, draws, part):
             assert (r.rows, r.one) == (len(chosen), len(chosen)) and r.v == pytest.approx(v.sum()) and r.v_v == pytest.approx((v * v).sum()) and r.v_mean == pytest.approx(mean)
 
 
+def test_replicate_sums_against_numpy(spark):
+    """Units with several rows, null values, a group without values, a null key; no row is multiplied by the replicates."""
+    from curbside.operators import weighted_medians as Wm
+
+    data = [("a", i % 2, i % 70, float(i % 11) if i % 9 else None) for i in range(300)] + [(None, 0, 3, None), (None, 0, 4, None)]
+    rows = spark.createDataFrame(data, "k string, split long, unit long, v double").repartition(4)
+    out = B.replicate_sums(rows, "unit", ["v"], ["k"], 30, 5)
+    assert "Generate" not in out._jdf.queryExecution().toString()
+    got = {(r.k, r.split, r.rep): (r.w, r.v) for r in out.collect()}
+    bits = {r.unit: r.h for r in rows.select("unit", F.xxhash64(F.lit(5).cast("bigint"), "unit").alias("h")).distinct().collect()}
+    w = {u: Wm.weights(np.array([h], np.int64).view(np.uint64), 30)[0] for u, h in bits.items()}
+    assert len(got) == 3 * 30
+    for (k, split, rep), (n, v) in got.items():
+        own = [(w[u][rep - 1], x) for key, s, u, x in data if (key, s) == (k, split)]
+        assert n == sum(x for x, _ in own)
+        assert v is None if k is None else v == pytest.approx(sum(x * y for x, y in own if y is not None))
+
+
 def test_simulated_samples_do_not_depend_on_the_bucket(spark, monkeypatch):
     """Rows are numbered by unit, as the SQL of the simulations numbers them, however many buckets a group has."""
     from curbside.operators import sampling as S
